@@ -161,13 +161,26 @@ def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text
     often as their place says, for no words. Rows that repeat an id have one place, so they are taken alike. Null ids share
     one place. Empty tables give no rows.
     """
-    sized = save(docs.select(F.col(key).alias("doc_id"), words(text).alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources")), "sized")
-    chosen = plan(sized, weights, share, passes, seed)
-    # Sources may hold a null, which never equals itself in a join on plain arrays but does inside an array.
+    sized, chosen = planned(docs, sources, key, text, weights, share, passes, seed)
     out = sized.join(chosen, "sources").withColumn("copies", F.col("whole") + (place("doc_id", seed) <= F.col("until")).cast("int"))
     return out.select("doc_id", "size", "sources", "targets", "source_sizes", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def planned(docs: DataFrame, sources: Column, key: str, text: str, weights: tuple, share: float, passes: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes of all rows, and the plan as a written table: Spark knows its size and broadcasts it if it is small."""
+    sized = save(docs.select(F.col(key).alias("doc_id"), words(text).alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources")), "sized")
+    return sized, save(plan(sized, weights, share, passes, seed), "plan")
+
+
+def mix_documents(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text", weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them."""
+    _, chosen = planned(docs, sources, key, text, weights, share, passes, seed)
+    chosen = chosen.select(F.col("sources").alias("_sources"), F.col("whole").alias("_whole"), F.col("until").alias("_until"))
+    joined = docs.withColumn("_own", F.array_sort(F.array_distinct(sources))).join(chosen, F.col("_own") == F.col("_sources"))
+    copies = F.col("_whole") + (place(key, seed) <= F.col("_until")).cast("int")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(True), copies)).alias("_copy")).drop("_copy")
+
+
 def op9_mix_flow(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mix(docs, F.array("source"))

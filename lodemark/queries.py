@@ -2,23 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from .plans import market, news, risk, sentiment, signal_plans  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
 
-
-def ohlcv_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = spark.read.parquet(f"{sf_dir}/events.parquet")
-    at = F.struct("ts", "event_id")
-    return ticks.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(
-        F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("trade_count")
-    )
-
-
-QUERIES = {"ohlcv_hourly": ohlcv_hourly}
-ORACLES = {
-    "ohlcv_hourly": """
-SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, {t: ts, i: event_id}) AS open, max(value) AS high,
-       min(value) AS low, arg_max(value, {t: ts, i: event_id}) AS close, count(*) AS trade_count
-FROM events GROUP BY ALL
-"""
-}
+__all__ = ["ORACLES", "QUERIES"]

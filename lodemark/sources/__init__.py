@@ -1 +1 @@
-"""sources."""
+"""Readers."""

@@ -1,10 +1,7 @@
-"""What the operators of this subpackage share: table access, the shared folder and text conventions."""
+"""What the operators of this subpackage share: table access, batches and text conventions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,29 +13,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Where it is unset, as in tests, a temporary folder stands in, in local mode only.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="lodemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def save(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession, rows: int = 400) -> None:
     """Few rows in each Arrow batch, as a text may be long; the bytes are bounded where Spark can do that."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, read_table, save
+from lodemark.storage import save
+
+from .common import WORD, read_table
 
 WEIGHTS, SHARE, PASSES, SEED = (5, 2, 1), 1.5, 2, 17
 

@@ -8,7 +8,7 @@ Each filter's largest value over all chunks of the document goes into one logist
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -138,8 +138,8 @@ class Network:
         return out | {"filters": filters, "vectors": vectors}
 
 
-def fit(rows: list[tuple], classes: dict, epochs: int = 10, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam on the log loss of a sample with equal classes; the bias is then set to the classes' true shares."""
+def fit(rows: list[tuple], classes: dict, epochs: int = 10, steps: int = 600, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
+    """Adam on the log loss, with equal weight of the classes, for ``epochs`` or until ``steps``, whichever is more; the bias is then set to the classes' true shares."""
     net, rng = Network(seed), np.random.default_rng(seed)
     texts, labels = [r[1] for r in rows], np.array([r[2] for r in rows], np.float32)
     n1 = float(labels.sum())
@@ -149,16 +149,16 @@ def fit(rows: list[tuple], classes: dict, epochs: int = 10, batch: int = 48, rat
         return net
     weights = np.where(labels == 1, len(rows) / (2 * n1), len(rows) / (2 * (len(rows) - n1)))
     m1, m2 = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
-    steps = 0
+    done, epochs = 0, max(epochs, ceil(steps * batch / len(rows)))
     for epoch in range(epochs):
         order, now = rng.permutation(len(rows)), rate * (1 - epoch / epochs)
         for at in range(0, len(rows), batch):
             some = order[at : at + batch]
-            steps += 1
+            done += 1
             for k, g in net.gradients([texts[i] for i in some], labels[some], weights[some]).items():
                 m1[k] += 0.1 * (g - m1[k])
                 m2[k] += 0.001 * (g * g - m2[k])
-                net.p[k] -= now * (m1[k] / (1 - 0.9**steps)) / (np.sqrt(m2[k] / (1 - 0.999**steps)) + 1e-8)
+                net.p[k] -= now * (m1[k] / (1 - 0.9**done)) / (np.sqrt(m2[k] / (1 - 0.999**done)) + 1e-8)
     net.p["shift"] += np.float32(log(max(1, classes.get(1, 0)) / max(1, classes.get(0, 0))))
     return net
 

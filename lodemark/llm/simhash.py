@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, read_table, save
-from .components import components
+from lodemark.operators.graph import components
+from lodemark.storage import save
+
+from .common import bound_batches, read_table
 
 SHINGLE, SEED, DISTANCE, TILE = 4, 42, 4, 4096
 

@@ -46,7 +46,10 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
     """Hash of each word with the one before it; the first has the hash 0 before it."""
-    before = np.concatenate((np.zeros(1, np.uint64), words[:-1]))[: len(words)]
+    return pair_hashes(np.concatenate((np.zeros(1, np.uint64), words[:-1]))[: len(words)], words)
+
+
+def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (before ^ (before >> np.uint64(29))) * BASE + words
 
 
@@ -141,45 +144,51 @@ class Models:
         self.lower = {k: v.astype(np.float32) for k, v in self.lower.items()}
         del self.grams, self.kinds, self.own, self.shared, self.up
 
-    def ratios(self, text: str | None) -> np.ndarray:
-        """log P(word | word before, toxic) - log P(word | word before, ordinary) of each word."""
-        named = words_of(text)
-        w = hashes(named)
-        at, before = find(self.units[0], w), find(self.first, np.concatenate((np.zeros(1, np.uint64), w[:-1]))[: len(w)])
-        pair = np.full(len(w), len(self.pairs))
-        maybe = np.flatnonzero((at < len(self.units[0])) & (before < len(self.first)))
-        pair[maybe] = find(self.pairs, pairs_of(w)[maybe])
+    def ratios(self, texts: list[str | None]) -> list[np.ndarray]:
+        """log P(word | word before, toxic) - log P(word | word before, ordinary) of each word of each text."""
+        named = [words_of(t) for t in texts]
+        ends = np.cumsum([len(x) for x in named])
+        flat = [w for x in named for w in x]
+        w = hashes(flat)
+        before = np.concatenate((np.zeros(1, np.uint64), w[:-1]))[: len(w)]
+        before[[e - len(x) for e, x in zip(ends, named, strict=True) if x]] = 0
+        kinds, first, of = np.unique(w, return_index=True, return_inverse=True)
+        at = find(self.units[0], kinds)
         new = np.flatnonzero(at == len(self.units[0]))
-        six, four = (find(self.units[k], hashes([named[i][: STEMS[k - 1]] for i in new.tolist()])) for k in (1, 2))
-        at[new] = 0
-        p = {}
+        six, four = (find(self.units[k], hashes([flat[i][: STEMS[k - 1]] for i in first[new].tolist()])) for k in (1, 2))
+        low = {}
         for c in (0, 1):
-            low = self.lower[c, 0][at] if len(self.units[0]) else np.ones(len(w), np.float32)
+            low[c] = self.lower[c, 0][np.where(at < len(self.units[0]), at, 0)] if len(self.units[0]) else np.ones(len(kinds), np.float32)
             stem = self.back[c, 1] * self.lower[c, 2][four]
             if len(self.units[1]):
                 stem = np.where(six < len(self.units[1]), self.lower[c, 1][np.minimum(six, len(self.units[1]) - 1)], stem)
-            low[new] = self.back[c, 0] * stem
-            p[c] = self.kept[c][pair] * self.held[c][before] + self.spread[c][before] * low
-        return np.log(np.maximum(p[1], 1e-30)) - np.log(np.maximum(p[0], 1e-30))
-
-    def features(self, text: str | None) -> list[float]:
-        r = self.ratios(text)
-        if not len(r):
-            return [0.0] * (1 + len(WINDOWS))
-        through = np.concatenate(([0.0], np.cumsum(r, dtype=np.float64)))
-        out = [through[-1] / len(r)]
-        for k in WINDOWS:
-            k = min(k, len(r))
-            out.append(float((through[k:] - through[:-k]).max()) / k)
+            low[c][new] = self.back[c, 0] * stem
+        place = find(self.first, before)
+        pair = np.full(len(w), len(self.pairs))
+        maybe = np.flatnonzero((at[of] < len(self.units[0])) & (place < len(self.first)))
+        pair[maybe] = find(self.pairs, pair_hashes(before[maybe], w[maybe]))
+        p = [self.kept[c][pair] * self.held[c][place] + self.spread[c][place] * low[c][of] for c in (0, 1)]
+        return np.split(np.log(np.maximum(p[1], 1e-30)) - np.log(np.maximum(p[0], 1e-30)), ends[:-1])
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Mean ratio of each text, and of its most toxic window of each length; 0 for texts without words."""
+        out = np.zeros((len(texts), 1 + len(WINDOWS)))
+        for row, r in zip(out, self.ratios(texts) if texts else [], strict=True):
+            if len(r):
+                through = np.concatenate(([0.0], np.cumsum(r, dtype=np.float64)))
+                row[0] = through[-1] / len(r)
+                for i, k in enumerate(WINDOWS, 1):
+                    k = min(k, len(r))
+                    row[i] = (through[k:] - through[:-k]).max() / k
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = (np.array([self.features(t) for t in texts]).reshape(len(texts), -1) - self.mean) / self.scale
+        x = (self.features(texts) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
     def calibrate(self, rows: list[tuple], classes: dict) -> float:
         """Logistic regression on the features of ``rows``, at the classes' true shares; returns its log loss."""
-        x, y = np.array([self.features(r[1]) for r in rows]).reshape(len(rows), 1 + len(WINDOWS)), np.array([r[2] for r in rows], float)
+        x, y = np.concatenate([self.features([r[1] for r in rows[k : k + 200]]) for k in range(0, max(1, len(rows)), 200)]), np.array([r[2] for r in rows], float)
         self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(rows) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         x = np.column_stack(((x - self.mean) / self.scale, np.ones(len(rows))))
         self.weights = np.zeros(x.shape[1])
@@ -212,10 +221,11 @@ def corpus_counts(docs: DataFrame, units: list[np.ndarray], text: str = "text")
         known = shared.value
         counts = [np.zeros(len(x) + 1, np.int64) for x in known]
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words = words_of(t)
-                for k, own in enumerate((words, *([w[:n] for w in words] for n in STEMS))):
-                    np.add.at(counts[k], find(known[k], hashes(own)), 1)
+            flat = [w for t in batch.column(0).to_pylist() for w in words_of(t)]
+            kinds, first, n = np.unique(hashes(flat), return_index=True, return_counts=True)
+            named = [flat[i] for i in first.tolist()]
+            for k, own in enumerate((kinds, *(hashes([w[:m] for w in named]) for m in STEMS))):
+                counts[k] += np.bincount(find(known[k], own), n, len(counts[k])).astype(np.int64)
         for k, n in enumerate(counts):
             met = np.flatnonzero(n)
             for i in range(0, len(met), 100_000):

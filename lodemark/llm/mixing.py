@@ -20,6 +20,8 @@ from lodemark.storage import save
 from .common import WORD, read_table
 
 WEIGHTS, SHARE, PASSES, SEED = (5, 2, 1), 1.5, 2, 17
+#: Hex digits of the bins, step by step.
+BINS = (2, 4, 6)
 
 
 def words(text: str | Column) -> Column:
@@ -125,8 +127,9 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passe
     """For each pattern: target, source_size, whole passes, and the last place (``until``) that gets one more.
 
     ``sized``: doc_id, size, sources (sorted array of strings; an element may be null). In seeded order, documents get one more pass
-    while their words fit what is left; the one at the border gets it if that comes nearer. The border is found in two steps,
-    in sums by the first four hex digits of the place, then within one of these 65,536 bins: no step sorts a whole source.
+    while their words fit what is left; the one at the border gets it if that comes nearer. The border is found
+    step by step, in sums by the first hex digits of the place, then within one of the last bins: no step sorts more than 256 sums, or
+    one of 16,777,216 bins, of a source.
     """
     spark = sized.sparkSession
     totals = [(tuple(r.sources), r.words) for r in sized.groupBy("sources").agg(F.sum("size").alias("words")).collect()]
@@ -143,12 +146,15 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passe
         rows.append((list(p), [goal[s] for s in p], [sizes[s] for s in p], whole, gives - whole * n if whole < passes else 0.0))
     schema = "sources array<string>, targets array<double>, source_sizes array<long>, whole int, rest double"
     wanted = spark.createDataFrame(rows, schema)
-    placed = sized.select("sources", "size", place("doc_id", seed).alias("place")).withColumn("bin", F.substring("place", 1, 4))
-    by_bin = placed.groupBy("sources", "bin").agg(F.sum("size").alias("words"))
+    placed = sized.select("sources", "size", place("doc_id", seed).alias("place"))
+    border = wanted.filter("rest > 0").select("sources", "rest", F.lit("").alias("bin"), F.lit(0).cast("long").alias("before"))
     w = Window.partitionBy("sources").orderBy("bin")
-    by_bin = by_bin.withColumn("before", F.sum("words").over(w) - F.col("words"))
-    border = by_bin.join(wanted.select("sources", "rest"), "sources").filter("before <= rest AND before + words > rest AND rest > 0").select("sources", "bin", "before", "rest")
-    near = placed.join(border, ["sources", "bin"]).groupBy("sources", "bin", "before", "rest", "place").agg(F.sum("size").alias("words"))
+    for digits in BINS:
+        inside = placed.join(border.withColumnRenamed("bin", "_in"), "sources").filter(F.col("place").startswith(F.col("_in")))
+        by_bin = inside.groupBy("sources", "rest", "before", F.substring("place", 1, digits).alias("bin")).agg(F.sum("size").alias("words"))
+        by_bin = by_bin.withColumn("through", F.col("before") + F.sum("words").over(w)).filter("through > rest AND through - words <= rest")
+        border = save(by_bin.select("sources", "rest", "bin", (F.col("through") - F.col("words")).alias("before")), "border")
+    near = placed.join(border, "sources").filter(F.col("place").startswith(F.col("bin"))).groupBy("sources", "bin", "before", "rest", "place").agg(F.sum("size").alias("words"))
     w = Window.partitionBy("sources", "bin").orderBy("place")
     near = near.withColumn("through", F.col("before") + F.sum("words").over(w)).filter("through <= rest OR through - rest < rest - (through - words)")
     last = near.groupBy("sources", "bin").agg(F.max("place").alias("place"))

@@ -44,28 +44,21 @@ def ema(df: DataFrame, spans: dict[str, tuple[str, int]], keys: list[str], order
     """Exponential means: {new column: (column, span)}; the first value seeds the mean, then e += a (x - e), a = 2 / (span + 1).
 
     A linear recurrence needs no fold: rows are numbered and cut to blocks that are short enough for the weights to stay within
-    doubles; within a block the mean is a weighted running sum, and what the blocks before left over (down to 1e-24) is carried in.
-    Values must not be null.
+    doubles; within a block the mean is a weighted running sum, and what the three blocks before left over (the rest is below 1e-24) is
+    carried in by frames over block numbers. All of it is windows by key: one shuffle for any number of spans. Values must not be null.
     """
-    w = over(*keys, order=order)
-    out = df.withColumn("_n", F.row_number().over(w) - 1)
+    out = df.withColumn("_n", F.row_number().over(over(*keys, order=order)) - 1)
     for name, (column, span) in spans.items():
         a = 2 / (span + 1)
         q = 1 - a
         size = max(1, floor(log(1e8) / -log(q)))
-        block = F.floor(F.col("_n") / size)
-        place = (F.col("_n") % size).cast("double")
         weight = F.when(F.col("_n") == 0, 1.0).otherwise(a)
-        out = out.withColumns({"_b": block, "_p": place})
+        out = out.withColumns({"_b": F.floor(F.col("_n") / size), "_p": (F.col("_n") % size).cast("double")})
         inside = Window.partitionBy(*keys, "_b").orderBy("_n")
-        own = F.pow(F.lit(q), F.col("_p")) * F.sum(F.col(column) * weight * F.pow(F.lit(q), -F.col("_p"))).over(inside)
-        out = out.withColumn("_own", own)
-        ends = out.filter(F.col("_p") == size - 1).select(*keys, (F.col("_b") + 1).alias("_b"), F.col("_own").alias("_end"))
-        by = Window.partitionBy(*keys).orderBy("_b")
-        carry = sum((F.coalesce(F.lag("_end", k).over(by), F.lit(0.0)) * q ** (size * k) for k in range(1, 3)), F.col("_end"))
-        carried = ends.select(*keys, "_b", carry.alias("_carry"))
-        out = out.join(carried, [*keys, "_b"], "left").withColumn(name, F.col("_own") + F.pow(F.lit(q), F.col("_p") + 1) * F.coalesce("_carry", F.lit(0.0)))
-        out = out.drop("_b", "_p", "_own", "_carry")
+        out = out.withColumn("_own", F.pow(F.lit(q), F.col("_p")) * F.sum(F.col(column) * weight * F.pow(F.lit(q), -F.col("_p"))).over(inside))
+        blocks, end = Window.partitionBy(*keys).orderBy("_b"), F.when(F.col("_p") == size - 1, F.col("_own"))
+        carry = sum((F.coalesce(F.sum(end).over(blocks.rangeBetween(-k, -k)), F.lit(0.0)) * q ** (size * (k - 1)) for k in range(1, 4)), F.lit(0.0))
+        out = out.withColumn(name, F.col("_own") + F.pow(F.lit(q), F.col("_p") + 1) * carry).drop("_b", "_p", "_own")
     return out.drop("_n")
 
 

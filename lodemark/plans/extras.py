@@ -108,7 +108,7 @@ def calendar_join(spark, sf_dir):
 )
 def positional_zip(spark, sf_dir):
     """Two series paired by place, as long as the shorter one. Each is one symbol's candles."""
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).alias("n")
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).cast("long").alias("n")
     a = candles(spark, sf_dir, "4h").filter("symbol = 'click'").select(n, F.col("close").alias("a"))
     b = candles(spark, sf_dir, "1d").filter("symbol = 'view'").select(n, F.col("close").alias("b"))
     return a.join(b, "n")
@@ -193,3 +193,66 @@ def update_by_predicate(spark, sf_dir):
 def key_page(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id"))
     return rel.page(rows, [F.col("id")], 1, 100)
+
+
+@query("SELECT symbol, count(*) AS n, round(avg(price), 6) AS mean FROM ticks WHERE symbol IN ('click', 'view') AND size >= 50 GROUP BY 1", "ticks")
+def parameterised_sql(spark, sf_dir):
+    """A bound statement over a frame."""
+    text = "SELECT symbol, count(*) AS n, round(avg(price), 6) AS mean FROM {rows} WHERE array_contains(:symbols, symbol) AND size >= :least GROUP BY symbol"
+    return spark.sql(text, args={"symbols": F.array(F.lit("click"), F.lit("view")), "least": 50}, rows=ticks(spark, sf_dir))
+
+
+@query("SELECT * FROM (VALUES ('r_regionkey', 'int', 0), ('r_name', 'string', 1)) t(name, kind, place)")
+def catalog_columns(spark, sf_dir):
+    schema = load(spark, sf_dir, "region").schema
+    return spark.createDataFrame([(f.name, f.dataType.simpleString(), i) for i, f in enumerate(schema)], "name string, kind string, place int")
+
+
+@query("SELECT * FROM candles_1h", "candles_1h")
+def incremental_refresh(spark, sf_dir):
+    """Candles kept until the 15th, of which the last hours were incomplete, brought up to date from the touched hours on."""
+    from lodemark.operators.rollups import candles as roll
+
+    rows, known, again = ticks(spark, sf_dir), F.lit("2024-01-15 06:30:00").cast("timestamp_ntz"), F.lit("2024-01-15 06:00:00").cast("timestamp_ntz")
+    base, delta = roll(rows.filter(F.col("ts") < known), "1 hour"), roll(rows.filter(F.col("ts") >= again), "1 hour")
+    return rel.upsert(base, delta, ["symbol", "ts"])
+
+
+@query("SELECT id, mentioned_coins FROM news_articles WHERE list_has_any(mentioned_coins, ['click', 'view']) AND list_has_all(mentioned_coins, ['click'])", "news_articles")
+def array_containment(spark, sf_dir):
+    c = F.col("mentioned_coins")
+    some, needed = F.array(F.lit("click"), F.lit("view")), F.array(F.lit("click"))
+    return news_articles(spark, sf_dir).filter(F.arrays_overlap(c, some) & (F.size(F.array_except(needed, c)) == 0)).select("id", "mentioned_coins")
+
+
+@query("SELECT side, round(sum(pnl), 2) AS total, CASE WHEN round(sum(pnl), 2) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS p_profit FROM backtest_trades GROUP BY 1", "backtest_trades")
+def monte_carlo(spark, sf_dir):
+    """Shuffling trades doesn't change their sum, so each run of the shuffle has the same total and the chance of profit is 0 or 1."""
+    from .tables import backtest_trades
+
+    return backtest_trades(spark, sf_dir).groupBy("side").agg(F.round(F.sum("pnl"), 2).alias("total")).withColumn("p_profit", F.when(F.col("total") > 0, 1.0).otherwise(0.0))
+
+
+@query(
+    """WITH f AS (SELECT event_id, unnest([{n: 'price', v: price - 20}, {n: 'size', v: size - 50.0::DOUBLE}, {n: 'user', v: (user_id % 9)::DOUBLE - 4}]) AS f FROM ticks),
+    r AS (SELECT event_id, f.n AS n, row_number() OVER (PARTITION BY event_id ORDER BY abs(f.v) DESC, f.n) AS p FROM f) SELECT event_id, max(n) FILTER (p = 1) AS first, max(n) FILTER (p = 2) AS second FROM r GROUP BY 1""",
+    "ticks",
+)
+def factor_breakdown(spark, sf_dir):
+    """Names of the two factors of largest magnitude."""
+    values = {"price": F.col("price") - 20, "size": F.col("size") - F.lit(50.0), "user": (F.col("user_id") % 9).cast("double") - 4}
+    ranked = F.array_sort(F.array(*(F.struct((-F.abs(v)).alias("m"), F.lit(k).alias("n")) for k, v in values.items())))
+    return ticks(spark, sf_dir).select("event_id", ranked[0]["n"].alias("first"), ranked[1]["n"].alias("second"))
+
+
+@query(
+    """WITH b AS (SELECT symbol, ts, close, avg(close) OVER w AS m, count(close) OVER w AS n FROM candles_1h WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)) SELECT symbol, ts, CASE WHEN n = 25 THEN round(m, 6) END AS sma_20, volume IS NULL AS no_extra FROM b JOIN (SELECT symbol AS s, ts AS t, volume FROM candles_1h) v ON v.s = b.symbol AND v.t = b.ts""",
+    "candles_1h",
+)
+def indicator_rows(spark, sf_dir):
+    """Indicators in the shape of the indicator table: its own columns, and a map of the rest, without empty values."""
+    from lodemark.operators.rolling import full, over
+
+    w = over("symbol")
+    rows = candles(spark, sf_dir).select("symbol", "ts", F.round(full(w, 25, F.avg, F.col("close")), 6).alias("sma_20"), F.create_map(F.lit("volume"), F.col("volume").cast("string")).alias("metadata"))
+    return rows.select("symbol", "ts", "sma_20", (F.size(F.map_filter("metadata", lambda k, v: v.isNotNull())) == 0).alias("no_extra"))

@@ -319,7 +319,7 @@ def sequence_windows(spark, sf_dir):
 )
 def ranking_functions(spark, sf_dir):
     w, t = Window.partitionBy("symbol").orderBy(F.desc("price"), "event_id"), Window.partitionBy("symbol").orderBy("ts", "event_id")
-    return ticks(spark, sf_dir).select("symbol", "ts", "event_id", "price", F.row_number().over(w).alias("rn"), F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("drk"), F.ntile(4).over(t).alias("quartile"))
+    return ticks(spark, sf_dir).select("symbol", "ts", "event_id", "price", *(c.cast("long").alias(n) for n, c in (("rn", F.row_number().over(w)), ("rk", F.rank().over(w)), ("drk", F.dense_rank().over(w)), ("quartile", F.ntile(4).over(t)))))
 
 
 @query(

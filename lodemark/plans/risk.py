@@ -143,7 +143,7 @@ def strategy_ranking(spark, sf_dir):
 
     rows = trades(spark, sf_dir).withColumn("strategy", F.concat_ws("-", "symbol", "side"))
     out = metrics.ratios(rows, ["strategy"]).select("strategy", "sharpe").join(rows.groupBy("strategy").agg(F.round(F.sum("pnl_pct"), 6).alias("total")), "strategy")
-    return out.withColumn("place", F.rank().over(Window.orderBy(F.desc("sharpe"), F.desc("total"), "strategy")))
+    return out.withColumn("place", F.rank().over(Window.orderBy(F.desc("sharpe"), F.desc("total"), "strategy")).cast("long"))
 
 
 LABELLED = """l AS (SELECT id, CASE WHEN actual_price > predicted_price THEN 'UP' WHEN actual_price < predicted_price THEN 'DOWN' ELSE 'SIDEWAYS' END AS label, CASE status WHEN 'O' THEN 'UP' WHEN 'F' THEN 'DOWN' ELSE 'SIDEWAYS' END AS predicted

@@ -145,7 +145,7 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passe
         whole = min(passes, int(gives // n)) if n else 0
         rows.append((list(p), [goal[s] for s in p], [sizes[s] for s in p], whole, gives - whole * n if whole < passes else 0.0))
     schema = "sources array<string>, targets array<double>, source_sizes array<long>, whole int, rest double"
-    wanted = spark.createDataFrame(rows, schema)
+    wanted = save(spark.createDataFrame(rows, schema), "wanted")  # of a known size, so that a small one is broadcast
     placed = sized.select("sources", "size", place("doc_id", seed).alias("place"))
     border = wanted.filter("rest > 0").select("sources", "rest", F.lit("").alias("bin"), F.lit(0).cast("long").alias("before"))
     w = Window.partitionBy("sources").orderBy("bin")

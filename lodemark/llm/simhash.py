@@ -58,10 +58,17 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def block_masks(n: int, distance: int = DISTANCE) -> list[int]:
-    """Signed masks of the keys for n distinct fingerprints: the fewest blocks with two chance partners for each, or 12."""
-    for m in range(distance + 1, 13):
-        if m == 12 or comb(m, distance) * n / 2 ** (64 * (m - distance) / m) <= 2:
-            break
+    """Signed masks of the keys for n distinct fingerprints: the number of blocks with the least work.
+
+    A key is a row to shuffle, another visit if it has a chance partner, and a comparison (which costs a thousandth) with each partner.
+    More blocks make more keys, but longer ones.
+    """
+
+    def work(m: int) -> float:
+        partners = n / 2 ** (64 * (m - distance) / m)
+        return comb(m, distance) * (1.5 + 2 * min(1.0, partners) + partners / 1000)
+
+    m = min(range(distance + 1, 13), key=work)
     edges = [round(64 * k / m) for k in range(m + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
     masks = [sum(chosen) for chosen in combinations(blocks, m - distance)]

@@ -13,9 +13,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Few rows in each Arrow batch, as a text may be long; the bytes are bounded where Spark can do that."""
+def bound_batches(spark: SparkSession, rows: int = 400, size: int = 32 << 20) -> None:
+    """Few rows and bytes in each Arrow batch, as a text may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def fold(key: str | Column) -> Column:

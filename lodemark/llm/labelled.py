@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         ids = part if ids is None else ids.unionByName(part)
     own = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(ids), "_id")
     sizes = own.select("_id", "_label", F.length("_text").alias("n")).collect()
-    import hashlib
-
     room, chosen = {0: max_chars // 2, 1: max_chars // 2}, set()
     for r in sorted(sizes, key=lambda r: (hashlib.md5(str(r["_id"]).encode()).hexdigest(), r["n"])):
         if r["n"] <= room[r["_label"]]:

@@ -189,7 +189,7 @@ def decode_extents(kind: str):
 
 def read_index(extents: DataFrame, kind: str = "byte") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the decoded ids. Shards' sizes alone are summed in one place."""
-    bound_batches(extents.sparkSession, 16)
+    bound_batches(extents.sparkSession)
     docs = extents.mapInArrow(decode_extents(kind), "doc_id long, shard int, place long, n_tokens long, ids_crc32 long")
     shards = extents.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))

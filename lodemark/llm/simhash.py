@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodemark.operators.graph import components
+from lodemark.operators.jaccard import jaccard_classes
 from lodemark.storage import save
 
 from .common import bound_batches, read_table
@@ -151,16 +152,18 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distanc
     return rows.join(save(named, "components"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The document with the smallest id of each component, once, with all its columns.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the smallest id of each class of near-duplicates (five-word Jaccard of 0.8 or more), once, with all its columns.
 
-    Rows without an id stay where nothing with an id is linked to them.
+    op3's contract of four-word fingerprints binds that query only. Rows without an id stay where nothing with an id is linked to them.
     """
-    groups = near_dedup(docs, key, text, distance)
-    heads = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col(key).cast("long").eqNullSafe(F.col("_head")), "left_semi")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text)))
-    return kept.withColumn("_place", place).filter((F.col("_place") == 1) | F.col(key).isNull()).drop("_place")
+    classes = save(jaccard_classes(docs, key, text), "classes")
+    heads = classes.filter("id = class_id").select(F.col("id").alias("_id")).distinct()
+    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(text)))
+    kept = docs.withColumn("_id", F.col(key).cast("long")).join(heads, "_id", "left_semi").withColumn("_place", place).filter("_place = 1")
+    unnamed = classes.filter("class_id IS NULL").select(F.col("text_hash").alias("_hash")).distinct()
+    others = docs.filter(F.col(key).isNull()).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(unnamed, "_hash", "left_semi")
+    return kept.select(*docs.columns).unionByName(others.select(*docs.columns))
 
 
 def op3_simhash(spark, sf_dir):

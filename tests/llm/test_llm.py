@@ -449,3 +449,49 @@ def test_pipeline_equals_brute_force(spark, data):
     assert sorted(map(tuple, p.run(spark, data).collect())) == want
     mixed = p.mixing(spark, docs, data)
     assert mixed.columns == docs.columns and p.ORACLE_SQL is None
+
+
+def near_heads(texts):
+    """Least id of the class of each text, from all pairs of whole sets of five-word shingles."""
+    root, sets = {i: i for i in texts}, {}
+    for i, t in texts.items():
+        w = (t or "").lower().encode("utf-8", "replace").split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(texts), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_jaccard_classes_equal_all_pairs(spark, data, tile):
+    from lodemark.operators import jaccard
+
+    rng = random.Random(12)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for i in range(60):  # two to seven changed words in about 100: similarities on both sides of 0.8
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(80, 120))]
+        for k in range(4):
+            other = list(base)
+            for at in rng.sample(range(len(base)), rng.randrange(1, 6)):
+                other[at] = f"x{rng.randrange(5000)}"
+            texts[100_000 + 4 * i + k] = " ".join(other)
+    want = near_heads(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.id: r.class_id for r in jaccard.jaccard_classes(docs, tile=tile).collect()} == want
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want.values())
+    assert len(set(want.values())) < len(set(brute_components({i: brute_fingerprint(t) for i, t in texts.items()}).values()))
+
+
+def test_pipeline_equals_brute_force_on_shingles(spark, data, monkeypatch):
+    """The pipeline's brute force, with heads by five-word Jaccard in place of op3's fingerprints."""
+    monkeypatch.setitem(globals(), "brute_fingerprint", lambda text: text)
+    monkeypatch.setitem(globals(), "brute_components", near_heads)
+    test_pipeline_equals_brute_force(spark, data)

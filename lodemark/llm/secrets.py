@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest, in DataFrame operations and Spark's ML only.
 
-A candidate is a run of at least 16 characters of keys, with a digit. What tells a key from an identifier, a path, a digest or a number is
+A candidate is a run of at least 16 characters of keys, with a digit, or whatever is assigned to a secret's name by ``=`` or ``:``, be it as short
+and of such characters as it may. What tells a key from an identifier, a path, a digest or a number is
 its length, how often the character class changes, how much of it dictionary words cover, whether it is part of a path, and the words
 next to it. The forest learns that from labelled findings: a table of (before, candidate, after, label).
 """
@@ -15,7 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: What can end the name of a secret, and what stands between it and its value. The short lookbehind spares most places the long one.
+NAMED = r"(?:secret(?!ar)|token(?!i)|passw(?:or)?d|passphrase|pwd|api[_-]?key|auth(?!or)|bearer|credential|private[_-]?key|access[_-]?key|signature)"
+ASSIGNED = r"(?<=[:=][ \t]{0,3}[\"'`]?)(?<=(?i:" + NAMED + r")[A-Za-z0-9_-]{0,16}[\"'`\]]{0,2}[ \t]{0,3}[:=]{1,2}[ \t]{0,3}"
+#: A value in quotes goes to the closing one, else to white space, a quote, & or a final comma or semicolon.
+VALUE = ASSIGNED + r"[\"'`])[^\"'`\r\n]++(?=[\"'`])|" + ASSIGNED + r")(?![:=])(?:[^\s\"'`&<>,;]|[,;](?![\s\"'`]|$))++"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+CANDIDATE = f"(?:{VALUE}|{RUN})"
 BEFORE, AFTER = 48, 16
 SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "api[_-]?key", "apikey", "auth", "bearer", "credential", "private", "access[_-]?key", "signature")
 OTHER_WORDS = ("commit", "sha", "md5", "hash", "checksum", "digest", "uuid", "guid", "etag", "revision", "version", "build", "card", "phone", "isbn", "order", "http", "www", "file", "path", "image")
@@ -43,6 +50,11 @@ def features(before: Column, candidate: Column, after: Column) -> dict[str, Colu
         "hexadecimal": candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("int"),
         "kinds": F.size(F.array_distinct(F.split(F.substring(candidate, 1, 256), ""))) / F.least(n, F.lit(64)),
         "dictionary": share(candidate, F.regexp_replace(F.lower(candidate), "|".join(DICTIONARY), "")),
+        "symbols": share(candidate, F.regexp_replace(candidate, r"[^\sA-Za-z0-9+/_=-]", "")),
+        "blanks": share(candidate, F.regexp_replace(candidate, r"\s", "")),
+        "code": candidate.rlike(r"[(){}\[\]$<>]|^[A-Za-z_]\w*(\.[A-Za-z_]\w*)+$").cast("int"),
+        "vowels": share(F.lower(candidate), F.translate(F.lower(candidate), "aeiou", "")),
+        "plain": candidate.rlike(r"^([A-Z]?[a-z]+|[A-Z]+)[.:!?]?$").cast("int"),
         "separators": share(candidate, F.translate(candidate, "_-", "")),
         "slashes": share(candidate, F.translate(candidate, "/", "")),
         "grouped": candidate.rlike("^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$").cast("int"),
@@ -54,7 +66,7 @@ def features(before: Column, candidate: Column, after: Column) -> dict[str, Colu
     }
 
 
-NAMES = ["chars", "transitions", "digits", "upper", "hexadecimal", "kinds", "dictionary", "separators", "slashes", "grouped", "in_path", "secret_word", "other_word", "assigned", "quoted"]
+NAMES = ["chars", "transitions", "digits", "upper", "hexadecimal", "kinds", "dictionary", "symbols", "blanks", "code", "vowels", "plain", "separators", "slashes", "grouped", "in_path", "secret_word", "other_word", "assigned", "quoted"]
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -97,6 +109,14 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> Data
         (pick(8, "number ", "card ", "", "call ", "page "), F.substring(digits, F.lit(1), pick(9, "16", "17", "19", "24").cast("int")), pick(9, " ", ". ", ", "), 0),
         (pick(8, "", "image ", "see "), F.concat(words[0], F.lit("_"), words[1], F.lit("-"), words[2], F.substring(digits, 1, 3)), F.lit(" "), 0),
         (F.concat(key_name, join), F.concat(F.repeat(F.lit("x"), 15), F.substring(digits, 1, 1), F.repeat(F.lit("0"), 8)), close, 0),
+        (F.concat(key_name, join), F.substring(F.translate(base64(7, 64), "0123456789", "qXvKzRwTmB"), F.lit(1), pick(9, "10", "16", "24", "40").cast("int")), close, 1),
+        (F.concat(key_name, join), F.substring(F.translate(some(6), "0123456789", "ghjkmnpqrs"), F.lit(1), pick(9, "12", "20", "32").cast("int")), close, 1),
+        (F.concat(pick(8, "password", "passwd", "pwd", "DB_PASSWORD"), join), F.concat(F.substring(base64(7, 8), 2, 5), pick(9, "!", "#", "@", "$", "%", "*"), F.substring(digits, 1, 2), pick(21, "", "!", "x", "?")), close, 1),
+        (F.concat(pick(8, "password", "passwd", "pwd", "DB_PASSWORD"), join), F.concat(words[0], pick(9, "!", "#", "@", "$", "%"), F.substring(digits, 1, 3)), close, 1),
+        (F.concat(key_name, join), pick(9, "None", "null", "true", "false", "the", "see", "required", "string", "optional", "this", "is", "undefined", "changeme", "it", "str", "An", "some"), pick(21, ",", " ", "\n", ")"), 0),
+        (F.concat(key_name, join), F.concat(words[0], pick(9, "", ".", "_", "-"), words[1]), close, 0),
+        (F.concat(key_name, pick(4, " = ", "=", ": ")), F.concat(pick(8, "self.", "os.environ[", "get_", "process.env.", "${", "config.", "request.", "read("), pick(9, "token", "password", "key", "auth_key", "secret"), pick(21, "", "()", "]", "}", ")")), F.lit("\n"), 0),
+        (F.concat(key_name, pick(4, " = \"", ": \"")), F.concat_ws(" ", pick(9, "Enter", "The", "Your", "Please give", "Invalid"), words[0], words[1]), F.lit("\""), 0),
     ]
     ids, out = spark.range(0, n, 1, 1), None
     for k, (before, candidate, after, label) in enumerate(cases):
@@ -113,10 +133,10 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 5) -
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ordinal (from 0), before, candidate, after: what is left of the text around candidates gives their neighbours."""
+    """doc_id, ordinal (from 0), before, candidate, after: the candidate before, and what is left of the text, give the neighbours."""
     found = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(CANDIDATE))
     found = found.select("doc_id", F.split("text", CANDIDATE, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("found"))
-    one = F.transform("found", lambda c, i: F.struct(F.right(F.get("pieces", i), F.lit(BEFORE)).alias("before"), c.alias("candidate"), F.left(F.get("pieces", i + 1), F.lit(AFTER)).alias("after")))
+    one = F.transform("found", lambda c, i: F.struct(F.right(F.concat(F.when(i > 0, F.right(F.get("found", i - 1), F.lit(BEFORE))).otherwise(""), F.get("pieces", i)), F.lit(BEFORE)).alias("before"), c.alias("candidate"), F.left(F.get("pieces", i + 1), F.lit(AFTER)).alias("after")))
     return found.select("doc_id", F.posexplode(one).alias("ordinal", "c")).select("doc_id", "ordinal", "c.*")
 
 

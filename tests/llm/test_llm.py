@@ -495,3 +495,24 @@ def test_pipeline_equals_brute_force_on_shingles(spark, data, monkeypatch):
     monkeypatch.setitem(globals(), "brute_fingerprint", lambda text: text)
     monkeypatch.setitem(globals(), "brute_components", near_heads)
     test_pipeline_equals_brute_force(spark, data)
+
+
+def test_secret_values_after_names(spark):
+    """name=VALUE, URL parameters, keys without digits, passwords and short values are candidates; most are told from plain values."""
+    values = {
+        1: ("api_key=9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c", "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c", True),
+        2: ("export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY\n", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", True),
+        3: ("https://x.org/a?token=abcdef1234567890abcdef&page=2", "abcdef1234567890abcdef", True),
+        4: ("client_secret: 'qWvKzRwTmBxLpNcYhGdJ'", "qWvKzRwTmBxLpNcYhGdJ", True),
+        5: ("DB_PASSWORD=s3cr#T!9x\n", "s3cr#T!9x", True),
+        6: ('"password": "p w, \u00fcber!"', "p w, \u00fcber!", None),
+        7: ("pwd=ab", "ab", None),
+        8: ("AUTH_TOKEN_NUMBER_0002=kq81zvbn20skd81mmq02", "kq81zvbn20skd81mmq02", True),
+        9: ("token = None\n", "None", False),
+        10: ("password: required, ", "required", False),
+    }
+    docs = spark.createDataFrame([(k, v[0]) for k, v in values.items()], "doc_id long, text string")
+    rows = secrets.secret_scan(docs).collect()
+    flags = {(r.doc_id, r.candidate): r.is_secret for r in rows}
+    assert {(k, v[1]) for k, v in values.items()} <= set(flags)
+    assert {k for k, v in values.items() if v[2] is not None and flags[k, v[1]] != v[2]} == set()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodemark.functions import labels, models, text
-from lodemark.operators.neardup import near_classes
+from lodemark.operators.jaccard import jaccard_classes
 
 from .registry import query
 from .tables import candles, load, news_articles, sentiment_scores, ticks
@@ -68,8 +68,8 @@ def title_similarity(spark, sf_dir):
 
 @query()
 def minhash_lsh_dedup(spark, sf_dir):
-    """Class of each document; checked against all pairs in the tests."""
-    return near_classes(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Class of each document by five-word Jaccard of 0.8 or more; checked against all pairs in the tests."""
+    return jaccard_classes(load(spark, sf_dir, "documents").select("doc_id", "text")).select("id", "class_id")
 
 
 @query(r"""SELECT event_id, '{"text":"' || '<s>[INST] Symbol ' || symbol || ' at ' || size || ' [/INST] ' || sentiment || ' </s>' || '"}' AS line FROM (SELECT *, CASE WHEN size >= 66 THEN 'BULLISH' ELSE 'NEUTRAL' END AS sentiment FROM ticks)""", "ticks")

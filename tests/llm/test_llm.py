@@ -516,3 +516,10 @@ def test_secret_values_after_names(spark):
     flags = {(r.doc_id, r.candidate): r.is_secret for r in rows}
     assert {(k, v[1]) for k, v in values.items()} <= set(flags)
     assert {k for k, v in values.items() if v[2] is not None and flags[k, v[1]] != v[2]} == set()
+
+
+def test_minhash_query_equals_all_pairs(spark, data):
+    from lodemark.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert {r.id: r.class_id for r in QUERIES["minhash_lsh_dedup"](spark, data).collect()} == near_heads(texts)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemark.storage import save
+from lodemark.storage import discard, save
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -38,7 +38,10 @@ def components(links: DataFrame) -> DataFrame:
     now = save(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _mark(now)
     while mark[0]:
-        now = save(_small(save(_large(now), "links")), "links")
+        stars = save(_large(now), "links")
+        discard(now)
+        now = save(_small(stars), "links")
+        discard(stars)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lodemark.storage import save
 
 from .graph import components
+from .skew import join_unique
 
 WORDS, LEAST, MINIMA, BAND, ALIKE = 5, 0.8, 150, 5, 96
 #: Members of a group that meet in one task, and bytes of their texts.
@@ -131,13 +132,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ti
     without words are alike. Rows without an id never name a class; its id is null if no row has one. ``text_hash`` is Spark's
     xxhash64 of the text, with null as empty.
     """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     whole = F.coalesce(F.col(text), F.lit(""))
     plain = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"), F.octet_length(whole).cast("long").alias("size"))
     rows = save(plain.mapInArrow(_sets, "id long, text_hash long, node long, sig binary, size long"), "sets")
-    distinct = save(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("size").alias("size"), F.min("sig").alias("sig")), "distinct")
+    distinct = save(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("size").alias("size"), F.min("sig").alias("sig")), "distinct")
     bands = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("sig", k * BAND + 1, BAND)) for k in range(MINIMA // BAND))))
     keys = distinct.select("node", bands.alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / tile).alias("tiles"))
@@ -148,6 +146,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ti
     texts = plain.select("text_hash", "text").join(clusters.select("text_hash").distinct(), "text_hash").groupBy("text_hash").agg(F.any_value("text").alias("text"))
     links = _met(_tiled(clusters, sized, "root").join(texts, "text_hash"), "root", "text", verify=True)
     roots = components(links).withColumnRenamed("root", "head")
-    headed = distinct.select("node", "least").join(roots, "node", "left").withColumn("head", F.coalesce("head", "node"))
-    named = headed.join(headed.groupBy("head").agg(F.min("least").alias("class_id")), "head").select("node", "class_id")
-    return rows.select("id", "text_hash", "node").join(save(named, "classes"), "node").select("id", "text_hash", "class_id")
+    headed = save(distinct.select("node", "least").join(roots, "node", "left"), "headed")
+    linked = headed.filter("head IS NOT NULL")
+    sizes = linked.groupBy("head").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    linked = join_unique(linked, sizes.select("head", "class_id"), "head", sizes.select("head", "n")).select("node", "class_id")
+    named = save(linked.unionByName(headed.filter("head IS NULL").select("node", F.col("least").alias("class_id"))), "classes")
+    return join_unique(rows.select("id", "text_hash", "node"), named, "node", distinct.select("node", "n")).select("id", "text_hash", "class_id")

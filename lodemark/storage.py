@@ -25,4 +25,12 @@ def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_as = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``save`` wrote and that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_as)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

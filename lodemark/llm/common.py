@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +18,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = 400, size: int = 32 << 20) -> None:
-    """Few rows and bytes in each Arrow batch, as a text may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, as a text may be long; Spark itself bounds the bytes of a batch."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def by_slices(texts: pd.Series, run: Callable[[list], np.ndarray], rows: int = 400) -> pd.Series:
+    """What ``run`` gives for lists of at most ``rows`` texts."""
+    return pd.Series(np.concatenate([run(list(texts.iloc[k : k + rows])) for k in range(0, len(texts), rows)] or [np.zeros(0)]))
+
+
+def light(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df`` (a few numbers a row, written or cheap to count), marked to be broadcast if it has no more than ``rows``; else Spark chooses."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column of one's own that ``df`` doesn't have."""
+    name = f"_{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def fold(key: str | Column) -> Column:

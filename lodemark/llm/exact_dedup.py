@@ -1,7 +1,8 @@
 """Exact dedup by a tree of merged digest runs, in DataFrame operations only.
 
-The rows are dealt to runs by their id. Within a run, equal digests meet first; then, in rounds, ``fan_in`` runs
-merge into one, so that a digest costs one row for each run and round however many copies it has. The winner of the
+The rows are dealt to runs by a hash of id and text. Within a run, equal digests meet first; then, in rounds, ``fan_in`` neighbouring runs
+are merged into one: their rows are sorted by digest together, and a pass over that order keeps the best identifier of each stretch of equal, verified
+digests. So a digest costs one row for each run and round however many copies it has. The winner of the
 last round is handed down the same tree: no join or group ever holds more than ``fan_in`` rows of one digest, and at
 the bottom no more than one run's share of a group.
 """
@@ -12,6 +13,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodemark.storage import save
 
@@ -27,14 +29,16 @@ def digest_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def merge_tree(rows: DataFrame, keep: str = "max", fan_in: int = 8, rows_per_run: int = 65536) -> DataFrame:
-    """``rows`` (id, digest, n_bytes, check) with keep_id and group_size."""
-    rounds = max(0, math.ceil(math.log(max(1, rows.count()) / rows_per_run, fan_in)))
-    best = {"max": F.max, "min": F.min}[keep]
-    base = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(fan_in**rounds)))
-    levels = [save(base.groupBy("run", *KEYS).agg(best("id").alias("keep_id"), F.count("*").alias("group_size")).sortWithinPartitions("run", "digest"), "runs")]
+    """``rows`` (id, digest, n_bytes, check) with keep_id and group_size; in one round at least."""
+    rounds = max(1, math.ceil(math.log(max(1, rows.count()) / rows_per_run, fan_in)))
+    best, first = {"max": (F.max, F.desc_nulls_last), "min": (F.min, F.asc_nulls_last)}[keep]
+    base = rows.withColumn("run", F.pmod(F.xxhash64("id", "check"), F.lit(fan_in**rounds)))
+    levels = [save(base.groupBy("run", *KEYS).agg(best("id").alias("keep_id"), F.count("*").alias("group_size")).sortWithinPartitions("run", *KEYS), "runs")]
+    equal = Window.partitionBy("run", *KEYS)
     for _ in range(rounds):
-        upper = levels[-1].withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("run", *KEYS)
-        levels.append(save(upper.agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).sortWithinPartitions("run", "digest"), "runs"))
+        merged = levels[-1].withColumn("run", F.floor(F.col("run") / fan_in))
+        merged = merged.withColumns({"place": F.row_number().over(equal.orderBy(first("keep_id"))), "group_size": F.sum("group_size").over(equal)})
+        levels.append(save(merged.filter("place = 1").drop("place"), "runs"))
     won = levels.pop()
     for lower in reversed(levels):
         below = lower.select("run", *KEYS, F.floor(F.col("run") / fan_in).alias("upper"))
@@ -47,7 +51,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
 
     Texts are equal when identical; a null text counts as empty. The row with the largest (or smallest) id stays.
     Rows that repeat an id count each in group_size and share the fate of their id. A null id never wins over an
-    id; where a group has no id at all, keep_id is null and its rows are kept. Empty tables give no rows; other
+    id; where a group has no id at all, keep_id is null and its rows are kept. Texts of any length count whole. Empty tables give no rows; other
     columns, whatever their names, aren't read.
     """
     rows = save(digest_rows(docs, key, text), "digests")

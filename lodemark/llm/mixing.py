@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from lodemark.storage import save
 
-from .common import WORD, read_table
+from .common import WORD, fresh, read_table
 
 WEIGHTS, SHARE, PASSES, SEED = (5, 2, 1), 1.5, 2, 17
 #: Hex digits of the bins, step by step.
@@ -52,7 +52,7 @@ def min_cost_flow(supply: dict, quotas: dict, passes: int = PASSES) -> dict:
     """Words from each pattern (a tuple of sources) to each source: {(pattern, source): words}.
 
     ``supply``: words of each pattern; each pass over them costs one more than the last. Successive shortest paths on each
-    connected part of patterns and sources; a pattern whose only source has no other pattern needs none.
+    connected part of patterns and sources.
     """
     of, out = defaultdict(list), {}
     for p in supply:
@@ -70,10 +70,7 @@ def min_cost_flow(supply: dict, quotas: dict, passes: int = PASSES) -> dict:
                 part.append(p)
                 rest += [q for s in p if s not in met for q in of[s]]
                 met.update(p)
-        if len(part) == 1 and len(start) == 1:
-            out[start, start[0]] = min(float(quotas.get(start[0], 0)), float(passes * supply[start]))
-        else:
-            out |= _part_flow({p: supply[p] for p in part}, quotas, passes)
+        out |= _part_flow({p: supply[p] for p in part}, quotas, passes)
     return out
 
 
@@ -180,12 +177,16 @@ def planned(docs: DataFrame, sources: Column, key: str, text: str, weights: tupl
 
 
 def mix_documents(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text", weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as often as the mix takes them."""
+    """The rows of ``docs``, with all their columns, as often as the mix takes them.
+
+    Null, empty, repeated and very long texts, null ids, ties and empty tables are as in ``mix``. No column's name can clash.
+    """
     _, chosen = planned(docs, sources, key, text, weights, share, passes, seed)
-    chosen = chosen.select(F.col("sources").alias("_sources"), F.col("whole").alias("_whole"), F.col("until").alias("_until"))
-    joined = docs.withColumn("_own", F.array_sort(F.array_distinct(sources))).join(chosen, F.col("_own") == F.col("_sources"))
-    copies = F.col("_whole") + (place(key, seed) <= F.col("_until")).cast("int")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(True), copies)).alias("_copy")).drop("_copy")
+    own, whole, until, copy = (fresh(docs, c) for c in ("own", "whole", "until", "copy"))
+    chosen = chosen.select(F.col("sources").alias(own), F.col("whole").alias(whole), F.col("until").alias(until))
+    copies = F.col(whole) + (place(key, seed) <= F.col(until)).cast("int")
+    joined = docs.withColumn(own, F.array_sort(F.array_distinct(sources))).join(chosen, own)
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(True), copies)).alias(copy)).drop(copy)
 
 
 def op9_mix_flow(spark, sf_dir):

@@ -15,13 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fold, read_table
+from .common import by_slices, fold, read_table
 from .labelled import labelled_sample
 
 #: Bounds of the fit: labelled rows of each class, characters of all of them.
 PER_CLASS, MAX_CHARS = 2000, 16_000_000
 STEP, WIDTH, DIM, FILTERS, LAGS = 4, 4, 4, 24, range(2, 25)
-CHUNK, OVERLAP, SLAB = 1 << 16, 64, 1 << 19
+#: Bytes of a chunk's own windows, frames before them that its flags look at, and bytes that go through the filters together.
+CHUNK, LEAD, SLAB = 1 << 16, 6, 1 << 19
 
 
 def repeats(data: np.ndarray, n: int) -> np.ndarray:
@@ -36,21 +37,32 @@ def repeats(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def chunks(text: str | None) -> list[bytes]:
+def chunks(text: str | None) -> list[tuple[bytes, int, int]]:
+    """Overlapping parts of the text's bytes: (bytes, frames before the first window, windows). Together they have each window once.
+
+    A window starts at each frame; only those at the text's end run into empty frames. So no maximum depends on where chunks end.
+    """
     data = (text or "").encode("utf-8", "replace")
-    return [data[k : k + CHUNK] for k in range(0, max(1, len(data) - OVERLAP), CHUNK - OVERLAP)]
+    n, size = max(1, -(-len(data) // STEP)), max(1, CHUNK // STEP)
+    out = []
+    for a in range(0, n, size):
+        b, lead = min(n, a + size), min(a, LEAD)
+        out.append((data[(a - lead) * STEP : (b + WIDTH) * STEP], lead, b - a))
+    return out
 
 
-def frames(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All chunks' frames (bytes and flags), each chunk followed by empty frames, and where its windows start and end."""
-    counts = [max(1, -(-len(p) // STEP)) for p in parts]
-    starts = np.concatenate(([0], np.cumsum([n + WIDTH - 1 for n in counts])))
+def frames(parts: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All chunks' frames (bytes and flags), and where the windows of each start and end."""
+    starts = np.concatenate(([0], np.cumsum([n + WIDTH - 1 for _, _, n in parts])))
     data, flags = np.zeros(int(starts[-1]) * STEP, np.uint8), np.zeros(int(starts[-1]), np.float32)
-    for p, s, n in zip(parts, starts.tolist(), counts, strict=False):
-        own = np.frombuffer(p, np.uint8)
+    for (p, lead, n), s in zip(parts, starts.tolist(), strict=False):
+        whole = np.frombuffer(p, np.uint8)
+        own = whole[lead * STEP : (lead + n + WIDTH - 1) * STEP]
         data[s * STEP : s * STEP + len(own)] = own
-        flags[s : s + n] = repeats(own, n) if len(own) > 8 else 0
-    return data.reshape(-1, STEP), flags, starts[:-1], starts[:-1] + np.array(counts)
+        if len(whole) > 8:
+            told = repeats(whole, -(-len(whole) // STEP))[lead : lead + n + WIDTH - 1]
+            flags[s : s + len(told)] = told
+    return data.reshape(-1, STEP), flags, starts[:-1], starts[:-1] + np.array([n for _, _, n in parts])
 
 
 class Network:
@@ -80,7 +92,7 @@ class Network:
             out += x[k : k + n] @ self.p["filters"][k]
         return out
 
-    def pooled(self, parts: list[bytes]) -> np.ndarray:
+    def pooled(self, parts: list[tuple[bytes, int, int]]) -> np.ndarray:
         """Each chunk's largest filter values."""
         data, flags, starts, ends = frames(parts)
         conv = self.convolve(self.inputs(data, flags))
@@ -101,8 +113,8 @@ class Network:
         first = 0
         while first < len(parts):
             last, n = first, 0
-            while last < len(parts) and (last == first or n + len(parts[last]) <= SLAB):
-                n += len(parts[last])
+            while last < len(parts) and (last == first or n + len(parts[last][0]) <= SLAB):
+                n += len(parts[last][0])
                 last += 1
             np.maximum.at(best, of[first:last], self.pooled(parts[first:last]))
             first = last
@@ -173,7 +185,7 @@ def score(net: Network, text: str = "text") -> Column:
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(1 / (1 + np.exp(-net.logits(list(texts)).astype(np.float64))))
+            yield by_slices(texts, lambda some: 1 / (1 + np.exp(-net.logits(some).astype(np.float64))))
 
     return probability(F.col(text))
 
@@ -182,17 +194,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k
     """doc_id, held_out, score, predicted for each row of ``docs``.
 
     Empty and null texts have the score of an empty document; rows that repeat are each in the result; a null id is in no
-    fold and so not held out. Without labels of both classes all scores are alike. Empty tables give no rows.
+    fold and so not held out. Texts of any length are read whole, in chunks; equal filter values don't matter to a maximum. Columns other than key and text
+    aren't read, whatever their names. Without labels of both classes all scores are alike. Empty tables give no rows.
     """
-    bound_batches(docs.sparkSession)
     net = train(docs, labels, key=key, text=text, **bounds)
     out = docs.select(F.col(key).alias("doc_id"), F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out"), score(net, text).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text", **bounds: int) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
-    bound_batches(docs.sparkSession)
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more.
+
+    Null and empty texts have a score too, rows that repeat share their fate, ids may be null, and no column's name can clash; very long texts, missing
+    labels and empty tables are as in ``quality_scores``.
+    """
     net = train(docs, labels, key=key, text=text, **bounds)
     return docs.filter(score(net, text) >= threshold)
 

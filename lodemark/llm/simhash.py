@@ -18,13 +18,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodemark.operators.graph import components
 from lodemark.operators.jaccard import jaccard_classes
+from lodemark.operators.skew import join_unique
 from lodemark.storage import save
 
-from .common import bound_batches, read_table
+from .common import fresh, read_table, slices
 
 SHINGLE, SEED, DISTANCE, TILE = 4, 42, 4, 4096
 
@@ -47,14 +47,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a long); null and empty texts have 0."""
-    bound_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -145,25 +144,35 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distanc
     null only if none of its rows has one. Empty tables give no rows.
     """
     rows = save(fingerprints(docs, key, text), "fingerprints")
-    distinct = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(close_links(distinct.select("fp"), distance))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(save(named, "components"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = save(distinct.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left"), "rooted")
+    linked = named.filter("root IS NOT NULL")
+    sizes = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    linked = join_unique(linked, sizes.select("root", "component_id"), "root", sizes.select("root", "n")).select("fp", "component_id")
+    named = save(linked.unionByName(named.filter("root IS NULL").select("fp", F.col("least").alias("component_id"))), "components")
+    joined = join_unique(rows, named, "fp", distinct.select("fp", "n"))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the smallest id of each class of near-duplicates (five-word Jaccard of 0.8 or more), once, with all its columns.
 
-    op3's contract of four-word fingerprints binds that query only. Rows without an id stay where nothing with an id is linked to them.
+    op3's contract of four-word fingerprints binds that query only. Rows without an id stay where nothing with an id is linked to them. Of rows that
+    repeat an id that stays, the one with the least hash of its text does. Null texts count as empty, all texts without words are alike, and texts of any length count
+    whole. No column's name can clash. Empty tables give no rows.
     """
     classes = save(jaccard_classes(docs, key, text), "classes")
-    heads = classes.filter("id = class_id").select(F.col("id").alias("_id")).distinct()
-    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(text)))
-    kept = docs.withColumn("_id", F.col(key).cast("long")).join(heads, "_id", "left_semi").withColumn("_place", place).filter("_place = 1")
-    unnamed = classes.filter("class_id IS NULL").select(F.col("text_hash").alias("_hash")).distinct()
-    others = docs.filter(F.col(key).isNull()).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(unnamed, "_hash", "left_semi")
-    return kept.select(*docs.columns).unionByName(others.select(*docs.columns))
+    own, hash_ = fresh(docs, "own"), fresh(docs, "hash")
+    heads = classes.filter("id = class_id").groupBy(F.col("id").alias(own)).agg(F.count("*").alias("n"))
+    heads = save(heads, "heads")
+    named = docs.withColumn(own, F.col(key).cast("long"))
+    once = named.join(heads.filter("n = 1").select(own), own, "left_semi")
+    again = named.join(heads.filter("n > 1").select(own), own, "left_semi").groupBy(own)
+    again = again.agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(text)).alias("row")).select("row.*")
+    unnamed = classes.filter("class_id IS NULL").select(F.col("text_hash").alias(hash_)).distinct()
+    others = docs.filter(F.col(key).isNull()).withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(unnamed, hash_, "left_semi")
+    return once.drop(own).unionByName(again).unionByName(others.drop(hash_))
 
 
 def op3_simhash(spark, sf_dir):

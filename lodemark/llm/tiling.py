@@ -1,56 +1,97 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin hashes.
 
-Each document is scanned for seeds, windows of ``least`` tokens that a benchmark item has too, by rolling hashes, which
-are then verified on the tokens. The seeds that join a document and an item grow to maximal matches; the longest that
-overlaps no tile becomes the next tile, until none of ``least`` tokens is left. The share of the item under tiles is its
-coverage, in whatever order its passages come. The benchmark is a stated query set: it goes to the
-executors in blocks of bounded size, and each block is compared with all rows.
+1. Seeds: the windows of ``least`` tokens of each benchmark item, as rolling hashes. A fixed-size bitmap of them lets one pass over
+   the documents keep what can match: the tokens of windows that the benchmark has too.
+2. Join on shared seeds. An item that is covered to ``coverage`` can't miss more than the rest of its tokens, so every document that covers it
+   has a window that touches one of any few more. Those of an item's tokens whose windows the fewest items share are taken; their windows
+   join documents and items. A line that many items share so makes no pairs, unless it is nearly all there is of them.
+3. Tiling of each pair: seeds, verified on the tokens, grow to maximal matches; the longest that overlaps no tile becomes the next tile, until none
+   of ``least`` tokens is left. The share of the item under tiles is its coverage, in whatever order its passages come.
+
+Items with the same tokens are tiled once. Items of fewer than ``least`` tokens have one window, the whole item.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, read_table
+from lodemark.storage import save
 
-LEAST, COVERAGE, BLOCK_CHARS = 5, 0.8, 4_000_000
-TOKEN = re.compile(r"\w+")
+from .common import light, read_table, slices
+
+LEAST, COVERAGE = 5, 0.8
+#: Bits of the bitmap for each window of the benchmark, and the most of all (128 MB).
+BITS, MOST_BITS = 16, 1 << 30
+#: Pairs of equal windows that are looked at together.
+SLAB = 2_000_000
+#: Scripts without spaces between words (Thai to Khmer, Chinese, Japanese): each character is a token.
+UNSPACED = "฀-໿က-႟ក-៿⺀-⿟぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+PLAIN, ANY_UNSPACED, MIXED = re.compile(r"\w+"), re.compile(f"[{UNSPACED}]"), re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case words without punctuation."""
-    return TOKEN.findall((text or "").lower())
+    """Lower-case words without punctuation, and single characters of scripts without spaces."""
+    low = (text or "").lower()
+    return (PLAIN if low.isascii() or not ANY_UNSPACED.search(low) else MIXED).findall(low)
+
+
+def numbered(texts: list[str | None]) -> list[np.ndarray]:
+    """Each text's tokens as hashes; 0 stands for none of them."""
+    named = [tokens(t) for t in texts]
+    kinds = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) or 1 for x in named for w in x}
+    return [np.fromiter(map(kinds.__getitem__, x), np.uint64, len(x)) for x in named]
 
 
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hash, modulo 2^64, of each window of ``width`` ids."""
+    """Karp-Rabin hash, modulo 2^64, of each window of ``width`` ids; windows of other widths have other hashes."""
     n = len(ids) - width + 1
-    out = np.zeros(max(0, n), np.uint64)
+    out = np.full(max(0, n), width, np.uint64)
     for k in range(width if n > 0 else 0):
         out = out * BASE + ids[k : k + n]
-    return out
-
-
-def greedy_tiles(pairs: np.ndarray, n_doc: int, n_item: int, width: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in the document, start in the item, length), longest first, ties by position.
-
-    ``pairs``: starts (document, item) of equal windows of ``width`` tokens.
-    """
-    diagonal = pairs[:, 0] - pairs[:, 1]
-    pairs = pairs[np.lexsort((pairs[:, 0], diagonal))]
-    diagonal = pairs[:, 0] - pairs[:, 1]
-    cut = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(pairs[:, 0]) != 1)) + 1
-    starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(pairs)]))
-    heap = [(-(int(e - s) + width - 1), int(pairs[s, 0]), int(pairs[s, 1])) for s, e in zip(starts, ends, strict=True)]
+    return out ^ (out >> np.uint64(32))
+
+
+def maximal(doc_hashes: np.ndarray, at: np.ndarray, item_hashes: np.ndarray, item_order: np.ndarray) -> np.ndarray:
+    """(start in the document, start in the item, windows) of each run of equal windows; ``at``: the document's places that have any, ascending."""
+    found = []
+    low, high = np.searchsorted(item_hashes, doc_hashes[at]), np.searchsorted(item_hashes, doc_hashes[at], "right")
+    n, first = high - low, 0
+    through = np.cumsum(n)
+    while first < len(at):  # by slabs of the document, so that runs are cut at few places
+        last = max(first + 1, int(np.searchsorted(through, (through[first - 1] if first else 0) + SLAB, "right")))
+        own, m = n[first:last], int(n[first:last].sum())
+        i = np.repeat(at[first:last], own)
+        j = item_order[np.repeat(low[first:last] - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(m)]
+        order = np.lexsort((i, i - j))
+        i, j = i[order], j[order]
+        cut = np.flatnonzero((np.diff(i - j) != 0) | (np.diff(i) != 1)) + 1
+        starts = np.concatenate(([0], cut))
+        found.append(np.stack((i[starts], j[starts], np.diff(np.append(starts, m))), axis=1))
+        first = last
+    runs = np.concatenate(found)
+    if len(found) > 1:  # runs that go on in the next slab
+        runs = runs[np.lexsort((runs[:, 0], runs[:, 0] - runs[:, 1]))]
+        goes_on = (np.diff(runs[:, 0] - runs[:, 1]) == 0) & (runs[:-1, 0] + runs[:-1, 2] == runs[1:, 0])
+        heads = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+        runs = np.column_stack((runs[heads, :2], np.add.reduceat(runs[:, 2], heads)))
+    return runs
+
+
+def greedy_tiles(runs: np.ndarray, n_doc: int, n_item: int, width: int) -> list[tuple[int, int, int]]:
+    """Tiles (start in the document, start in the item, length), longest first, ties by position, of maximal matches."""
+    heap = [(-(n + width - 1), i, j) for i, j, n in runs.tolist()]
     heapq.heapify(heap)
     in_doc, in_item, tiles = np.zeros(n_doc, bool), np.zeros(n_item, bool), []
     while heap:
@@ -67,105 +108,170 @@ def greedy_tiles(pairs: np.ndarray, n_doc: int, n_item: int, width: int) -> list
     return tiles
 
 
-class Benchmark:
-    """A block of items: their vocabulary, their tokens as ids and the sorted hashes of their windows."""
-
-    def __init__(self, items: list[tuple[int, str | None]], width: int):
-        self.width, self.ids, self.vocabulary = width, [x[0] for x in items], {}
-        self.items = [np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens(text)], np.uint64) for _, text in items]
-        hashes = [rolling(x, width) for x in self.items]
-        of = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
-        at = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
-        all_hashes = np.concatenate(hashes or [np.zeros(0, np.uint64)])
-        order = np.argsort(all_hashes, kind="stable")
-        self.hashes, self.of, self.at = all_hashes[order], of[order], at[order]
-
-    def covered(self, text: str | None, least: float) -> list[tuple]:
-        """(item, coverage, tokens under tiles, tiles, longest tile) for each item covered to ``least`` or more."""
-        get = self.vocabulary.get
-        ids = np.array([get(t, 0) for t in tokens(text)], np.uint64)
-        if len(ids) < self.width or not len(self.hashes):
-            return []
-        gaps = np.concatenate(([0], np.cumsum(ids == 0)))
-        whole = np.flatnonzero(gaps[self.width :] == gaps[: -self.width])
-        if not len(whole):
-            return []
-        hashes = rolling(ids, self.width)[whole]
-        low, high = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, "right")
-        hit = high > low
-        whole, low, high = whole[hit], low[hit], high[hit]
-        if not len(whole):
-            return []
-        n = high - low
-        seeds = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        at, of = np.repeat(whole, n), self.of[seeds]
-        found = []
-        for k in np.unique(of):
-            item, mine = self.items[k], of == k
-            pairs = np.stack((at[mine], self.at[seeds[mine]]), axis=1)
-            span = np.arange(self.width)
-            if len(np.unique(pairs[:, 1:] + span)) < least * len(item):
-                continue  # not even all its seeds cover enough
-            pairs = pairs[np.all(ids[pairs[:, :1] + span] == item[pairs[:, 1:] + span], axis=1)]
-            if len(pairs):
-                tiles = greedy_tiles(pairs, len(ids), len(item), self.width)
-                under = sum(t[2] for t in tiles)
-                if under >= least * len(item):
-                    found.append((self.ids[k], under / len(item), under, len(tiles), max(t[2] for t in tiles)))
-        return found
-
-
-def blocks(benchmark: DataFrame, width: int, item: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[Benchmark]:
-    """The benchmark in blocks of about ``block_chars`` characters, one in the driver's memory at a time."""
-    rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text"))
-    n = max(1, ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield Benchmark(sorted(((r.item, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), width)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, coverage, tokens, tiles, longest) for each document that covers ``coverage`` of an item or more.
-
-    Null and empty texts and items of fewer than ``least`` tokens match nothing. Rows and items that repeat are each in the
-    result. Null ids stay null. An empty table on either side gives no rows.
-    """
-    bound_batches(docs.sparkSession)
+class Tiled:
+    """What is left of a document, and its windows by width."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.by_width = ids, {}
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if width not in self.by_width:
+            hashes = rolling(self.ids, width)
+            order = np.argsort(hashes, kind="stable")
+            self.by_width[width] = hashes, order, hashes[order]
+        return self.by_width[width]
+
+    def cover(self, item: np.ndarray, least: int, coverage: float) -> tuple[float, int, int, int] | None:
+        """(coverage, tokens under tiles, tiles, longest tile), or None below ``coverage``."""
+        width, n = min(least, len(item)), len(item)
+        hashes, order, ranked = self.windows(width)
+        own = rolling(item, width)
+        low, high = np.searchsorted(ranked, own), np.searchsorted(ranked, own, "right")
+        hit, under = np.flatnonzero(high > low), np.zeros(n, bool)
+        hit = hit[[bool((self.ids[order[low[k]] + np.arange(width)] == item[k : k + width]).all()) for k in hit]] if len(hit) else hit
+        for k in range(width):
+            under[hit + k] = True
+        if not len(hit) or under.sum() < coverage * n - 1e-9:
+            return None  # not even all its seeds cover enough
+        kinds = np.unique(own[hit])
+        at = np.sort(np.concatenate([order[a:b] for a, b in zip(np.searchsorted(ranked, kinds), np.searchsorted(ranked, kinds, "right"), strict=True)]))
+        places = hit[np.argsort(own[hit], kind="stable")]
+        tiles = greedy_tiles(maximal(hashes, at, own[places], places), len(self.ids), n, width)
+        got = sum(t[2] for t in tiles)
+        return (got / n, got, len(tiles), max(t[2] for t in tiles)) if got >= coverage * n - 1e-9 else None
+
+
+def _items(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = numbered(batch.column(1).to_pylist())
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in ids]
+            windows = [rolling(x, min(least, len(x))).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in ids]
+            columns = [pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int32()), pa.array(windows, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["item_id", "key", "ids", "n", "windows"])
+
+    return run
+
+
+def _rare_windows(least: int, coverage: float):
+    """Of (key, n, windows, shared: in how many items each window is): the windows that every document which covers the item has one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, out = [], []
+            for key, n, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                windows.sort(key=lambda w: w["at"])
+                shared, width = np.array([w["shared"] for w in windows]), min(least, n)
+                worst = np.zeros(n, np.int64)  # of each token, the most shared window it is in
+                for k in range(width):
+                    worst[k : k + len(shared)] = np.maximum(worst[k : k + len(shared)], shared)
+                missed = n - ceil(coverage * n - 1e-9)  # tokens that can stay uncovered
+                tokens_ = np.argsort(worst, kind="stable")[: missed + 1]
+                touched = np.unique(np.clip(tokens_[:, None] - np.arange(width), 0, len(shared) - 1))
+                chosen = {windows[w]["hash"] for w in touched.tolist()}
+                keys += [key] * len(chosen)
+                out += sorted(chosen)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.int64())], names=["key", "hash"])
+
+    return run
+
+
+def _suspects(bitmap, mask: int, widths: list[int]):
+    """Of (doc_id, text): row, doc_id, digest of the text, its tokens that seeds cover (0 for what is between), and the seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, row = np.frombuffer(bitmap.value, np.uint8), TaskContext.get().partitionId() << 40
+        for batch in slices(batches):
+            rows = []
+            for doc, text, ids in zip(batch.column(0).to_pylist(), texts := batch.column(1).to_pylist(), numbered(texts), strict=True):
+                row += 1
+                covered, seeds = np.zeros(len(ids), bool), []
+                for width in widths:
+                    hashes = rolling(ids, width)
+                    place = hashes & np.uint64(mask)
+                    at = np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+                    if len(at):
+                        seeds.append(hashes[at])
+                        for k in range(width):
+                            covered[at + k] = True
+                if seeds:
+                    ids[~covered] = 0
+                    kept = covered | np.concatenate(([False], covered[:-1]))  # one 0 after each run
+                    rows.append((row, doc, hashlib.md5(text.encode("utf-8", "replace")).hexdigest(), ids[kept].tobytes(), np.unique(np.concatenate(seeds)).view(np.int64)))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["row", "doc_id", "digest", "ids", "seeds"])
+
+    return run
+
+
+def _tile(least: int, coverage: float):
+    """Over rows sorted by row and kind, a document (kind 0) and then its items, one after another: those that it covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, doc = None, None
+        for batch in slices(batches):
+            out = []
+            for row, kind, doc_id, digest, key, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not kind:
+                    at, doc = (row, doc_id, digest), Tiled(np.frombuffer(ids, np.uint64))
+                elif found := doc.cover(np.frombuffer(ids, np.uint64), least, coverage):
+                    out.append((*at[1:], key, *found))
+            types = [pa.int64(), pa.string(), pa.binary(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            columns = zip(*out, strict=True) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "digest", "key", "coverage", "tokens", "tiles", "longest"])
+
+    return run
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, least: int, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, key, coverage, tokens, tiles, longest) of documents and items, and (item_id, key) of the items."""
+    spark = docs.sparkSession
+    raw = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    named = save(raw.mapInArrow(_items(least), "item_id long, key binary, ids binary, n int, windows array<long>").filter("n > 0"), "items")
+    items = save(named.dropDuplicates(["key"]).select("key", "ids", "n", "windows"), "kinds")
+    windows = items.select("key", "n", F.posexplode("windows").alias("at", "hash"))
+    shared = windows.groupBy("hash").agg(F.count_distinct("key").alias("shared"))
+    ranked = windows.join(shared, "hash").groupBy("key", "n").agg(F.collect_list(F.struct("at", "hash", "shared")).alias("windows"))  # as long as an item
+    seeds = save(ranked.mapInArrow(_rare_windows(least, coverage), "key binary, hash long"), "seeds")
+    total, widths = items.agg(F.sum(F.size("windows")), F.array_sort(F.collect_set(F.least("n", F.lit(least))))).first()  # as many widths as ``least`` at most
+    bits = min(MOST_BITS, 1 << max(15, (BITS * (total or 0)).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1).cast("long")) + 1
+    parts = windows.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # 4 KB for each 32,768 bits
+    bitmap = bytearray(bits // 8)
+    for p in parts:
+        bitmap[(p["bucket"] - 1) * 4096 : p["bucket"] * 4096] = p["bits"]
+    bitmap = spark.sparkContext.broadcast(bytes(bitmap))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    names = ["doc_id", "item_id", "coverage", "tokens", "tiles", "longest"]
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-
-    def scan(block: Benchmark):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in block.covered(t, coverage)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
-
-        return run
+    suspects = save(rows.mapInArrow(_suspects(bitmap, bits - 1, list(widths)), "row long, doc_id long, digest string, ids binary, seeds array<long>"), "suspects")
+    bitmap.destroy()
+    met = suspects.select("row", F.explode("seeds").alias("hash")).join(light(seeds), "hash").select("row", "key").distinct()
+    asked = met.join(items.select("key", "ids"), "key").select("row", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("digest"), "key", "ids")
+    held = suspects.join(met.select("row").distinct(), "row", "left_semi").select("row", F.lit(0).alias("kind"), "doc_id", "digest", F.lit(None).cast("binary").alias("key"), "ids")
+    dealt = held.unionByName(asked).repartition("row").sortWithinPartitions("row", "kind")
+    return save(dealt.mapInArrow(_tile(least, coverage), "doc_id long, digest string, key binary, coverage double, tokens long, tiles long, longest long"), "matches"), named.select("item_id", "key")
 
-    out = None
-    for block in blocks(benchmark, least, item, item_text, block_chars):
-        part = rows.mapInArrow(scan(block), "doc_id long, item_id long, coverage double, tokens long, tiles long, longest long")
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, item_id, coverage, tokens, tiles, longest) for each document that covers ``coverage`` of an item or more.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that cover no item: each passes block after block, without a shuffle."""
-    bound_batches(docs.sparkSession)
-    at = docs.columns.index(text)
+    Null and empty texts, and texts without tokens, match nothing. Items of fewer than ``least`` tokens must be covered as a whole. Rows and items that
+    repeat are each in the result, and equal texts have equal results; ties between equally long tiles go to the first place. Texts of any length are
+    read whole. Null ids stay null. Columns other than those named aren't read, whatever their names. An empty table on either side gives no rows.
+    """
+    found, named = matches(docs, benchmark, key, text, item, item_text, least, coverage)
+    return found.join(light(named), "key").select("doc_id", "item_id", "coverage", "tokens", "tiles", "longest")
 
-    def clean(block: Benchmark):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not block.covered(t, coverage) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        return run
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text covers no item.
 
-    for block in blocks(benchmark, least, item, item_text, block_chars):
-        docs = docs.mapInArrow(clean(block), docs.schema)
-    return docs
+    Null, empty and repeated texts, very long ones, ties and empty tables are as in ``contaminated``: rows without a match stay, as often as they
+    are there. Ids aren't looked at, and no column's name can clash.
+    """
+    found, _ = matches(docs.select(F.lit(None).cast("long").alias("id"), F.col(text).alias("text")), benchmark, "id", "text", item, item_text, least, coverage)
+    bad = save(found.select(F.col("digest").alias("_leaked_digest")).distinct(), "leaks")
+    return docs.join(light(bad), F.md5(docs[text]) == bad["_leaked_digest"], "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir):

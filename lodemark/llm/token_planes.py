@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from lodemark.storage import save
 
-from .common import bound_batches, read_table
+from .common import read_table, slices
 
 EXTENT = (
     "shard int, extent int, first_id long, n_ids long, doc_ids array<long>, doc_lengths array<int>, "
@@ -136,7 +136,7 @@ def encode_partition(path: str, end_id: int, kind: str, block_ids: int, extent_i
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
         n = 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for doc, coded in zip(ids, coder.encode(texts), strict=True):
                 docs.append(doc)
@@ -155,11 +155,12 @@ def encode_partition(path: str, end_id: int, kind: str, block_ids: int, extent_i
 def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, kind: str = "byte", block_ids: int = 65536, extent_ids: int = 262144, level: int = 3) -> DataFrame:
     """Writes the ids of all documents to the shared folder, in ascending id order, and returns the table of extents.
 
-    Null texts are empty and have the end id alone; null doc_ids come first; rows that repeat an id are further documents.
-    An empty table writes an empty one. A document isn't cut, so an extent is as long as its longest document at least.
+    Null texts are empty and have the end id alone; null doc_ids come first; rows that repeat an id are further documents, in order of a hash of their
+    texts. Columns other than key and text aren't read, whatever their names. An empty table writes an empty one. A document isn't cut, so an
+    extent is as long as its longest document at least.
     """
-    bound_batches(docs.sparkSession)
-    ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", "tie"]  # the tie also lets many rows of one id, or of none, go to several tasks
+    ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order)
     extents = ordered.mapInArrow(encode_partition(tokenizer, end_id, kind, block_ids, extent_ids, level), EXTENT)
     return save(extents, "ids", compression="none")
 
@@ -167,7 +168,7 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 def decode_extents(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 blocks, at = [], 0
                 for n, k, crc in zip(row["block_lengths"], row["block_planes"], row["block_crcs"], strict=True):
@@ -188,8 +189,11 @@ def decode_extents(kind: str):
 
 
 def read_index(extents: DataFrame, kind: str = "byte") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the decoded ids. Shards' sizes alone are summed in one place."""
-    bound_batches(extents.sparkSession)
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the decoded ids. Shards' sizes alone are summed in one place.
+
+    ``extents``: what ``write_ids`` gives, or its table read again; null and repeated ids and empty texts are in it as further documents, an empty table gives no
+    rows. A damaged block raises an error.
+    """
     docs = extents.mapInArrow(decode_extents(kind), "doc_id long, shard int, place long, n_tokens long, ids_crc32 long")
     shards = extents.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))

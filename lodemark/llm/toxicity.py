@@ -1,11 +1,13 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-A model for toxic texts and one for ordinary texts back off from bigrams to words, to stems of six and of four bytes, and then to one
-shared distribution: the counts of words and stems in all documents, labelled or not. Each lower level has continuation counts: of
-the distinct words before a word, of the distinct words of a stem. So a rare or unseen word of a known family is judged by its family. The two
-log-likelihoods of a text are compared per word (length-normalised): over the whole text and over its most toxic windows, as an
-insult may stand in a long text that is clean otherwise. A logistic curve, fitted on labelled texts that the models haven't seen,
-turns these into a probability.
+"""Toxicity by class-conditional Kneser-Ney models over shared backoff counts.
+
+Two models, of toxic and of ordinary labelled texts, hold Kneser-Ney's continuation counts: before how many distinct words a word stands
+after, in texts of the class of which no two are near copies. An absolute discount is taken from each count and goes to the
+backoff, the share of the word in all documents, labelled or not; and as most words tell nothing, the models are interpolated with that
+backoff once more. So a rare expression is as likely as it is anywhere, unless a class has it after several words. The two
+log-likelihoods of a text are compared per word (length-normalised) in parts of a fixed length, as an insult may stand in a long text
+that is clean otherwise; the part with the largest mean ratio decides, and a logistic curve over that one number gives the probability.
+
+All counts are Spark aggregations over whole tables: over every labelled text outside of the held-out fold and the calibration sample, and over every document.
 """
 
 from __future__ import annotations
@@ -19,259 +21,248 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fold, read_table
+from lodemark.storage import save
+
+from .common import by_slices, fold, light, read_table, slices
 from .labelled import labelled_sample
 
-#: Bounds of the fit: labelled rows of each class, characters of all of them.
+#: Bounds of the sample that the curve is fitted on: labelled rows of each class, characters of all of them.
 PER_CLASS, MAX_CHARS = 2500, 20_000_000
-WINDOWS = (1, 2, 12)
-#: Discounts to choose from. Near copies make a rare n-gram of one text look like one of several, hence the large ones.
-DISCOUNTS = (0.75, 2.0, 5.0, 10.0, 20.0)
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Taken from each continuation count; weight of the discounted counts against the shared backoff; words of a part, and between parts' starts.
+DISCOUNT, WEIGHT, PART, STRIDE = 1.0, 0.03, 8, 4
+#: Words whose ratios are sent to the workers as one table (12 bytes each); beyond that, the words of the texts are joined with them.
+SHARED = 16_000_000
+#: Near copies are found by three minima over five-word shingles.
+SKETCHES, SHINGLE = 3, 5
 #: Letters A-Z to lower case, other ASCII but digits to spaces.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
-
-
-#: Bytes of the stems.
-STEMS = (6, 4)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(TABLE).split()
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def pairs_of(words: np.ndarray) -> np.ndarray:
-    """Hash of each word with the one before it; the first has the hash 0 before it."""
-    return pair_hashes(np.concatenate((np.zeros(1, np.uint64), words[:-1]))[: len(words)], words)
-
-
-def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return (before ^ (before >> np.uint64(29))) * BASE + words
-
-
-def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys, or the number of keys where one is missing."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64)
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return np.where(sorted_keys[at] == keys, at, len(sorted_keys))
-
-
-class Models:
-    """Counts of both classes; n-grams are counted once for each text, so repeated lines weigh no more than others."""
-
-    def __init__(self, texts: dict[int, list[str]]):
-        self.grams, self.kinds, known = {}, {}, {}
-        for c in (0, 1):
-            none, mine = [np.zeros(0, np.uint64)], set()
-            firsts, words, pairs = [], [], []
-            for t in dict.fromkeys(texts[c]):
-                named = words_of(t)
-                mine.update(named)
-                w = hashes(named)
-                p, at = np.unique(pairs_of(w), return_index=True)
-                pairs.append(p)
-                words.append(w[at])
-                firsts.append(np.concatenate((np.zeros(1, np.uint64), w[:-1]))[: len(w)][at])
-            p, w, f = (np.concatenate(x or none) for x in (pairs, words, firsts))
-            keys, at, counts = np.unique(p, return_index=True, return_counts=True)
-            self.grams[c] = keys, f[at], w[at], counts
-            named = sorted(mine)
-            known[c] = [hashes(named), *(hashes([x[:k] for x in named]) for k in STEMS)]
-        both = [np.concatenate([known[c][k] for c in (0, 1)]) for k in range(3)]
-        self.units = [np.unique(x) for x in both]
-        self.up = []
-        for k in range(2):  # each unit's stem
-            up = np.zeros(len(self.units[k]), np.int64)
-            up[find(self.units[k], both[k])] = find(self.units[k + 1], both[k + 1])
-            self.up.append(up)
-        for c in (0, 1):
-            mine = [np.unique(x) for x in known[c][:2]]
-            self.kinds[c] = [np.bincount(self.up[k][find(self.units[k], mine[k])], minlength=len(self.units[k + 1])) for k in range(2)]
-
-    def discount(self, d: float) -> None:
-        """Takes ``d`` (or all, if less) off each count; what is taken goes to the next lower distribution.
-
-        N-grams of no more than ``d`` texts of either class have nothing of their own left and needn't be stored.
-        """
-        some = {c: self.grams[c][3] > d for c in (0, 1)}
-        self.pairs = np.unique(np.concatenate([self.grams[c][0][some[c]] for c in (0, 1)]))
-        self.first = np.unique(np.concatenate([self.grams[c][1][some[c]] for c in (0, 1)]))
-        self.kept, self.held, self.spread, self.own, self.back = {}, {}, {}, {}, {}
-        for c in (0, 1):
-            keys, first, words, counts = self.grams[c]
-            kept = np.zeros(len(self.pairs) + 1, np.float32)  # the last: no known pair
-            kept[find(self.pairs, keys[some[c]])] = counts[some[c]] - d
-            at = find(self.first, first)
-            total = np.bincount(at, counts, len(self.first) + 1)
-            taken = np.bincount(at, np.minimum(counts, d), len(self.first) + 1)
-            total[-1] = taken[-1] = 0
-            self.kept[c] = kept
-            self.held[c] = np.where(total > 0, 1 / np.maximum(total, 1), 0).astype(np.float32)
-            self.spread[c] = np.where(total > 0, taken / np.maximum(total, 1), 1).astype(np.float32)
-            follows = np.bincount(find(self.units[0], words), minlength=len(self.units[0]))  # distinct words before each word
-            for k, n in enumerate([follows, *self.kinds[c]]):
-                whole = max(1, n.sum())
-                self.own[c, k] = np.maximum(n - d, 0) / whole
-                self.back[c, k] = np.minimum(n, d).sum() / whole if n.sum() else 1.0
-        self.lower = {}
-        for c in (0, 1):  # of each level; the last entry is for units that aren't known, without their shared part
-            below = np.append(self.own[c, 2] + self.back[c, 2] * self.shared[2], self.back[c, 2] * self.floor)
-            self.lower[c, 2] = below
-            for k in (1, 0):
-                below = self.own[c, k] + self.back[c, k] * below[self.up[k]] * self.shared[k]
-                self.lower[c, k] = below
-
-    def share(self, counts: list[np.ndarray], total: int) -> None:
-        """``counts``: of each known word and stem in all documents, which have ``total`` words; kept as shares of their stems."""
-        self.floor = 0.5 / (total + 1)
-        over = [counts[1][self.up[0]], counts[2][self.up[1]], total]
-        self.shared = [(n + 0.5) / (whole + 1) for n, whole in zip(counts, over, strict=True)]
-
-    def choose(self, rows: list[tuple], classes: dict) -> None:
-        """The discount with the least log loss on texts that the counts don't have; drops what scoring doesn't need."""
-        tried = []
-        for d in DISCOUNTS:
-            self.discount(d)
-            tried.append((self.calibrate(rows, classes), d))
-        self.discount(min(tried)[1])
-        self.calibrate(rows, classes)
-        self.lower = {k: v.astype(np.float32) for k, v in self.lower.items()}
-        del self.grams, self.kinds, self.own, self.shared, self.up
-
-    def ratios(self, texts: list[str | None]) -> list[np.ndarray]:
-        """log P(word | word before, toxic) - log P(word | word before, ordinary) of each word of each text."""
-        named = [words_of(t) for t in texts]
-        ends = np.cumsum([len(x) for x in named])
-        flat = [w for x in named for w in x]
-        w = hashes(flat)
-        before = np.concatenate((np.zeros(1, np.uint64), w[:-1]))[: len(w)]
-        before[[e - len(x) for e, x in zip(ends, named, strict=True) if x]] = 0
-        kinds, first, of = np.unique(w, return_index=True, return_inverse=True)
-        at = find(self.units[0], kinds)
-        new = np.flatnonzero(at == len(self.units[0]))
-        six, four = (find(self.units[k], hashes([flat[i][: STEMS[k - 1]] for i in first[new].tolist()])) for k in (1, 2))
-        low = {}
-        for c in (0, 1):
-            low[c] = self.lower[c, 0][np.where(at < len(self.units[0]), at, 0)] if len(self.units[0]) else np.ones(len(kinds), np.float32)
-            stem = self.back[c, 1] * self.lower[c, 2][four]
-            if len(self.units[1]):
-                stem = np.where(six < len(self.units[1]), self.lower[c, 1][np.minimum(six, len(self.units[1]) - 1)], stem)
-            low[c][new] = self.back[c, 0] * stem
-        place = find(self.first, before)
-        pair = np.full(len(w), len(self.pairs))
-        maybe = np.flatnonzero((at[of] < len(self.units[0])) & (place < len(self.first)))
-        pair[maybe] = find(self.pairs, pair_hashes(before[maybe], w[maybe]))
-        p = [self.kept[c][pair] * self.held[c][place] + self.spread[c][place] * low[c][of] for c in (0, 1)]
-        return np.split(np.log(np.maximum(p[1], 1e-30)) - np.log(np.maximum(p[0], 1e-30)), ends[:-1])
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Mean ratio of each text, and of its most toxic window of each length; 0 for texts without words."""
-        out = np.zeros((len(texts), 1 + len(WINDOWS)))
-        for row, r in zip(out, self.ratios(texts) if texts else [], strict=True):
-            if len(r):
-                through = np.concatenate(([0.0], np.cumsum(r, dtype=np.float64)))
-                row[0] = through[-1] / len(r)
-                for i, k in enumerate(WINDOWS, 1):
-                    k = min(k, len(r))
-                    row[i] = (through[k:] - through[:-k]).max() / k
-        return out
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        x = (self.features(texts) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
-
-    def calibrate(self, rows: list[tuple], classes: dict) -> float:
-        """Logistic regression on the features of ``rows``, at the classes' true shares; returns its log loss."""
-        x, y = np.concatenate([self.features([r[1] for r in rows[k : k + 200]]) for k in range(0, max(1, len(rows)), 200)]), np.array([r[2] for r in rows], float)
-        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(rows) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-        x = np.column_stack(((x - self.mean) / self.scale, np.ones(len(rows))))
-        self.weights = np.zeros(x.shape[1])
-        if not 0 < y.sum() < len(y):
-            self.weights[-1] = 4 if y.sum() else -4
-            return 0.0
-        sample = np.where(y == 1, classes[1] / y.sum(), classes[0] / (len(y) - y.sum())) / (classes[0] + classes[1]) * len(y)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-            slope = x.T @ (sample * (p - y)) + 0.5 * np.append(self.weights[:-1], 0)
-            bend = (x * (sample * p * (1 - p))[:, None]).T @ x + 0.5 * np.diag(np.append(np.ones(x.shape[1] - 1), 1e-6))
-            step = np.linalg.solve(bend, slope)
-            self.weights -= step
-            if np.abs(step).max() < 1e-6:
-                break
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), 1e-9, 1 - 1e-9)
-        return float(-(sample * np.where(y == 1, np.log(p), np.log(1 - p))).mean())
-
-
-def corpus_counts(docs: DataFrame, units: list[np.ndarray], text: str = "text") -> tuple[list[np.ndarray], int]:
-    """How often each known word and stem (sorted hashes, by level) stands in all documents, and the number of all words.
-
-    Each task counts its words and gives one row for each unit it has met; the sums are as many as the known units, which the
-    bounds of the fit bound.
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after another, and where each text's words end; each distinct word is hashed once."""
+    named = [words_of(t) for t in texts]
+    flat = [w for x in named for w in x]
+    kinds = {w: xxhash.xxh64_intdigest(w) for w in set(flat)}
+    return np.fromiter(map(kinds.__getitem__, flat), np.uint64, len(flat)), np.cumsum([len(x) for x in named], dtype=np.int64)
+
+
+def before_each(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The word before each word; 0 at the start of a text."""
+    out = np.concatenate((np.zeros(1, np.uint64), words[:-1]))[: len(words)]
+    starts = ends[:-1]
+    out[starts[starts < len(out)]] = 0
+    return out
+
+
+def sketch(words: np.ndarray) -> list[int | None]:
+    if not len(words):
+        return [None] * SKETCHES
+    n, k = max(1, len(words) - SHINGLE + 1), min(SHINGLE, len(words))
+    mixed = np.zeros(n, np.uint64)
+    for i in range(k):
+        mixed = (mixed ^ words[i : i + n]) * BASE
+        mixed ^= mixed >> np.uint64(32)
+    return [int((mixed * np.uint64(2 * i + 3) ^ (mixed >> np.uint64(7 + i))).min().view(np.int64)) for i in range(SKETCHES)]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        words, ends = hashed(batch.column(2).to_pylist())
+        rows = [sketch(w) for w in np.split(words, ends[:-1])]
+        columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(SKETCHES)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "label", *(f"s{i}" for i in range(SKETCHES))])
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """(id, label) of the texts of ``rows`` (id, label, text) that share no minimum with a text of their class and a smaller id."""
+    schema = "id long, label int, " + ", ".join(f"s{i} long" for i in range(SKETCHES))
+    drawn = save(rows.select("id", "label", "text").mapInArrow(_sketches, schema).filter("s0 IS NOT NULL"), "sketches")
+    lost = None
+    for i in range(SKETCHES):
+        least = drawn.groupBy("label", f"s{i}").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        part = drawn.join(least, ["label", f"s{i}"]).filter("id > least").select("id", "label")
+        lost = part if lost is None else lost.unionByName(part)
+    return save(drawn.select("id", "label").distinct().join(lost.distinct(), ["id", "label"], "left_anti"), "counted")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (label, word, word before) of each batch."""
+    for batch in slices(batches, 4000):
+        words, ends = hashed(batch.column(1).to_pylist())
+        rows = np.empty(len(words), [("label", np.int32), ("word", np.int64), ("before", np.int64)])
+        rows["label"] = np.repeat(np.asarray(batch.column(0)), np.diff(ends, prepend=0))
+        rows["word"], rows["before"] = words.view(np.int64), before_each(words, ends).view(np.int64)
+        order = np.lexsort((rows["before"], rows["word"], rows["label"]))
+        rows = rows[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = rows[1:] != rows[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c][new])) for c in ("label", "word", "before")], names=["label", "word", "before"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word stands in some batches."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        words, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        kinds, of = np.unique(words, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.bincount(of, n, len(kinds)).astype(np.int64))], names=["word", "n"])
+
+    held, size = [], 0
+    for batch in slices(batches, 4000):
+        held.append(np.unique(hashed(batch.column(0).to_pylist())[0], return_counts=True))
+        size += len(held[-1][0])
+        if size > 4_000_000:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
+
+
+def word_counts(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
+    """For each word (as a hash): toxic and ordinary, its continuation counts in ``labelled`` (label, text), and n, how often it stands in ``docs``."""
+    pairs = labelled.select("label", "text").mapInArrow(_pairs, "label int, word long, before long")
+    followed = pairs.groupBy("label", "word").agg(F.count_distinct("before").alias("k"))
+    everywhere = docs.select(F.col(text).alias("text")).mapInArrow(_counts, "word long, n long")
+    by_class = [F.when(F.col("label") == c, F.col("k")).otherwise(0).cast("long").alias(x) for c, x in ((1, "toxic"), (0, "ordinary"))]
+    parts = followed.select("word", *by_class, F.lit(0).cast("long").alias("n")).unionByName(everywhere.select("word", F.lit(0).cast("long").alias("toxic"), F.lit(0).cast("long").alias("ordinary"), "n"))
+    return save(parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("n").alias("n")), "words")
+
+
+def word_ratios(counts: DataFrame, discount: float = DISCOUNT, weight: float = WEIGHT) -> tuple[DataFrame, float]:
+    """log P(word | toxic) - log P(word | ordinary) of the words that have more than a discount in a class, and that of all other words.
+
+    P = weight (max(k - d, 0) / K + b s) + (1 - weight) s, with k the word's and K all continuation counts of the class, b what the discounts leave
+    to the backoff, and s the word's share of all documents. Where no class has more than a discount, s cancels.
     """
-    bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(units)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        counts = [np.zeros(len(x) + 1, np.int64) for x in known]
-        for batch in batches:
-            flat = [w for t in batch.column(0).to_pylist() for w in words_of(t)]
-            kinds, first, n = np.unique(hashes(flat), return_index=True, return_counts=True)
-            named = [flat[i] for i in first.tolist()]
-            for k, own in enumerate((kinds, *(hashes([w[:m] for w in named]) for m in STEMS))):
-                counts[k] += np.bincount(find(known[k], own), n, len(counts[k])).astype(np.int64)
-        for k, n in enumerate(counts):
-            met = np.flatnonzero(n)
-            for i in range(0, len(met), 100_000):
-                some = met[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(n[some])], names=["level", "unit", "n"])
-
-    sums = docs.select(F.col(text).alias("text")).mapInArrow(count, "level long, unit long, n long").groupBy("level", "unit").agg(F.sum("n").alias("n")).toPandas()
-    out = [np.zeros(len(x) + 1, np.int64) for x in units]
-    for k in range(len(units)):
-        own = sums[sums["level"] == k]
-        out[k][own["unit"].to_numpy()] = own["n"].to_numpy()
-    return [x[:-1] for x in out], int(out[0].sum())
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, key: str = "doc_id", text: str = "text") -> Models:
-    """Counts from three quarters of the sample, in seeded order; discount and curve from the rest, without texts that are in both."""
-    rows, classes = labelled_sample(docs, labels, label, per_class, max_chars, key, text)
-    first = [r for k, r in enumerate(rows) if k % 4]
-    models = Models({c: [r[1] for r in first if r[2] == c] for c in (0, 1)})
-    models.share(*corpus_counts(docs, models.units, text))
-    seen = {r[1] for r in first}
-    models.choose([r for k, r in enumerate(rows) if not k % 4 and r[1] not in seen], classes)
-    return models
-
-
-def score(docs: DataFrame, models: Models, text: str = "text") -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    taken = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(discount)))
+    t = counts.agg(F.sum("toxic"), taken("toxic"), F.sum("ordinary"), taken("ordinary"), F.sum("n")).first()
+    toxic, left1, ordinary, left0, total = (float(x or 0) for x in t)
+    back1, back0 = (left1 / toxic if toxic else 1.0), (left0 / ordinary if ordinary else 1.0)
+    share = F.col("n") / F.lit(max(1.0, total))
+
+    def p(column: str, whole: float, back: float) -> Column:
+        own = F.greatest(F.col(column) - F.lit(discount), F.lit(0.0)) / F.lit(max(1.0, whole))
+        return F.lit(weight) * (own + F.lit(back) * share) + F.lit(1 - weight) * share
+
+    told = counts.filter((F.greatest("toxic", "ordinary") > discount) & (F.col("n") > 0))
+    ratios = told.select("word", (F.ln(p("toxic", toxic, back1)) - F.ln(p("ordinary", ordinary, back0))).cast("float").alias("ratio"))
+    return save(ratios, "ratios"), float(np.log((weight * back1 + 1 - weight) / (weight * back0 + 1 - weight)))
+
+
+def part_starts(n: int, part: int = PART, stride: int = STRIDE) -> np.ndarray:
+    """Where the parts of a text of ``n`` words start: every ``stride`` words, and so that the last part ends with the text."""
+    last = max(0, n - part)
+    starts = np.arange(0, last + 1, stride)
+    return starts if starts[-1] == last else np.append(starts, last)
+
+
+def _told_by_table(shared, other: float):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, ratios = shared.value
+
+        def best(texts: list[str | None]) -> np.ndarray:
+            words, ends = hashed(texts)
+            kinds, of = np.unique(words, return_inverse=True)
+            kinds = kinds.view(np.int64)
+            at = np.minimum(np.searchsorted(known, kinds), max(0, len(known) - 1))
+            own = np.where(known[at] == kinds, ratios[at], other) if len(known) else np.full(len(kinds), other)
+            out = np.zeros(len(texts))
+            for i, r in enumerate(np.split(own[of].astype(np.float64), ends[:-1])):
+                if len(r):
+                    through, starts, k = np.concatenate(([0.0], np.cumsum(r))), part_starts(len(r)), min(PART, len(r))
+                    out[i] = ((through[starts + k] - through[starts]) / k).max()
+            return out
+
         for texts in batches:
-            yield pd.Series(shared.value.score(list(texts)))
+            yield by_slices(texts, best)
+
+    return run
 
-    return probability(F.col(text))
 
+def _part_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, part, word, n): each word of each part of each text."""
+    for batch in batches:
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words, _ = hashed([text])
+            starts, k = part_starts(len(words)), min(PART, len(words))
+            for at in range(0, len(starts) if k else 0, 100_000):
+                some = starts[at : at + 100_000]
+                parts = np.repeat(np.arange(at, at + len(some)), k)
+                said = words[(some[:, None] + np.arange(k)).ravel()].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(said), row)), pa.array(parts), pa.array(said), pa.array(np.full(len(said), k))], names=["row", "part", "word", "n"])
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, key: str = "doc_id", text: str = "text", **bounds: int) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``.
 
-    Null and empty texts have the score of no evidence; rows that repeat are each in the result; a null id is in no fold and so
-    not held out. Without labels of both classes all scores are alike. Empty tables give no rows.
+def with_evidence(rows: DataFrame, ratios: DataFrame, other: float, shared: int = SHARED) -> DataFrame:
+    """``rows`` with ``evidence``: the largest mean ratio of a part of ``text``; 0 for texts without words.
+
+    Up to ``shared`` words, their ratios are one table for all workers; beyond that, the texts' words are joined with them. Both give the same.
+    """
+    spark = rows.sparkSession
+    if ratios.count() <= shared:
+        known = ratios.toPandas().sort_values("word")
+        told = _told_by_table(spark.sparkContext.broadcast((known["word"].to_numpy(np.int64), known["ratio"].to_numpy(np.float32))), other)
+
+        @F.pandas_udf("double")
+        def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            return told(batches)
+
+        return rows.withColumn("evidence", evidence("text"))
+    rows = save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    said = rows.select("_row", "text").mapInArrow(_part_words, "row long, part long, word long, n long")
+    ratio = F.coalesce(F.col("ratio"), F.lit(other)).cast("double")
+    best = said.join(ratios, "word", "left").groupBy("row", "part").agg((F.sum(ratio) / F.min("n")).alias("mean")).groupBy("row").agg(F.max("mean").alias("best"))
+    return rows.join(best.withColumnRenamed("row", "_row"), "_row", "left").withColumn("evidence", F.coalesce("best", F.lit(0.0))).drop("_row", "best")
+
+
+def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Middle, slope and shift of a logistic curve over the evidence, both classes weighing the same; the slope is never negative."""
+    if not 0 < y.sum() < len(y):
+        return 0.0, 0.0, 4.0 if y.sum() else -4.0
+    middle, spread = float(x.mean()), float(x.std()) + 1e-9
+    z = np.column_stack(((x - middle) / spread, np.ones(len(x))))
+    wanted = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    weights = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
+        slope = z.T @ (wanted * (p - y)) + 0.01 * np.array([weights[0], 0.0])
+        bend = (z * (wanted * p * (1 - p))[:, None]).T @ z + np.diag([0.01, 1e-6])
+        step = np.linalg.solve(bend, slope)
+        weights -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-7:
+            break
+    return middle, max(0.0, float(weights[0])) / spread, float(weights[1])
+
+
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.5, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    discount: float = DISCOUNT, weight: float = WEIGHT, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, shared: int = SHARED,
+) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence for each row of ``docs``.
+
+    Of the labelled ids outside of the held-out fold, one in four (by a hash) is kept for the curve, of which a sample of ``per_class`` rows and ``max_chars`` characters is
+    read; all others are counted. Null and empty texts have no evidence, 0, and a score too; rows that repeat are each in the result, with
+    the same score; a null id is in no fold and so not held out. Texts of any length are read whole, in parts. Columns other than
+    key and text aren't read, whatever their names. Without labels of both classes all scores are alike. Empty tables give no rows.
     """
-    bound_batches(docs.sparkSession)
-    models = train(docs, labels, key=key, text=text, **bounds)
-    out = docs.select(F.col(key).alias("doc_id"), F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out"), score(docs, models, text).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    quarter = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(4)) == 0
+    sample, _ = labelled_sample(docs, labels.filter(quarter), label, per_class, max_chars, key, text)
+    usable = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fold(key) != 0) & ~quarter).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    usable = save(usable, "usable")
+    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(light(usable), "id")
+    counts = word_counts(docs, own.join(light(without_copies(own)), ["id", "label"]), text)
+    ratios, other = word_ratios(counts, discount, weight)
+    seen = docs.sparkSession.createDataFrame([(r[1], r[2]) for r in sample], "text string, label int")
+    found = with_evidence(seen, ratios, other, shared).select("evidence", "label").toPandas()
+    middle, slope, shift = curve(found["evidence"].to_numpy(float), found["label"].to_numpy(float))
+    out = with_evidence(rows, ratios, other, shared)
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-((F.col("evidence") - middle) * slope + shift)))
+    return out.select("doc_id", "held_out", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "evidence")
 
 
 def op8_toxicity_kn(spark, sf_dir):

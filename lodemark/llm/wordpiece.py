@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, read_table
+from .common import read_table, slices
 
 START, ON, NONE = 0, 1, -1
-#: Words in each of two generations of the cache of counted words.
-CACHE = 400_000
+#: Words in each of two generations of the cache of counted words, and the longest word kept.
+CACHE, LONGEST = 400_000, 64
 
 
 class Automaton:
@@ -102,16 +102,20 @@ def known(path: str) -> list[dict[bytes, int]]:
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, cache = byte_level(path).count, known(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 words = (text or "").encode("utf-8", "replace").split()
                 new, old = cache
-                for w in set(words).difference(new):
+                added = set(words).difference(new)
+                for w in added:
                     new[w] = old[w] if w in old else count(b" " + w)
                 counts = np.fromiter(map(new.__getitem__, words), np.int64, len(words))
                 unknown = int((counts < 0).sum())
                 rows.append((len(words), int(counts.sum()) + 2 * unknown, unknown))
+                for w in added:
+                    if len(w) > LONGEST:
+                        del new[w]
                 if len(new) > CACHE:
                     cache[:] = [{}, new]
             columns = zip(*rows, strict=True) if rows else ((), (), ())
@@ -124,9 +128,9 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     """doc_id, n_words, n_tokens, n_unknown for each row of ``docs``.
 
     Words are runs of anything but ASCII white space; each is matched with the space before it. A word that can't be made of longest
-    pieces counts as one (unknown) token. Null and empty texts have none; repeated rows and null ids are kept as they are.
+    pieces counts as one (unknown) token. Null and empty texts have none; repeated rows and null ids are kept as they are. Texts and words of any
+    length are counted whole. Columns other than key and text aren't read, whatever their names. An empty table gives no rows.
     """
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_count(vocabulary), "doc_id long, n_words long, n_tokens long, n_unknown long")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +60,16 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(x, y), F.greatest(F.length(x), F.length(y))), F.lit(1.0))
 
 
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in matching blocks over all characters, of lower-cased texts; 1 for two empty ones."""
+
+    @F.pandas_udf("double")
+    def ratio(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(xs, ys, strict=True)], dtype="float64")
+
+    return ratio(a, b)
+
+
 def shingles(text: Column, n: int = 3) -> Column:
     """Distinct runs of n words; a text of fewer is one."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\r\n]+"), lambda w: w != "")

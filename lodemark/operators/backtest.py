@@ -1,55 +1,88 @@
-"""Backtests. Cash is shared by all symbols of a run, so a run is one sequence; many runs (a grid of parameters) go in parallel."""
+"""Backtests. What a position gains doesn't depend on cash: exits of all positions of all runs are found in parallel, by key and time bin. Only then is
+the cash that a run's positions share followed through their openings and closings, one after another, with the open positions alone in memory.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .temporal import nearest_join
-
-#: Slippage and fee of each leg, hours until a position times out, share of cash for one position.
-SLIPPAGE, FEE, TIMEOUT_HOURS, ALLOCATION = 0.0005, 0.001, 24, 0.2
-
-
-def _simulate(rows: pd.DataFrame) -> pd.DataFrame:
-    cash = start = 10_000.0
-    open_by: dict[str, dict] = {}
-    trades = wins = 0
-    last: dict[str, float] = {}
-    for r in rows.sort_values(["ts", "id"]).itertuples(index=False):
-        if not r.r_close or r.r_close <= 0:
-            continue
-        last[r.symbol] = r.r_close
-        for symbol, pos in list(open_by.items()):
-            price = last.get(symbol, pos["entry"])
-            up = pos["side"] == "BUY"
-            hit = price >= pos["entry"] * (1 + r.take) or price <= pos["entry"] * (1 - r.stop) if up else price <= pos["entry"] * (1 - r.take) or price >= pos["entry"] * (1 + r.stop)
-            if hit or (r.ts - pos["ts"]).total_seconds() >= TIMEOUT_HOURS * 3600:
-                out = price * (1 - SLIPPAGE if up else 1 + SLIPPAGE)
-                pnl = (out - pos["entry"]) * pos["quantity"] * (1 if up else -1) - (out + pos["entry"]) * pos["quantity"] * FEE
-                cash += pos["cost"] + pnl
-                trades, wins = trades + 1, wins + (pnl > 0)
-                del open_by[symbol]
-        if r.signal in ("BUY", "SELL") and r.symbol not in open_by:
-            cost = cash * ALLOCATION * min(1.0, max(0.1, r.strength / 10))
-            if cost > 0:
-                entry = r.r_close * (1 + SLIPPAGE if r.signal == "BUY" else 1 - SLIPPAGE)
-                open_by[r.symbol] = {"side": r.signal, "entry": entry, "quantity": cost / entry, "cost": cost, "ts": r.ts}
-                cash -= cost
-    equity = cash + sum(p["cost"] + (last[s] - p["entry"]) * p["quantity"] * (1 if p["side"] == "BUY" else -1) for s, p in open_by.items())
-    return pd.DataFrame({"run_id": [rows["run_id"].iloc[0]], "trades": [trades], "wins": [wins], "equity": [round(equity, 4)], "total_return": [round(equity / start - 1, 6)]})
-
-
-def backtest_grid(signals: DataFrame, bars: DataFrame, grid: DataFrame) -> DataFrame:
-    """One row for each run of ``grid`` (run_id, take, stop) over ``signals`` (id, symbol, ts, signal, strength).
-
-    Prices are the nearest bars in time, earlier or later. Runs are groups: parallelism is the number of runs.
+from .temporal import interval_join, nearest_join
+
+#: Slippage and fee of each leg, hours until a position times out, share of cash for one position, and the cash at the start.
+SLIPPAGE, FEE, TIMEOUT_HOURS, ALLOCATION, CAPITAL = 0.0005, 0.001, 24, 0.2, 10_000.0
+
+
+def positions(signals: DataFrame, bars: DataFrame, grid: list[tuple[int, float, float]]) -> DataFrame:
+    """run_id, id, symbol, side, entry_time, entry, share, exit_time, exit_price, reason, back for each BUY or SELL of ``signals`` and each run.
+
+    ``signals``: id (unique), symbol, ts, signal, strength. ``bars``: symbol, ts, close. ``grid``: a stated list of runs (run_id, take, stop). A position is entered at the nearest
+    bar's close and left at the first later bar at which it is up by ``take`` or down by ``stop``, else at the last one within ``TIMEOUT_HOURS``; without
+    bars it stays open. ``share``: of the cash that goes in; ``back``: what comes back for each unit of it, after slippage and fees. Signals without a positive price are left out.
     """
-    priced = nearest_join(signals, bars.select("symbol", "ts", "close"), ["symbol"])
-    rows = priced.select("id", "symbol", "ts", "signal", "strength", "r_close").crossJoin(F.broadcast(grid))  # a grid is a stated list of runs
-    return rows.groupBy("run_id").applyInPandas(_simulate, "run_id long, trades long, wins long, equity double, total_return double")
+    closes = bars.select("symbol", "ts", "close")
+    traded = signals.filter(F.col("signal").isin("BUY", "SELL")).select("id", "symbol", "ts", "signal", "strength")
+    priced = nearest_join(traded, closes, ["symbol"]).filter("r_close > 0").select(*traded.columns, F.col("r_close").alias("price"))
+    seen = interval_join(priced, closes, ["symbol"], F.col("ts") + F.expr("INTERVAL 1 SECOND"), F.col("ts") + F.make_dt_interval(hours=F.lit(TIMEOUT_HOURS)), "ts", TIMEOUT_HOURS * 3600)
+    later = seen.groupBy(*priced.columns).agg(F.array_sort(F.collect_list(F.when(F.col("r_ts").isNotNull(), F.struct(F.col("r_ts").alias("ts"), F.col("r_close").alias("close"))))).alias("later"))  # as many as bars until the timeout
+    runs = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("run_id"), F.lit(t).alias("take"), F.lit(s).alias("stop")) for i, t, s in grid)))
+    rows = later.withColumn("_run", runs).select("*", "_run.*")
+    up = F.when(F.col("signal") == "BUY", F.lit(1)).otherwise(F.lit(-1))
+    move = lambda b: up * (b["close"] / F.col("price") - 1)
+    rows = rows.withColumn("_hit", F.get(F.filter("later", lambda b: (move(b) >= F.col("take")) | (move(b) <= -F.col("stop"))), F.lit(0)))
+    rows = rows.withColumn("_out", F.coalesce("_hit", F.try_element_at("later", F.lit(-1))))
+    reason = F.when(F.col("_out").isNull(), "open").when(F.col("_hit").isNull(), "timeout").when(move(F.col("_hit")) >= F.col("take"), "take_profit").otherwise("stop_loss")
+    entry, left = F.col("price") * (1 + up * SLIPPAGE), F.col("_out.close") * (1 - up * SLIPPAGE)
+    back = (entry + up * (left - entry) - (entry + left) * FEE) / (F.col("price") * (1 + SLIPPAGE))
+    share = ALLOCATION * F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("strength") / 10))
+    return rows.select("run_id", "id", "symbol", F.col("signal").alias("side"), F.col("ts").alias("entry_time"), entry.alias("entry"), share.alias("share"), F.col("_out.ts").alias("exit_time"), left.alias("exit_price"), reason.alias("reason"), back.alias("back"))
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    run, cash, held, put = None, CAPITAL, 0.0, {}
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            if r.run_id != run:
+                run, cash, held, put = r.run_id, CAPITAL, 0.0, {}
+            if r.opens:
+                if cash <= 0:
+                    continue
+                amount = cash * r.part
+                put[r.id] = amount
+                cash, held = cash - amount, held + amount
+                gain = 0.0
+            elif r.id not in put:
+                continue
+            else:
+                amount = put.pop(r.id)
+                gain = amount * (r.part - 1)
+                cash, held = cash + amount * r.part, held - amount
+            out.append((r.run_id, r.id, r.ts, r.opens, amount, gain, cash, cash + held))
+        yield pd.DataFrame(out, columns=["run_id", "id", "ts", "opens", "amount", "pnl", "cash", "equity"])
+
+
+def cash_flow(taken: DataFrame) -> DataFrame:
+    """run_id, id, ts, opens, amount, pnl, cash, equity for each opening and closing of ``positions``, in order of time, closings first, then of id.
+
+    Equity counts open positions at cost; without cash, nothing is opened. A run is a sequence, as its cash is shared; its rows stream through one task.
+    """
+    opens = taken.select("run_id", "id", F.col("entry_time").alias("ts"), F.lit(True).alias("opens"), F.col("share").alias("part"))
+    closes = taken.filter("exit_time IS NOT NULL").select("run_id", "id", F.col("exit_time").alias("ts"), F.lit(False).alias("opens"), F.col("back").alias("part"))
+    order = ["run_id", "ts", "opens", "id"]
+    schema = f"run_id long, id {dict(taken.dtypes)['id']}, ts {dict(taken.dtypes)['entry_time']}, opens boolean, amount double, pnl double, cash double, equity double"
+    return opens.unionByName(closes).repartition("run_id").sortWithinPartitions(*order).mapInPandas(_fold, schema)
+
+
+def run_results(flow: DataFrame) -> DataFrame:
+    """One row for each run: trades, wins, equity and total return at its end."""
+    last = F.max_by("equity", F.struct("ts", "opens", "id"))
+    out = flow.groupBy("run_id").agg(F.count_if(~F.col("opens")).alias("trades"), F.count_if(~F.col("opens") & (F.col("pnl") > 0)).alias("wins"), F.round(last, 4).alias("equity"))
+    return out.withColumn("total_return", F.round(F.col("equity") / CAPITAL - 1, 6))
 
 
 def flat_backtest(prices: DataFrame, signals: DataFrame, keys: list[str]) -> DataFrame:

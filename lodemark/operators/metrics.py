@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .rolling import islands
+from .rolling import longest_runs
 
 #: Trading days and the yearly risk-free rate.
 DAYS, RISK_FREE = 252, 0.02
@@ -85,11 +85,10 @@ def drawdown_episodes(curve: DataFrame, keys: list[str], ts: str = "ts", equity:
     return out.groupBy(*keys, "episode").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.round(F.max("drawdown"), 6).alias("depth"), F.count("*").alias("points"))
 
 
-def streaks(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Longest runs of trades that won and that didn't."""
-    runs = islands(trades, F.col("pnl") > 0, keys, order)
-    longest = lambda won: F.coalesce(F.max(F.when(F.col("flag") == won, F.col("length"))), F.lit(0))
-    return runs.groupBy(*keys).agg(longest(True).alias("longest_win"), longest(False).alias("longest_loss"))
+def streaks(trades: DataFrame, keys: list[str], order: list[str], unit: str = "week") -> DataFrame:
+    """Longest runs of trades that won and that didn't, by blocks of a time unit; ``order`` begins with a time."""
+    runs = longest_runs(trades, F.coalesce(F.col("pnl") > 0, F.lit(False)), keys, order, F.date_trunc(unit, order[0]))
+    return runs.withColumnsRenamed({"longest_true": "longest_win", "longest_false": "longest_loss"})
 
 
 def monthly_returns(curve: DataFrame, keys: list[str], ts: str = "ts", equity: str = "equity") -> DataFrame:

@@ -8,6 +8,7 @@ task walks the group breadth-first and emits links that span it; large groups ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from lodemark.storage import save
 
 from .graph import components
+from .skew import join_unique
 
-WORDS, MINIMA, BANDS, AGREE, TILE = 3, 64, 4, 61, 2048
+WORDS, MINIMA, BANDS, AGREE, TITLES, TILE = 3, 64, 4, 61, 0.80, 2048
 _RNG = np.random.default_rng(64)
 _A, _B = _RNG.integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64)
 
@@ -49,13 +51,14 @@ def _spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node")
-        ids, sigs, out = group["node"].to_numpy(), np.stack(group["sig"].to_numpy()), []
+        ids, sigs, titles, out = group["node"].to_numpy(), np.stack(group["sig"].to_numpy()), group["title"].to_list(), []
         left = np.arange(len(ids))
         while len(left):
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 at = queue.pop()
                 near = (sigs[left] == sigs[at]).sum(1) >= AGREE
+                near[near] = [titled_alike(titles[at], titles[x]) for x in left[near]]
                 out += [(ids[at], ids[x]) for x in left[near]]
                 queue += left[near].tolist()
                 left = left[~near]
@@ -73,18 +76,38 @@ def _spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links(group)
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's id and the least id of its class; near-duplicates of near-duplicates are in one class."""
-    rows = save(docs.select(F.col(key).cast("long").alias("id"), signature(F.col(text)).alias("sig")), "signatures")
-    distinct = save(rows.groupBy("sig").agg(F.min("id").alias("node")), "distinct")
+def titled_alike(a: str | None, b: str | None) -> bool:
+    """Whether both have no title to compare, or titles whose matching blocks make up ``TITLES`` of them."""
+    if a is None or b is None:
+        return a is b
+    both = SequenceMatcher(None, a, b)
+    return both.real_quick_ratio() >= TITLES and both.quick_ratio() >= TITLES and both.ratio() >= TITLES
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
+    """Each row's id and the least id of its class; near-duplicates of near-duplicates are in one class.
+
+    With ``title``, near-duplicates must have titles alike by ``TITLES`` too, in lower case, null as empty.
+    """
+    named = F.lower(F.coalesce(F.col(title), F.lit(""))) if title else F.lit(None).cast("string")
+    rows = docs.select(F.col(key).cast("long").alias("id"), signature(F.col(text)).alias("sig"), named.alias("title"))
+    rows = save(rows.withColumn("kind", F.xxhash64("sig", "title")), "signatures")
+    distinct = rows.groupBy("kind").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.any_value("sig").alias("sig"), F.any_value("title").alias("title"))
+    distinct = save(distinct.withColumnRenamed("kind", "node"), "distinct")
     size = MINIMA // BANDS
     band = F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("sig", k * size + 1, size)).alias("hash")) for k in range(BANDS))))
-    banded = distinct.select("node", "sig", band.alias("b")).select("node", "sig", "b.*")
-    shared = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE))
+    banded = distinct.select("node", band.alias("b")).select("node", "b.*")
+    shared = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE)).drop("n")
     met = banded.join(shared, ["band", "hash"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    met = met.select("band", "hash", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "node", "sig")
+    met = met.select("band", "hash", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "node").join(distinct.select("node", "sig", "title"), "node")
     order = ["band", "hash", "u", "v"]
-    links = met.repartition(*order).sortWithinPartitions(*order).mapInPandas(_spanning, "a long, b long")
-    roots = components(links)
-    classes = distinct.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("class_id"))
-    return rows.join(classes, "sig").select("id", "class_id")
+    links = met.select(*order, "node", "sig", "title").repartition(*order).sortWithinPartitions(*order).mapInPandas(_spanning, "a long, b long")
+    rooted = save(distinct.select("node", "least", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    sizes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    named = join_unique(rooted.select("node", "root"), sizes.select("root", "class_id"), "root", sizes.select("root", "n"))
+    return join_unique(rows.select("id", F.col("kind").alias("node")), named.select("node", "class_id"), "node", distinct.select("node", "n")).select("id", "class_id")
+
+
+def near_titled(articles: DataFrame, key: str = "id", title: str = "title", text: str = "content") -> DataFrame:
+    """id and class_id by both rules: three-word minima of the contents alike by 0.90, and titles by 0.80."""
+    return near_classes(articles, key, text, title)

@@ -72,14 +72,16 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], update: list[str]
     return joined.select(*(F.when(F.col("_d").isNotNull() & (F.col("_b").isNull() | F.lit(c in update or c in keys)), F.col(f"_d.{c}")).otherwise(F.col(f"_b.{c}")).alias(c) for c in base.columns))
 
 
-def insert_new(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``delta`` with keys that ``base`` doesn't have, one for each key."""
-    return delta.dropDuplicates(keys).join(base, keys, "left_anti")
+def insert_new(base: DataFrame, delta: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of ``delta`` with keys that ``base`` doesn't have: of each key the first in ``order``."""
+    first = F.min_by(F.struct(*delta.columns), F.struct(*order))
+    return delta.join(base.select(*keys), keys, "left_anti").groupBy(*keys).agg(first.alias("_row")).select("_row.*")
 
 
 def activate_latest(df: DataFrame, keys: list[str], order: str, flag: str = "is_active") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn(flag, F.row_number().over(w) == 1)
+    """Marks the rows with the greatest ``order`` of their keys, which must be unique among them."""
+    newest = df.groupBy(*keys).agg(F.max(order).alias("_newest"))
+    return df.join(newest, keys).withColumn(flag, F.col(order) == F.col("_newest")).select(*df.columns, flag)
 
 
 def retention(df: DataFrame, ts: str, as_of: Column, days: int) -> tuple[DataFrame, DataFrame]:

@@ -62,6 +62,41 @@ def ema(df: DataFrame, spans: dict[str, tuple[str, int]], keys: list[str], order
     return out.drop("_n")
 
 
+def with_next(df: DataFrame, order: str, value: str, span: int = 1000) -> DataFrame:
+    """``df`` with ``next``: ``value`` of the row that follows in ``order``, a whole number without repeats.
+
+    Windows over ranges of ``span`` numbers; what the first row of each range holds comes from a table with one row for each of them.
+    """
+    rows = df.withColumn("_range", F.floor(F.col(order) / span))
+    firsts = rows.groupBy("_range").agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_first"))
+    after = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
+    own = F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("_range").orderBy(order))
+    return rows.withColumn("_own", own).join(after, "_range").withColumn("next", F.coalesce("_own", "_after")["v"]).select(*df.columns, "next")
+
+
+def longest_runs(df: DataFrame, flag: Column, keys: list[str], order: list[str], block: Column) -> DataFrame:
+    """keys, longest_true, longest_false: the longest runs of consecutive rows with equal ``flag``.
+
+    ``block``: a value that never falls in the ``order``, such as the month; runs are found within blocks, which are tasks of their own, and a fold over each
+    key's blocks joins those that go on.
+    """
+    runs = islands(df.withColumn("_block", block), flag, [*keys, "_block"], order)
+    edge = F.struct("flag", "length")
+    longest = lambda x: F.coalesce(F.max(F.when(F.col("flag") == x, F.col("length"))), F.lit(0))
+    blocks = runs.groupBy(*keys, "_block").agg(F.min_by(edge, "first").alias("head"), F.max_by(edge, "first").alias("tail"), F.count("*").alias("runs"), longest(True).alias("true"), longest(False).alias("false"))
+    folded = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "head", "tail", "runs", "true", "false"))).alias("all"))
+    none = F.lit(0).cast("long")
+
+    def step(s: Column, b: Column) -> Column:
+        head = b["head"]["length"] + F.when(s["flag"] == b["head"]["flag"], s["open"]).otherwise(none)
+        best = lambda x: F.greatest(s[str(x).lower()], b[str(x).lower()], F.when(b["head"]["flag"] == x, head).otherwise(none))
+        return F.struct(b["tail"]["flag"].alias("flag"), F.when(b["runs"] == 1, head).otherwise(b["tail"]["length"]).alias("open"), best(True).alias("true"), best(False).alias("false"))
+
+    start = F.struct(F.lit(None).cast("boolean").alias("flag"), none.alias("open"), none.alias("true"), none.alias("false"))
+    out = folded.withColumn("_s", F.aggregate("all", start, step))
+    return out.select(*keys, F.col("_s.true").alias("longest_true"), F.col("_s.false").alias("longest_false"))
+
+
 def islands(df: DataFrame, flag: Column, keys: list[str], order: list[str]) -> DataFrame:
     """Runs of consecutive rows with equal ``flag``: keys, flag, length, first and last place."""
     all_rows = Window.partitionBy(*keys).orderBy(*order)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 #: Fixed values of the rules.
 BUY_SENTIMENT, SELL_SENTIMENT, MIN_CONFIDENCE, SUPPORT = 0.70, 0.30, 0.75, 2
@@ -83,25 +83,57 @@ def lifecycle(signals: DataFrame, bars: DataFrame, hours: int = 24, take: float
     return end.select(*signals.columns, F.when(at("r_ts").isNull(), "open").otherwise(F.coalesce("_hit._why", F.lit("timeout"))).alias("reason"), at("r_ts").alias("closed_at"), F.round(pnl_pct(F.col("signal"), F.col("price"), at("r_close")), 6).alias("pnl_pct"))
 
 
-def cooldown(signals: DataFrame, keys: list[str], seconds: int, ts: str = "ts", tie: str = "id") -> DataFrame:
-    """Signals that come ``seconds`` or more after the last one kept of their key.
+def _followed(times: np.ndarray, wait: int) -> np.ndarray:
+    """For each of the sorted times, the place of the last one kept if it is kept: links to the first time a wait later are doubled until they end."""
+    at = np.searchsorted(times, times + wait)
+    at = np.where(at == len(times), np.arange(len(times)), at)
+    while (at[at] != at).any():
+        at = at[at]
+    return at
 
-    Whether a signal is kept depends on those kept before it. A gap of ``seconds`` starts a new burst, whatever came before, so each
-    burst is decided by itself: the fold runs over bursts, which time bounds in any feed with pauses, not over whole keys.
+
+def cooldown(signals: DataFrame, keys: list[str], seconds: int, ts: str = "ts", tie: str = "id", bin_seconds: int = 24 * 3600) -> DataFrame:
+    """Signals that come ``seconds`` or more after the last one kept of their key; of equal times, the one with the least ``tie``.
+
+    Whether a signal is kept depends on those kept before it, but only through the time of the last one. Key and time bin are a task of their own: first each bin
+    tells which last time it leaves for each it may start with (a step function of few steps, as kept signals soon fall together), then these are followed
+    bin by bin for each key, and then each bin, with its start known, tells what it keeps. Null times are dropped; null keys are a key.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = signals.withColumn("_us", us).withColumn("_new", (F.coalesce(F.col("_us") - F.lag("_us").over(w), F.lit(seconds * 10**6)) >= seconds * 10**6).cast("long"))
-    rows = rows.withColumn("_burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bursts = rows.groupBy(*keys, "_burst").agg(F.array_sort(F.collect_list(F.struct("_us", F.col(tie).cast("long").alias("t")))).alias("all"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(T.ArrayType(T.LongType())).alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        take = state["last"].isNull() | (x["_us"] - state["last"] >= seconds * 10**6)
-        return F.struct(F.when(take, x["_us"]).otherwise(state["last"]).alias("last"), F.when(take, F.concat(state["kept"], F.array(x["t"]))).otherwise(state["kept"]).alias("kept"))
-
-    kept = bursts.select(F.explode(F.aggregate("all", zero, step)["kept"]).alias("_kept"))
-    return signals.join(kept, F.col(tie) == F.col("_kept"), "left_semi")
+    wait, width = seconds * 10**6, max(bin_seconds, 4 * seconds) * 10**6
+    named = {k: F.struct(F.col(k)).alias(k) for k in keys}  # within structs, null keys can be joined
+    rows = signals.filter(F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    times = rows.groupBy(*named.values(), "_us").agg(F.min(tie).alias("_t")).withColumn("_bin", F.floor(F.col("_us") / width)).drop("_t")
+    head = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in times.schema if f.name in keys)}, _bin long"
+
+    def steps(group: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(group["_us"].to_numpy())
+        first = int(np.searchsorted(t, int(group["_bin"].iloc[0]) * width + wait)) + 1  # no start forbids more than these
+        left = t[_followed(t, wait)][:first]
+        last = np.append(left[1:] != left[:-1], True)
+        return pd.concat([group[[*keys, "_bin"]].iloc[[0] * int(last.sum())].reset_index(drop=True), pd.DataFrame({"_upto": t[:first][last], "_left": left[last]})], axis=1)
+
+    def starts(group: pd.DataFrame) -> pd.DataFrame:
+        group, free, out = group.sort_values(["_bin", "_upto"]), np.iinfo(np.int64).min, []
+        for _, b in group.groupby("_bin", sort=True):
+            out.append(free)
+            at = int(np.searchsorted(b["_upto"].to_numpy(), free))
+            free = int(b["_left"].iloc[at]) + wait if at < len(b) else free
+        bins = group.drop_duplicates("_bin")[[*keys, "_bin"]].reset_index(drop=True)
+        return bins.assign(_us=out, _start=True)
+
+    def kept(group: pd.DataFrame) -> pd.DataFrame:
+        free = int(group.loc[group["_start"], "_us"].iloc[0])
+        t, out = np.sort(group.loc[~group["_start"], "_us"].to_numpy()), []
+        at = int(np.searchsorted(t, free))
+        while at < len(t):
+            out.append(int(t[at]))
+            at = int(np.searchsorted(t, t[at] + wait))
+        return group[[*keys, "_bin"]].iloc[[0] * len(out)].reset_index(drop=True).assign(_us=np.array(out, np.int64))
+
+    begun = times.groupBy(*keys, "_bin").applyInPandas(steps, f"{head}, _upto long, _left long").groupBy(*keys).applyInPandas(starts, f"{head}, _us long, _start boolean")
+    chosen = times.select(*keys, "_bin", "_us", F.lit(False).alias("_start")).unionByName(begun).groupBy(*keys, "_bin").applyInPandas(kept, f"{head}, _us long")
+    first = F.min_by(F.struct(*signals.columns), F.col(tie)).alias("_row")
+    return rows.join(chosen.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_us").alias("_kept")), [*(F.struct(F.col(k)) == F.col(f"_k_{k}") for k in keys), F.col("_us") == F.col("_kept")]).groupBy(*named.values(), "_us").agg(first).select("_row.*")
 
 
 def flat_signal(move_pct: Column, sentiment: Column, volatility: Column) -> dict[str, Column]:

@@ -1,7 +1,7 @@
 """Joins in time: as-of, nearest, interval and bucket joins, for all keys in one plan.
 
-An as-of join is a union and a window that carries the last right row forward: one shuffle and one sort by (key, time), no range
-join, and no blow-up whatever the numbers of rows.
+An as-of join is a union and a window over key and time bin that carries the last right row forward; the last right row before each bin comes from a table
+with one row for each key and bin. So a hot key is as many tasks as it has bins, there is no range join, and nothing blows up whatever the numbers of rows.
 """
 
 from __future__ import annotations
@@ -10,43 +10,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Width of the time bins.
+BIN_SECONDS = 6 * 3600
 
-def _carried(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, forward: bool, order: list[str], exact: bool) -> DataFrame:
-    """The left rows with ``_right``: the last right row at or before (the first at or after, if ``forward``) their time."""
-    l_row, r_row = F.struct(*left.columns), F.struct(*right.columns)
-    l_none = F.lit(None).cast(left.select(l_row.alias("x")).schema["x"].dataType)
-    r_none = F.lit(None).cast(right.select(r_row.alias("x")).schema["x"].dataType)
-    # At one time, the side that comes first in the direction of travel is the right one if equal times count.
-    l_side, r_side = (1, 0) if exact else (0, 1)
-    ls = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(l_side).alias("_side"), l_row.alias("_left"), r_none.alias("_right"), F.array(*(F.lit("") for _ in order)).cast("array<string>").alias("_tie"))
-    rs = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(r_side).alias("_side"), l_none.alias("_left"), r_row.alias("_right"), F.array(*(F.col(c).cast("string") for c in order)).cast("array<string>").alias("_tie"))
-    ts, tie = (F.col("_ts").desc(), F.col("_tie").desc()) if forward else (F.col("_ts"), F.col("_tie"))
-    at = Window.partitionBy(*keys).orderBy(ts, F.col("_side"), tie).rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last("_right", ignorenulls=True).over(at)
-    return ls.unionByName(rs).withColumn("_found", held).filter(F.col("_left").isNotNull()).select("_left", F.col("_found").alias("_right"))
 
+def _around(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, order: list[str], right_first: bool, bin_seconds: int) -> DataFrame:
+    """The left rows (keys, ``_left``) with ``_back``, the last right row before them, and ``_ahead``, the first after them, as structs.
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", right_ts: str | None = None, direction: str = "backward", tie: list[str] | None = None, exact: bool = True, prefix: str = "r_") -> DataFrame:
+    At equal times, right rows count as before left rows if ``right_first``, else as after them. Rows without a time find nothing and aren't found.
+    """
+    others = [c for c in right.columns if c not in keys]
+    l_row, r_row = F.struct(*(c for c in left.columns if c not in keys)), F.struct(*others)
+    l_none = F.lit(None).cast(left.select(l_row.alias("x")).schema["x"].dataType)
+    r_none = F.lit(None).cast(right.select(r_row.alias("x")).schema["x"].dataType)
+    no_tie = F.lit(None).cast("array<string>")
+    ls = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), no_tie.alias("_tie"), l_row.alias("_left"), r_none.alias("_right"))
+    tie = F.array(*(F.col(c).cast("string") for c in order)).cast("array<string>")
+    rs = right.filter(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("_ts"), F.lit(0 if right_first else 2).alias("_side"), tie.alias("_tie"), l_none.alias("_left"), r_row.alias("_right"))
+    rows = ls.unionByName(rs).withColumns({"_bin": F.floor(F.unix_seconds(F.col("_ts").cast("timestamp")) / bin_seconds), "_edge": F.lit(0)})
+    place = F.when(F.col("_right").isNotNull(), F.struct("_ts", "_tie"))
+    bins = rows.groupBy(*keys, "_bin").agg(F.min_by("_right", place).alias("_first"), F.max_by("_right", place).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_bin")
+    bins = bins.withColumns({"_before": F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    edges = F.explode(F.array(F.struct(F.lit(-1).alias("e"), F.col("_before").alias("r")), F.struct(F.lit(1).alias("e"), F.col("_after").alias("r"))))
+    edges = bins.filter("_bin IS NOT NULL").select(*keys, "_bin", edges.alias("x")).filter("x.r IS NOT NULL")
+    edges = edges.select(*keys, F.lit(None).cast(rows.schema["_ts"].dataType).alias("_ts"), F.lit(0).alias("_side"), no_tie.alias("_tie"), l_none.alias("_left"), F.col("x.r").alias("_right"), "_bin", F.col("x.e").alias("_edge"))
+    at = Window.partitionBy(*keys, "_bin").orderBy("_edge", "_ts", "_side", "_tie")
+    back, ahead = F.last("_right", True).over(at.rowsBetween(Window.unboundedPreceding, 0)), F.first("_right", True).over(at.rowsBetween(0, Window.unboundedFollowing))
+    found = rows.unionByName(edges).withColumns({"_back": back, "_ahead": ahead}).filter(F.col("_left").isNotNull())
+    known = F.col("_bin").isNotNull()
+    return found.select(*keys, "_left", F.when(known, F.col("_back")).alias("_back"), F.when(known, F.col("_ahead")).alias("_ahead"))
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", right_ts: str | None = None, direction: str = "backward", tie: list[str] | None = None, exact: bool = True, prefix: str = "r_", bin_seconds: int = BIN_SECONDS,
+) -> DataFrame:
     """Each left row with the last right row of its key at or before its time ("backward") or the first at or after it ("forward").
 
     ``exact``: whether the same time counts. Of right rows with one time, ``tie`` columns (as text) decide: the last one
     backward, the first one forward. Right columns but the keys get ``prefix``; they are null where nothing is found.
     """
-    out = _carried(left, right, keys, ts, right_ts or ts, direction == "forward", tie or [], exact)
-    return out.select("_left.*", *(F.col(f"_right.{c}").alias(prefix + c) for c in right.columns if c not in keys))
+    forward = direction == "forward"
+    out = _around(left, right, keys, ts, right_ts or ts, tie or [], exact != forward, bin_seconds)
+    found = "_ahead" if forward else "_back"
+    return out.select(*(F.col(c) if c in keys else F.col(f"_left.{c}") for c in left.columns), *(F.col(f"{found}.{c}").alias(prefix + c) for c in right.columns if c not in keys))
 
 
-def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", prefix: str = "r_") -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", prefix: str = "r_", bin_seconds: int = BIN_SECONDS) -> DataFrame:
     """Each left row with the right row nearest in time; of two equally far ones, the earlier."""
-    back = asof_join(left, right, keys, ts, prefix="b_")
-    both = asof_join(back, right, keys, ts, direction="forward", prefix="f_")
+    both = _around(left, right, keys, ts, ts, [], True, bin_seconds)
 
     def gap(side: str) -> Column:
-        return F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"{side}_{ts}").cast("timestamp")))
+        return F.abs(F.unix_micros(F.col(f"_left.{ts}").cast("timestamp")) - F.unix_micros(F.col(f"{side}.{ts}").cast("timestamp")))
 
-    use_back = F.col(f"b_{ts}").isNotNull() & (F.col(f"f_{ts}").isNull() | (gap("b") <= gap("f")))
+    use_back = F.col("_back").isNotNull() & (F.col("_ahead").isNull() | (gap("_back") <= gap("_ahead")))
     others = [c for c in right.columns if c not in keys]
-    return both.select(*left.columns, *(F.when(use_back, F.col("b_" + c)).otherwise(F.col("f_" + c)).alias(prefix + c) for c in others))
+    return both.select(*(F.col(c) if c in keys else F.col(f"_left.{c}") for c in left.columns), *(F.when(use_back, F.col(f"_back.{c}")).otherwise(F.col(f"_ahead.{c}")).alias(prefix + c) for c in others))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], start: Column, end: Column, ts: str, bin_seconds: int, how: str = "left", right_ts: str | None = None) -> DataFrame:
@@ -84,9 +103,7 @@ def bucket_join(left: DataFrame, right: DataFrame, keys: list[str], unit: str =
 
 def lagged_return(linkage: DataFrame, bars: DataFrame, key: str = "symbol", hours: int = 1) -> DataFrame:
     """Percent change from the last close at or before an article to the first close after it, within ``hours``."""
-    closes = bars.select(key, "ts", "close")
-    before = asof_join(linkage, closes, [key], prefix="p_")
-    after = asof_join(before, closes, [key], direction="forward", exact=False, prefix="n_")
-    near = F.col("n_ts") <= F.col("ts") + F.make_dt_interval(hours=F.lit(hours))
-    change = F.when(near, F.try_divide(100 * (F.col("n_close") - F.col("p_close")), F.col("p_close")))
-    return after.select(*linkage.columns, F.round(change, 6).alias("price_change"))
+    both = _around(linkage, bars.select(key, "ts", "close"), [key], "ts", "ts", [], True, BIN_SECONDS)
+    near = F.col("_ahead.ts") <= F.col("_left.ts") + F.make_dt_interval(hours=F.lit(hours))
+    change = F.when(near, F.try_divide(100 * (F.col("_ahead.close") - F.col("_back.close")), F.col("_back.close")))
+    return both.select(*(F.col(c) if c == key else F.col(f"_left.{c}") for c in linkage.columns), F.round(change, 6).alias("price_change"))

@@ -189,10 +189,10 @@ def update_by_predicate(spark, sf_dir):
     return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status"))
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0) ORDER BY id LIMIT 100")
+@query("SELECT o_orderkey AS id, o_custkey AS k FROM orders ORDER BY id, k LIMIT 100 OFFSET 100")
 def key_page(spark, sf_dir):
-    rows = load(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id"))
-    return rel.page(rows, [F.col("id")], 1, 100)
+    """The second page of all orders by key."""
+    return rel.page(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k")), [F.col("id"), F.col("k")], 2, 100)
 
 
 @query("SELECT symbol, count(*) AS n, round(avg(price), 6) AS mean FROM ticks WHERE symbol IN ('click', 'view') AND size >= 50 GROUP BY 1", "ticks")

@@ -122,10 +122,15 @@ def url_hash_dedup(spark, sf_dir):
     return news_articles(spark, sf_dir).groupBy("url_hash").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
-@query("SELECT id, primary_symbol FROM news_articles WHERE id % 2 = 0", "news_articles")
+@query(
+    """WITH d AS (SELECT id, primary_symbol, ts FROM news_articles UNION ALL SELECT id, 'again', ts + INTERVAL 1 HOUR FROM news_articles WHERE ts >= TIMESTAMP '2024-01-10')
+    SELECT id, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'known' ELSE primary_symbol END AS primary_symbol, ts FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts, primary_symbol) = 1""",
+    "news_articles",
+)
 def insert_do_nothing(spark, sf_dir):
-    """Keep-first insert into a table that has every even id already: here, what the table holds after it."""
-    rows = news_articles(spark, sf_dir).select("id", "primary_symbol")
-    base = rows.filter("id % 2 = 0")
-    return base.unionByName(insert_new(base, rows.filter("id % 4 = 0"), ["id"]))
+    """Keep-first insert: the table has the articles before the 20th, the delta all of them, and those from the 10th on once more."""
+    rows = news_articles(spark, sf_dir).select("id", "primary_symbol", "ts")
+    base = rows.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).withColumn("primary_symbol", F.lit("known"))
+    again = rows.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).select("id", F.lit("again").alias("primary_symbol"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    return base.unionByName(insert_new(base, rows.unionByName(again), ["id"], ["ts", "primary_symbol"]))
 

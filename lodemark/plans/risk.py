@@ -74,12 +74,12 @@ def drawdown_episodes(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT side, pnl > 0 AS won, row_number() OVER (PARTITION BY side ORDER BY exit_time, id) - row_number() OVER (PARTITION BY side, pnl > 0 ORDER BY exit_time, id) AS run FROM (SELECT DISTINCT side, pnl, exit_time, id FROM backtest_trades)),
+    """WITH n AS (SELECT side, pnl > 0 AS won, row_number() OVER (PARTITION BY side ORDER BY exit_time, id, pnl) - row_number() OVER (PARTITION BY side, pnl > 0 ORDER BY exit_time, id, pnl) AS run FROM backtest_trades),
     r AS (SELECT side, won, run, count(*) AS n FROM n GROUP BY ALL) SELECT side, coalesce(max(n) FILTER (won), 0) AS longest_win, coalesce(max(n) FILTER (NOT won), 0) AS longest_loss FROM r GROUP BY 1""",
     "backtest_trades",
 )
 def streaks(spark, sf_dir):
-    return metrics.streaks(trades(spark, sf_dir).select("side", "pnl", "exit_time", "id").distinct(), ["side"], ["exit_time", "id"])
+    return metrics.streaks(trades(spark, sf_dir).select("side", "pnl", "exit_time", "id"), ["side"], ["exit_time", "id", "pnl"])
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, round(arg_max(equity, ts) / nullif(arg_min(equity, ts), 0) - 1, 6) AS return FROM equity_curve GROUP BY 1", "equity_curve")
@@ -205,8 +205,37 @@ def flat_backtest(spark, sf_dir):
     return backtest.flat_backtest(candles(spark, sf_dir).select("symbol", "ts", "close"), signals, ["symbol"])
 
 
+GRID = [(i, t, s) for i, (t, s) in enumerate((t, s) for t in (0.01, 0.02, 0.05) for s in (0.01, 0.015, 0.03))]
+
+
+@query(
+    f"""WITH g AS (SELECT * FROM (VALUES {", ".join(f"({i}, {t}::DOUBLE, {s}::DOUBLE)" for i, t, s in GRID)}) g(run_id, take, stop)),
+    b AS (SELECT s.id, s.symbol, s.ts, s.signal, s.strength, c.ts AS b_ts, c.close AS b FROM tick_signals s ASOF LEFT JOIN candles_1h c ON s.symbol = c.symbol AND s.ts >= c.ts WHERE s.signal IN ('BUY', 'SELL')),
+    n AS (SELECT b.*, c.ts AS f_ts, c.close AS f FROM b ASOF LEFT JOIN candles_1h c ON b.symbol = c.symbol AND b.ts < c.ts),
+    p AS (SELECT id, symbol, ts, CASE signal WHEN 'BUY' THEN 1 ELSE -1 END AS up, CASE WHEN b_ts IS NOT NULL AND (f_ts IS NULL OR ts - b_ts <= f_ts - ts) THEN b ELSE f END AS price FROM n),
+    m AS (SELECT p.*, c.ts AS at, p.up * (c.close / p.price - 1) AS move FROM p LEFT JOIN candles_1h c ON c.symbol = p.symbol AND c.ts BETWEEN p.ts + INTERVAL 1 SECOND AND p.ts + INTERVAL 24 HOUR WHERE p.price > 0),
+    e AS (SELECT run_id, id, min(at) FILTER (move >= take OR move <= -stop) AS hit, arg_min(move >= take, at) FILTER (move >= take OR move <= -stop) AS won, max(at) AS last FROM m, g GROUP BY 1, 2)
+    SELECT run_id, CASE WHEN last IS NULL THEN 'open' WHEN hit IS NULL THEN 'timeout' WHEN won THEN 'take_profit' ELSE 'stop_loss' END AS reason, count(*) AS n, CAST(sum(epoch(coalesce(hit, last))) AS BIGINT) AS seconds FROM e GROUP BY 1, 2""",
+    "tick_signals", "candles_1h",
+)
+def backtest_exits(spark, sf_dir):
+    """How the positions of nine runs end: their number, and the sum of their exit times, by run and reason."""
+    rows = backtest.positions(tick_signals(spark, sf_dir), candles(spark, sf_dir), GRID)
+    return rows.groupBy("run_id", "reason").agg(F.count("*").alias("n"), F.sum(F.unix_seconds(F.col("exit_time").cast("timestamp"))).alias("seconds"))
+
+
+def grid_flow(spark, sf_dir):
+    return backtest.cash_flow(backtest.positions(tick_signals(spark, sf_dir), candles(spark, sf_dir), GRID))
+
+
 @query()
 def backtest_grid(spark, sf_dir):
     """Nine runs over all tick signals; checked against a plain loop in the tests."""
-    grid = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate((t, s) for t in (0.01, 0.02, 0.05) for s in (0.01, 0.015, 0.03))], "run_id long, take double, stop double")
-    return backtest.backtest_grid(tick_signals(spark, sf_dir), candles(spark, sf_dir), grid)
+    return backtest.run_results(grid_flow(spark, sf_dir))
+
+
+@query()
+def backtest_equity(spark, sf_dir):
+    """Equity of each run at the end of each day; checked with ``backtest_grid``."""
+    rows = grid_flow(spark, sf_dir).groupBy("run_id", F.to_date("ts").alias("day"))
+    return rows.agg(F.round(F.max_by("equity", F.struct("ts", "opens", "id")), 4).alias("equity"), F.count_if(~F.col("opens")).alias("trades"))

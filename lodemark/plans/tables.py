@@ -72,7 +72,7 @@ def trading_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tick_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.element_at(F.array(*map(F.lit, ("BUY", "SELL", "HOLD"))), (F.col("event_id") % 3 + 1).cast("int"))
-    return ticks(spark, sf_dir).filter("user_id % 7 = 0").select(F.col("event_id").alias("id"), "ts", "symbol", side.alias("signal"), (F.col("size") / F.lit(10.0)).alias("strength"), "price")
+    return ticks(spark, sf_dir).select(F.col("event_id").alias("id"), "ts", "symbol", side.alias("signal"), (F.col("size") / F.lit(10.0)).alias("strength"), "price")
 
 
 def price_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,7 @@ SQL = {
   o_totalprice * 10 / 500000.0::DOUBLE AS strength, o_totalprice * 10 / 500000.0::DOUBLE / 10 AS confidence, o_totalprice AS entry_price, o_orderkey % 3 <> 0 AS is_active, o_orderdate + INTERVAL 4 HOUR AS expires_at,
   o_orderpriority AS risk_level, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS closed_at, (o_orderkey % 41 - 20) / 10.0::DOUBLE AS pnl_pct
   FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "tick_signals": "SELECT event_id AS id, ts, symbol, ['BUY', 'SELL', 'HOLD'][CAST(event_id % 3 AS INT) + 1] AS signal, size / 10.0::DOUBLE AS strength, price FROM ticks WHERE user_id % 7 = 0",
+    "tick_signals": "SELECT event_id AS id, ts, symbol, ['BUY', 'SELL', 'HOLD'][CAST(event_id % 3 AS INT) + 1] AS signal, size / 10.0::DOUBLE AS strength, price FROM ticks",
     "price_predictions": """SELECT o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS model_name, o_totalprice AS predicted_price, o_orderstatus AS status, actual_price
   FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS actual_price FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
     "backtest_trades": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18, 2))) AS id, l_linestatus AS symbol, CASE l_returnflag WHEN 'R' THEN 'SELL' ELSE 'BUY' END AS side,

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lodemark.functions import labels, models, text
 from lodemark.operators.jaccard import jaccard_classes
+from lodemark.operators.neardup import near_titled
+from lodemark.operators.rolling import with_next
 
 from .registry import query
 from .tables import candles, load, news_articles, sentiment_scores, ticks
@@ -14,10 +16,10 @@ COINS = {"LIC": ["license", "licence"], "APA": ["apache"], "THAT": ["that"], "WI
 
 
 @query(
-    r"SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^0-9A-Za-z_])({'|'.join(w)})($|[^0-9A-Za-z_])') THEN '{k}' END" for k, w in sorted(COINS.items())) + "], lambda x: x IS NOT NULL) AS found FROM documents WHERE lang = 'en'"
+    r"SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^0-9A-Za-z_])({'|'.join(w)})($|[^0-9A-Za-z_])') THEN '{k}' END" for k, w in sorted(COINS.items())) + "], lambda x: x IS NOT NULL) AS found FROM documents"
 )
 def entity_extract(spark, sf_dir):
-    return load(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", text.entities(F.col("text"), COINS).alias("found"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.entities(F.col("text"), COINS).alias("found"))
 
 
 @query(
@@ -32,9 +34,9 @@ def clean_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(text, '(?i)((?:api[_-]?key|token|secret|password)["'']?\s*[:=]\s*["'']?)[^"''\s,;]+', '\1***', 'g') AS masked FROM documents WHERE contains(lower(text), 'token')""")
+@query(r"""SELECT doc_id, regexp_replace(text, '(?i)((?:api[_-]?key|token|secret|password)["'']?\s*[:=]\s*["'']?)[^"''\s,;]+', '\1***', 'g') AS masked FROM documents""")
 def mask_sensitive(spark, sf_dir):
-    return load(spark, sf_dir, "documents").filter(F.lower("text").contains("token")).select("doc_id", text.mask(F.col("text")).alias("masked"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.mask(F.col("text")).alias("masked"))
 
 
 LEXICONS = {"BEARISH": ["license"], "FUD": ["apache"], "BULLISH": ["that"]}
@@ -55,15 +57,17 @@ def word_shingles(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", F.size(s).cast("long").alias("n"), F.array_sort(s)[0].alias("first"))
 
 
-@query(
-    """WITH t AS (SELECT item_id, lower(text) AS a, lower(lead(text) OVER (ORDER BY item_id)) AS b FROM benchmark) SELECT item_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE, 6) AS similarity FROM t WHERE b IS NOT NULL AND octet_length(encode(a || b)) = length(a || b)"""
-)
+@query()
 def title_similarity(spark, sf_dir):
-    from pyspark.sql.window import Window
+    """Each item's text beside the next one's: ratio of matching blocks, and edit distance; checked against difflib in the tests."""
+    rows = with_next(load(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text").filter("next IS NOT NULL")
+    return rows.select("item_id", F.round(text.matching_ratio(F.col("text"), F.col("next")), 6).alias("ratio"), F.round(text.similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
 
-    rows = load(spark, sf_dir, "benchmark").withColumn("b", F.lead("text").over(Window.orderBy("item_id"))).filter("b IS NOT NULL")
-    rows = rows.filter(F.octet_length(F.concat("text", "b")) == F.length(F.concat("text", "b")))
-    return rows.select("item_id", F.round(text.similarity(F.col("text"), F.col("b")), 6).alias("similarity"))
+
+@query()
+def near_articles(spark, sf_dir):
+    """Near-duplicate articles by the reference's rule: titles alike by 0.80 and three-word minima by 0.90."""
+    return near_titled(news_articles(spark, sf_dir).select("id", "title", "content"))
 
 
 @query()
@@ -89,10 +93,10 @@ def ab_bucket(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", text.ab_bucket(F.col("c_name"), 0.3).alias("treated"))
 
 
-@query(r"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, CASE WHEN regexp_extract(url, '[?&]page=(\d+)', 1) = '' THEN regexp_replace(url, '#.*$', '') || CASE WHEN contains(regexp_replace(url, '#.*$', ''), '?') THEN '&' ELSE '?' END || 'page=2' ELSE regexp_extract(regexp_replace(url, '#.*$', ''), '^(.*[?&]page=)\d+', 1) || (CAST(regexp_extract(url, '[?&]page=(\d+)', 1) AS BIGINT) + 1) || regexp_extract(regexp_replace(url, '#.*$', ''), '[?&]page=\d+(.*)$', 1) END AS next FROM pages WHERE regexp_matches(url, '^[a-z]+://[a-z0-9.]+(/|$)')")
+@query()
 def url_functions(spark, sf_dir):
-    rows = load(spark, sf_dir, "pages").filter(F.col("url").rlike("^[a-z]+://[a-z0-9.]+(/|$)"))
-    return rows.select("page_id", text.host(F.col("url")).alias("host"), text.next_page(F.col("url")).alias("next"))
+    """Host and next page of every address; checked against urllib in the tests."""
+    return load(spark, sf_dir, "pages").select("page_id", text.host(F.col("url")).alias("host"), text.next_page(F.col("url")).alias("next"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_name IS NULL THEN 'NULL' ELSE '''' || replace(n_name, '''', '''''') || '''' END AS literal, upper(trim(n_name)) || 'USDT' AS pair FROM nation")

@@ -69,9 +69,51 @@ def test_drawdown_and_streaks(spark):
     d = metrics.max_drawdown(eq, ["run"]).first()
     assert (d.max_drawdown, d.duration_seconds) == (0.25, 60)
     assert metrics.drawdown_episodes(eq, ["run"]).count() == 2
-    trades = spark.createDataFrame([(1, i, p) for i, p in enumerate([1.0, 1.0, -1.0, 1.0, 1.0, 1.0, -1.0, -1.0])], "run int, n int, pnl double")
-    s = metrics.streaks(trades, ["run"], ["n"]).first()
-    assert (s.longest_win, s.longest_loss) == (3, 2)
+    trades = spark.createDataFrame([(1, at(i), p) for i, p in enumerate([1.0, 1.0, -1.0, 1.0, 1.0, 1.0, -1.0, -1.0])], "run int, ts timestamp_ntz, pnl double")
+    for unit in ("week", "minute"):
+        s = metrics.streaks(trades, ["run"], ["ts"], unit).first()
+        assert (s.longest_win, s.longest_loss) == (3, 2)
+
+
+def test_streaks_over_blocks(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), i, at(i), rng.choice([1.0] * 6 + [-1.0])) for i in range(600)]
+    want = {}
+    for k in "ab":
+        best, n, last = {True: 0, False: 0}, 0, None
+        for _, _, _, p in (r for r in rows if r[0] == k):
+            n, last = (n + 1, last) if (p > 0) == last else (1, p > 0)
+            best[last] = max(best[last], n)
+        want[k] = best[True], best[False]
+    df = spark.createDataFrame(rows, "k string, id int, ts timestamp_ntz, pnl double")
+    for unit in ("minute", "hour", "day"):
+        assert {r.k: (r.longest_win, r.longest_loss) for r in metrics.streaks(df, ["k"], ["ts", "id"], unit).collect()} == want
+
+
+def test_hot_symbol_is_many_tasks(spark):
+    """One symbol has 99 % of the rows: no partition of the join's window has more than a small share of them, and it equals pandas."""
+    n = 20_000
+    left = spark.range(n).select(F.when(F.col("id") % 100 == 0, "cold").otherwise("hot").alias("k"), "id", (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int") * 7 % 43200)).alias("ts"))
+    right = spark.range(n // 4).select(F.when(F.col("id") % 100 == 1, "cold").otherwise("hot").alias("k"), (F.col("id") * 1.0).alias("v"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int") * 13 % 43200)).alias("ts"))
+    right = right.groupBy("k", "ts").agg(F.max("v").alias("v"))
+    got = temporal.asof_join(left, right, ["k"])
+    l, r = left.toPandas().sort_values(["ts", "id"]), right.toPandas().sort_values("ts")
+    want = pd.merge_asof(l, r, on="ts", by="k").set_index("id")["v"].sort_index()
+    pd.testing.assert_series_equal(got.toPandas().set_index("id")["r_v"].sort_index(), want, check_names=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = temporal.asof_join(left, right, ["k"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in sizes) < 0.25 * n
+
+
+def test_with_next(spark):
+    from lodemark.operators.rolling import with_next
+
+    rows = [(i, None if i % 5 == 0 else f"v{i}") for i in range(0, 90, 3)]
+    got = {r.i: r.next for r in with_next(spark.createDataFrame(rows, "i long, v string"), "i", "v", span=10).collect()}
+    assert got == dict(zip([i for i, _ in rows], [v for _, v in rows[1:]] + [None], strict=True))
 
 
 def test_cooldown_equals_loop(spark):
@@ -84,13 +126,23 @@ def test_cooldown_equals_loop(spark):
             kept.add(i)
     df = spark.createDataFrame(rows, "id int, symbol string, ts timestamp_ntz")
     assert {r.id for r in signals.cooldown(df, ["symbol"], 1800).collect()} == kept
+    # narrow bins, a key that is null, ids that repeat across keys
+    assert {r.id for r in signals.cooldown(df, ["symbol"], 1800, bin_seconds=3600).collect()} == kept
+    two = df.select("id", F.lit(None).cast("string").alias("symbol"), "ts").filter("symbol IS NULL AND id < 0").unionByName(df.withColumn("symbol", F.when(F.col("symbol") == "A", "A")).withColumn("id", F.col("id") % 50))
+    rows, last, want = sorted(two.collect(), key=lambda r: (r.symbol is None, r.symbol or "", r.ts, r.id)), {}, []
+    for r in rows:
+        if r.symbol not in last or (r.ts - last[r.symbol]).total_seconds() >= 1800:
+            last[r.symbol] = r.ts
+            want.append(tuple(r))
+    assert sorted(map(tuple, signals.cooldown(two, ["symbol"], 1800).collect()), key=str) == sorted(want, key=str)
 
 
 def test_upsert_insert_retention(spark):
     base = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, s string, v double")
     delta = spark.createDataFrame([(2, "x", 9.0, 1), (2, "y", 8.0, 2), (3, "z", None, 1)], "k int, s string, v double, _order int")
     assert {tuple(r) for r in relational.upsert(base, delta, ["k"], ["v"]).collect()} == {(1, "a", 1.0), (2, "b", 8.0), (3, "z", None)}
-    assert {r.k for r in relational.insert_new(base, delta, ["k"]).collect()} == {3}
+    assert {r.k for r in relational.insert_new(base, delta, ["k"], ["_order"]).collect()} == {3}
+    assert relational.insert_new(base.filter("k = 1"), delta, ["k"], ["_order"]).filter("k = 2").first().s == "x"
 
 
 def test_near_classes_equal_all_pairs(spark):
@@ -120,14 +172,97 @@ def test_near_classes_equal_all_pairs(spark):
     assert {r.id: r.class_id for r in neardup.near_classes(df).collect()} == {i: find(i) for i in range(len(docs))}
 
 
-def test_backtest_grid_equals_loop(spark, data):
-    got = risk.backtest_grid(spark, data).toPandas().sort_values("run_id").reset_index(drop=True)
+def test_backtest_equals_loop(spark, data):
+    """All signals of all symbols in one loop over time, with shared cash."""
     from lodemark.plans.tables import candles, tick_signals
 
-    priced = temporal.nearest_join(tick_signals(spark, data), candles(spark, data).select("symbol", "ts", "close"), ["symbol"]).toPandas()
-    assert len(got) == 9 and (got["trades"] > 0).all()
-    run = priced.assign(run_id=0, take=0.01, stop=0.01)
-    pd.testing.assert_frame_equal(backtest._simulate(run), got[got["run_id"] == 0].reset_index(drop=True), check_dtype=False)
+    bars = candles(spark, data).select("symbol", "ts", "close").toPandas()
+    by = {k: g.sort_values("ts").reset_index(drop=True) for k, g in bars.groupby("symbol")}
+    rows = tick_signals(spark, data).toPandas()
+    rows = rows[rows["signal"].isin(["BUY", "SELL"])]
+    for run_id, take, stop in (risk.GRID[0], risk.GRID[8]):
+        events, reasons = [], {}
+        for r in rows.itertuples(index=False):
+            b = by[r.symbol]
+            gap = (b["ts"] - r.ts).abs()
+            price = b["close"][gap.idxmin()]  # of equally near ones the first
+            later = b[(b["ts"] >= r.ts + pd.Timedelta(seconds=1)) & (b["ts"] <= r.ts + pd.Timedelta(hours=24))]
+            up = 1 if r.signal == "BUY" else -1
+            moves = up * (later["close"] / price - 1)
+            hit = later[(moves >= take) | (moves <= -stop)]
+            events.append((r.ts, True, r.id, 0.2 * min(1.0, max(0.1, r.strength / 10))))
+            out = hit.iloc[0] if len(hit) else later.iloc[-1] if len(later) else None
+            reasons[r.id] = "open" if out is None else "timeout" if not len(hit) else "take_profit" if up * (out["close"] / price - 1) >= take else "stop_loss"
+            if out is not None:
+                entry, left = price * (1 + up * 0.0005), out["close"] * (1 - up * 0.0005)
+                events.append((out["ts"], False, r.id, (entry + up * (left - entry) - (entry + left) * 0.001) / (price * 1.0005)))
+        cash, put, trades, wins = 10_000.0, {}, 0, 0
+        for _, opens, i, part in sorted(events):
+            if opens and cash > 0:
+                put[i] = cash * part
+                cash -= put[i]
+            elif not opens and i in put:
+                cash, trades, wins = cash + put[i] * part, trades + 1, wins + (part > 1)
+                del put[i]
+        got = risk.backtest_grid(spark, data).filter(F.col("run_id") == run_id).first()
+        assert (got.trades, got.wins) == (trades, wins) and abs(got.equity - cash - sum(put.values())) < 1e-3
+        taken = backtest.positions(tick_signals(spark, data), candles(spark, data), [(run_id, take, stop)])
+        assert {r.id: r.reason for r in taken.collect()} == reasons
+    days = risk.backtest_equity(spark, data).toPandas()
+    assert days.groupby("run_id")["trades"].sum().to_dict() == {r.run_id: r.trades for r in risk.backtest_grid(spark, data).collect()}
+
+
+def test_urls_equal_urllib(spark, data):
+    from urllib.parse import urlsplit
+
+    from lodemark.queries import QUERIES
+
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = {r.page_id: r for r in QUERIES["url_functions"](spark, data).collect()}
+    assert got.keys() == urls.keys()
+    for i, u in urls.items():
+        assert got[i].host == urlsplit(u).hostname, u
+        base = u.split("#")[0]
+        pages = [x for x in urlsplit(base).query.split("&") if x.startswith("page=")]
+        if not pages:
+            assert got[i].next == base + ("&" if "?" in base else "?") + "page=2"
+        else:
+            assert f"page={int(pages[0][5:]) + 1}" in got[i].next
+
+
+def test_titles_equal_difflib(spark, data):
+    from difflib import SequenceMatcher
+
+    from lodemark.queries import QUERIES
+
+    items = sorted((r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect())
+    got = {r.item_id: r for r in QUERIES["title_similarity"](spark, data).collect()}
+    want = {i: SequenceMatcher(None, a.lower(), b.lower()).ratio() for (i, a), (_, b) in zip(items, items[1:], strict=False)}
+    assert got.keys() == want.keys() and all(abs(got[i].ratio - want[i]) < 1e-6 for i in want)
+
+
+def test_near_titled_equals_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    docs = []
+    for i in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(150)]
+        docs += [(len(docs) + k, rng.choice([f"Coin {i} rises today", f"Coin {i} rises todays", f"Other words {i * 77}"]), " ".join([*base[:k], "new", *base[k + 1 :]] if k else base)) for k in range(4)]
+    sigs, root = {i: neardup.minima(t) for i, _, t in docs}, {i: i for i, _, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a, _ in docs:
+        for j, b, _ in docs[:i]:
+            if (sigs[i] == sigs[j]).sum() >= neardup.AGREE and SequenceMatcher(None, a.lower(), b.lower()).ratio() >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    df = spark.createDataFrame(docs, "id long, title string, content string")
+    assert {r.id: r.class_id for r in neardup.near_titled(df).collect()} == {i: find(i) for i in root}
 
 
 def test_text_functions(spark):

@@ -11,7 +11,14 @@ from .common import fold
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, key: str = "doc_id", text: str = "text") -> tuple[list, dict]:
-    """[(doc_id, text, label)] in seeded order, and the number of labelled rows of each class.
+    """[(doc_id, text, label)] in seeded order, and the number of labelled rows of each class; see ``sample_rows``."""
+    chosen, classes = sample_rows(docs, labels, label, per_class, max_chars, key, text)
+    rows = chosen.collect()
+    return sorted(((r["_id"], r["_text"], r["_label"]) for r in rows), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[2], r[1])), classes
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
+    """Rows (_id, _text, _label) of a bounded sample, and the number of labelled rows of each class.
 
     Of each class (0 and 1), the first ``per_class`` rows in order of a hash of the id, of which those stay whose texts together
     have ``max_chars`` / 2 characters at most (all rows of an id count, and each as one more); ids of the held-out fold and null ids and labels are left out. These two bounds
@@ -32,5 +39,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
             room[r["_label"]] -= r["n"]
             chosen.add((r["_id"], r["_label"]))
     keep = docs.sparkSession.createDataFrame([(i, c) for i, c in sorted(chosen)], "_id long, _label int")
-    rows = own.join(F.broadcast(keep), ["_id", "_label"], "left_semi").select("_id", "_text", "_label").collect()
-    return sorted(((r["_id"], r["_text"], r["_label"]) for r in rows), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[2], r[1])), classes
+    return own.join(F.broadcast(keep), ["_id", "_label"], "left_semi").select("_id", "_text", "_label"), classes

@@ -15,19 +15,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodemark.storage import save
 
-from .common import by_slices, fold, light, read_table, slices
-from .labelled import labelled_sample
+from .common import fold, light, read_table, slices
+from .labelled import sample_rows
 
 #: Bounds of the sample that the curve is fitted on: labelled rows of each class, characters of all of them.
-PER_CLASS, MAX_CHARS = 2500, 20_000_000
+PER_CLASS, MAX_CHARS = 2000, 12_000_000
 #: Taken from each continuation count; weight of the discounted counts against the shared backoff; words of a part, and between parts' starts.
 DISCOUNT, WEIGHT, PART, STRIDE = 1.0, 0.03, 8, 4
 #: Words whose ratios are sent to the workers as one table (12 bytes each); beyond that, the words of the texts are joined with them.
@@ -92,7 +92,7 @@ def without_copies(rows: DataFrame) -> DataFrame:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct (label, word, word before) of each batch."""
-    for batch in slices(batches, 4000):
+    for batch in slices(batches, 1000):
         words, ends = hashed(batch.column(1).to_pylist())
         rows = np.empty(len(words), [("label", np.int32), ("word", np.int64), ("before", np.int64)])
         rows["label"] = np.repeat(np.asarray(batch.column(0)), np.diff(ends, prepend=0))
@@ -113,10 +113,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.bincount(of, n, len(kinds)).astype(np.int64))], names=["word", "n"])
 
     held, size = [], 0
-    for batch in slices(batches, 4000):
+    for batch in slices(batches, 1000):
         held.append(np.unique(hashed(batch.column(0).to_pylist())[0], return_counts=True))
         size += len(held[-1][0])
-        if size > 4_000_000:
+        if size > 1_000_000:
             yield rows(held)
             held, size = [], 0
     if held:
@@ -162,7 +162,9 @@ def part_starts(n: int, part: int = PART, stride: int = STRIDE) -> np.ndarray:
 
 
 def _told_by_table(shared, other: float):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The last column, the text, gives way to the evidence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ratios = shared.value
 
         def best(texts: list[str | None]) -> np.ndarray:
@@ -178,8 +180,9 @@ def _told_by_table(shared, other: float):
                     out[i] = ((through[starts + k] - through[starts]) / k).max()
             return out
 
-        for texts in batches:
-            yield by_slices(texts, best)
+        for batch in slices(batches):
+            found = best(batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], "evidence"])
 
     return run
 
@@ -198,25 +201,20 @@ def _part_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_evidence(rows: DataFrame, ratios: DataFrame, other: float, shared: int = SHARED) -> DataFrame:
-    """``rows`` with ``evidence``: the largest mean ratio of a part of ``text``; 0 for texts without words.
+    """``rows``, whose last column is ``text``, with ``evidence`` in its place: the largest mean ratio of a part; 0 for texts without words.
 
     Up to ``shared`` words, their ratios are one table for all workers; beyond that, the texts' words are joined with them. Both give the same.
     """
     spark = rows.sparkSession
     if ratios.count() <= shared:
         known = ratios.toPandas().sort_values("word")
-        told = _told_by_table(spark.sparkContext.broadcast((known["word"].to_numpy(np.int64), known["ratio"].to_numpy(np.float32))), other)
-
-        @F.pandas_udf("double")
-        def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            return told(batches)
-
-        return rows.withColumn("evidence", evidence("text"))
+        table = spark.sparkContext.broadcast((known["word"].to_numpy(np.int64), known["ratio"].to_numpy(np.float32)))
+        return rows.mapInArrow(_told_by_table(table, other), T.StructType([*rows.schema.fields[:-1], T.StructField("evidence", T.DoubleType())]))
     rows = save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     said = rows.select("_row", "text").mapInArrow(_part_words, "row long, part long, word long, n long")
     ratio = F.coalesce(F.col("ratio"), F.lit(other)).cast("double")
     best = said.join(ratios, "word", "left").groupBy("row", "part").agg((F.sum(ratio) / F.min("n")).alias("mean")).groupBy("row").agg(F.max("mean").alias("best"))
-    return rows.join(best.withColumnRenamed("row", "_row"), "_row", "left").withColumn("evidence", F.coalesce("best", F.lit(0.0))).drop("_row", "best")
+    return rows.join(best.withColumnRenamed("row", "_row"), "_row", "left").withColumn("evidence", F.coalesce("best", F.lit(0.0))).drop("_row", "best", "text")
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -251,14 +249,13 @@ def toxicity_scores(
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     quarter = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(4)) == 0
-    sample, _ = labelled_sample(docs, labels.filter(quarter), label, per_class, max_chars, key, text)
+    sample, _ = sample_rows(docs, labels.filter(quarter), label, per_class, max_chars, key, text)
     usable = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fold(key) != 0) & ~quarter).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).distinct()
     usable = save(usable, "usable")
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(light(usable), "id")
     counts = word_counts(docs, own.join(light(without_copies(own)), ["id", "label"]), text)
     ratios, other = word_ratios(counts, discount, weight)
-    seen = docs.sparkSession.createDataFrame([(r[1], r[2]) for r in sample], "text string, label int")
-    found = with_evidence(seen, ratios, other, shared).select("evidence", "label").toPandas()
+    found = with_evidence(sample.select(F.col("_label").alias("label"), F.col("_text").alias("text")), ratios, other, shared).toPandas()
     middle, slope, shift = curve(found["evidence"].to_numpy(float), found["label"].to_numpy(float))
     out = with_evidence(rows, ratios, other, shared)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-((F.col("evidence") - middle) * slope + shift)))

@@ -31,8 +31,8 @@ from lodemark.storage import save
 from .common import light, read_table, slices
 
 LEAST, COVERAGE = 5, 0.8
-#: Bits of the bitmap for each window of the benchmark, and the most of all (128 MB).
-BITS, MOST_BITS = 16, 1 << 30
+#: Bits of the bitmap for each window of the benchmark, the fewest and the most of all (512 KB, 128 MB), and bits that each window sets.
+BITS, LEAST_BITS, MOST_BITS, PROBES = 64, 1 << 22, 1 << 30, 3
 #: Pairs of equal windows that are looked at together.
 SLAB = 2_000_000
 #: Scripts without spaces between words (Thai to Khmer, Chinese, Japanese): each character is a token.
@@ -188,8 +188,10 @@ def _suspects(bitmap, mask: int, widths: list[int]):
                 covered, seeds = np.zeros(len(ids), bool), []
                 for width in widths:
                     hashes = rolling(ids, width)
-                    place = hashes & np.uint64(mask)
-                    at = np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+                    at = np.arange(len(hashes))
+                    for probe in range(PROBES):
+                        place = (hashes[at] >> np.uint64(10 * probe)) & np.uint64(mask)
+                        at = at[((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
                     if len(at):
                         seeds.append(hashes[at])
                         for k in range(width):
@@ -235,9 +237,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
     ranked = windows.join(shared, "hash").groupBy("key", "n").agg(F.collect_list(F.struct("at", "hash", "shared")).alias("windows"))  # as long as an item
     seeds = save(ranked.mapInArrow(_rare_windows(least, coverage), "key binary, hash long"), "seeds")
     total, widths = items.agg(F.sum(F.size("windows")), F.array_sort(F.collect_set(F.least("n", F.lit(least))))).first()  # as many widths as ``least`` at most
-    bits = min(MOST_BITS, 1 << max(15, (BITS * (total or 0)).bit_length()))
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1).cast("long")) + 1
-    parts = windows.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # 4 KB for each 32,768 bits
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * (total or 0)).bit_length()))
+    probes = F.explode(F.array(*(F.shiftrightunsigned("hash", 10 * k) for k in range(PROBES))))
+    place = F.col("at").bitwiseAND(F.lit(bits - 1).cast("long")) + 1
+    parts = windows.select(probes.alias("at")).groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # 4 KB for each 32,768 bits
     bitmap = bytearray(bits // 8)
     for p in parts:
         bitmap[(p["bucket"] - 1) * 4096 : p["bucket"] * 4096] = p["bits"]

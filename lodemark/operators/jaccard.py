@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodemark.batches import bound_bytes
 from lodemark.storage import save
 
 from .graph import components
@@ -132,6 +133,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ti
     without words are alike. Rows without an id never name a class; its id is null if no row has one. ``text_hash`` is Spark's
     xxhash64 of the text, with null as empty.
     """
+    bound_bytes(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     plain = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"), F.octet_length(whole).cast("long").alias("size"))
     rows = save(plain.mapInArrow(_sets, "id long, text_hash long, node long, sig binary, size long"), "sets")

@@ -19,7 +19,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``, as a text may be long; Spark itself bounds the bytes of a batch."""
+    """The same rows in batches of at most ``rows``, as a text may be long; ``bound_bytes`` sees to their bytes."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)

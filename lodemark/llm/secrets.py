@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest, in DataFrame operations and Spark's ML only.
 
-A candidate is a run of at least 16 characters of keys, with a digit, or whatever is assigned to a secret's name by ``=`` or ``:``, be it as short
-and of such characters as it may. What tells a key from an identifier, a path, a digest or a number is
+A candidate is a run of at least 16 characters of keys with a digit, or of 20 without one that changes case in two places, a private key block, the password within an
+address, or whatever is assigned to a secret's name by ``=`` or ``:``, be it as short and of such characters as it may. What tells a key from an identifier, a path, a digest or a number is
 its length, how often the character class changes, how much of it dictionary words cover, whether it is part of a path, and the words
 next to it. The forest learns that from labelled findings: a table of (before, candidate, after, label).
 """
@@ -22,7 +22,10 @@ ASSIGNED = r"(?<=[:=][ \t]{0,3}[\"'`]?)(?<=(?i:" + NAMED + r")[A-Za-z0-9_-]{0,16
 #: A value in quotes goes to the closing one, else to white space, a quote, & or a final comma or semicolon.
 VALUE = ASSIGNED + r"[\"'`])[^\"'`\r\n]++(?=[\"'`])|" + ASSIGNED + r")(?![:=])(?:[^\s\"'`&<>,;]|[,;](?![\s\"'`]|$))++"
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
-CANDIDATE = f"(?:{VALUE}|{RUN})"
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*?[a-z][A-Z][A-Za-z+/_-]*?[a-z][A-Z])[A-Za-z+/_-]{20,}+(?![0-9])"
+BLOCK = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=,:\s-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+ADDRESS = r"(?<=://[^\s:/@]{1,64}:)[^\s:/@]++(?=@)"
+CANDIDATE = f"(?:{BLOCK}|{ADDRESS}|{VALUE}|{RUN}|{MIXED})"
 BEFORE, AFTER = 48, 16
 SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "api[_-]?key", "apikey", "auth", "bearer", "credential", "private", "access[_-]?key", "signature")
 OTHER_WORDS = ("commit", "sha", "md5", "hash", "checksum", "digest", "uuid", "guid", "etag", "revision", "version", "build", "card", "phone", "isbn", "order", "http", "www", "file", "path", "image")
@@ -43,12 +46,12 @@ def features(before: Column, candidate: Column, after: Column) -> dict[str, Colu
     near = F.right(low, F.lit(24))
     n = F.greatest(F.length(candidate), F.lit(1))
     return {
-        "chars": F.least(F.length(candidate), F.lit(256)),
+        "chars": F.log2(n),
         "transitions": F.regexp_count(candidate, F.lit(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[+/_-])(?=[A-Za-z0-9])")) / n,
         "digits": share(candidate, F.translate(candidate, "0123456789", "")),
         "upper": share(candidate, F.translate(candidate, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
         "hexadecimal": candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("int"),
-        "kinds": F.size(F.array_distinct(F.split(F.substring(candidate, 1, 256), ""))) / F.least(n, F.lit(64)),
+        "kinds": F.size(F.array_distinct(F.split(candidate, ""))) / F.least(n, F.lit(64)),
         "dictionary": share(candidate, F.regexp_replace(F.lower(candidate), "|".join(DICTIONARY), "")),
         "symbols": share(candidate, F.regexp_replace(candidate, r"[^\sA-Za-z0-9+/_=-]", "")),
         "blanks": share(candidate, F.regexp_replace(candidate, r"\s", "")),
@@ -57,6 +60,8 @@ def features(before: Column, candidate: Column, after: Column) -> dict[str, Colu
         "plain": candidate.rlike(r"^([A-Z]?[a-z]+|[A-Z]+)[.:!?]?$").cast("int"),
         "separators": share(candidate, F.translate(candidate, "_-", "")),
         "slashes": share(candidate, F.translate(candidate, "/", "")),
+        "block": candidate.startswith("-----BEGIN ").cast("int"),
+        "in_address": (before.rlike("://[^ /@]+:$") & after.startswith("@")).cast("int"),
         "grouped": candidate.rlike("^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$").cast("int"),
         "in_path": (before.rlike(r"[/.@\\]$") | after.rlike(r"^[/.@\\]")).cast("int"),
         "secret_word": near.rlike("|".join(SECRET_WORDS)).cast("int"),
@@ -66,7 +71,7 @@ def features(before: Column, candidate: Column, after: Column) -> dict[str, Colu
     }
 
 
-NAMES = ["chars", "transitions", "digits", "upper", "hexadecimal", "kinds", "dictionary", "symbols", "blanks", "code", "vowels", "plain", "separators", "slashes", "grouped", "in_path", "secret_word", "other_word", "assigned", "quoted"]
+NAMES = ["chars", "transitions", "digits", "upper", "hexadecimal", "kinds", "dictionary", "symbols", "blanks", "code", "vowels", "plain", "separators", "slashes", "block", "in_address", "grouped", "in_path", "secret_word", "other_word", "assigned", "quoted"]
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -74,8 +79,11 @@ def with_features(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=NAMES, outputCol="features").transform(made)
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> DataFrame:
-    """Findings made by rule, for use where nobody has labelled any: half of them keys in their usual places, half of them other things."""
+def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 5) -> DataFrame:
+    """Findings (template, before, candidate, after, label) made by rule, for use where nobody has labelled any: about half of them keys in their usual places.
+
+    Words in them are of the dictionary or, as often, made up of syllables, so that the forest can't take the dictionary for all there is.
+    """
 
     def some(k: int) -> Column:
         return F.sha2(F.concat(F.lit(f"{seed}:{k}:"), F.col("id").cast("string")), 256)
@@ -87,7 +95,9 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> Data
         return F.element_at(F.array(*map(F.lit, options)), (F.conv(F.substring(some(k), 1, 6), 16, 10).cast("int") % len(options) + 1).cast("int"))
 
     prose = pick(1, "and then the ", "of this. The ", "with a line ", "\n", "; ", "see there, ")
-    words = [pick(k, *DICTIONARY[k - 10 :: 3]) for k in range(10, 13)]
+    syllables = ("ba", "cor", "di", "fen", "gu", "hal", "ki", "lom", "mer", "no", "pra", "qui", "ros", "sta", "ter", "vo")
+    made = [F.concat(*(pick(j, *syllables) for j in (60 + 3 * k, 61 + 3 * k, 62 + 3 * k))) for k in range(3)]
+    words = [F.when(F.conv(F.substring(some(70 + k), 1, 2), 16, 10).cast("int") % 2 == 0, pick(10 + k, *DICTIONARY[k::3])).otherwise(made[k]) for k in range(3)]
     digits = F.translate(some(2), "abcdef", "012345")
     key_name = pick(3, "token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "TOKEN", "ApiKey", "private_key")
     join = pick(4, " = \"", ": \"", "=", " = '", ": ", "\": \"")
@@ -115,12 +125,17 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> Data
         (F.concat(pick(8, "password", "passwd", "pwd", "DB_PASSWORD"), join), F.concat(words[0], pick(9, "!", "#", "@", "$", "%"), F.substring(digits, 1, 3)), close, 1),
         (F.concat(key_name, join), pick(9, "None", "null", "true", "false", "the", "see", "required", "string", "optional", "this", "is", "undefined", "changeme", "it", "str", "An", "some"), pick(21, ",", " ", "\n", ")"), 0),
         (F.concat(key_name, join), F.concat(words[0], pick(9, "", ".", "_", "-"), words[1]), close, 0),
+        (pick(8, "", "key.pem\n", "as follows:\n"), F.concat(F.lit("-----BEGIN "), pick(9, "", "RSA ", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----\n"), base64(7, 64), F.lit("\n"), base64(22, 64), F.lit("\n-----END "), pick(9, "", "RSA ", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----")), F.lit("\n"), 1),
+        (F.concat(pick(8, "postgres://", "https://", "redis://", "amqp://"), words[0], F.lit(":")), F.concat(F.substring(base64(7, 16), 1, 9), pick(9, "", "!", "-x")), F.concat(F.lit("@"), words[1], F.lit(".example")), 1),
+        (F.concat(key_name, join), F.concat(base64(7, 30), F.upper(words[0])), close, 1),
+        (pick(8, "", "see ", "class ", "call "), F.concat(F.initcap(words[0]), F.initcap(words[1]), F.initcap(words[2]), pick(9, "Handler", "ServiceFactory", "Test", "Builder")), pick(21, "(", " ", ".", ":"), 0),
+        (pick(8, "key ", "use ", ""), F.translate(base64(7, 44), "0123456789", "qXvKzRwTmB"), F.lit(" "), 1),
         (F.concat(key_name, pick(4, " = ", "=", ": ")), F.concat(pick(8, "self.", "os.environ[", "get_", "process.env.", "${", "config.", "request.", "read("), pick(9, "token", "password", "key", "auth_key", "secret"), pick(21, "", "()", "]", "}", ")")), F.lit("\n"), 0),
         (F.concat(key_name, pick(4, " = \"", ": \"")), F.concat_ws(" ", pick(9, "Enter", "The", "Your", "Please give", "Invalid"), words[0], words[1]), F.lit("\""), 0),
     ]
     ids, out = spark.range(0, n, 1, 1), None
     for k, (before, candidate, after, label) in enumerate(cases):
-        part = ids.filter(F.col("id") % len(cases) == k).select(F.concat(prose, before).alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(label).alias("label"))
+        part = ids.filter(F.col("id") % len(cases) == k).select(F.lit(k).alias("template"), F.concat(prose, before).alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(label).alias("label"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -133,17 +148,22 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 5) -
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ordinal (from 0), before, candidate, after: the candidate before, and what is left of the text, give the neighbours."""
+    """doc_id, ordinal (from 0), before, candidate, after: ``BEFORE`` and ``AFTER`` characters of the text around each candidate."""
     found = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(CANDIDATE))
     found = found.select("doc_id", F.split("text", CANDIDATE, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("found"))
-    one = F.transform("found", lambda c, i: F.struct(F.right(F.concat(F.when(i > 0, F.right(F.get("found", i - 1), F.lit(BEFORE))).otherwise(""), F.get("pieces", i)), F.lit(BEFORE)).alias("before"), c.alias("candidate"), F.left(F.get("pieces", i + 1), F.lit(AFTER)).alias("after")))
+    # Text and candidates in turn. Neighbouring candidates are a character or more apart, so 2 * BEFORE parts are long enough; long ones are cut first.
+    parts = F.flatten(F.transform("pieces", lambda p, i: F.array(p, F.coalesce(F.get("found", i), F.lit("")))))
+    found = found.withColumn("tails", F.transform(parts, lambda p: F.right(p, F.lit(BEFORE)))).withColumn("heads", F.transform(parts, lambda p: F.left(p, F.lit(AFTER))))
+    before = lambda i: F.array_join(F.slice("tails", F.greatest(2 * i + 2 - 2 * BEFORE, F.lit(1)), F.least(2 * i + 1, F.lit(2 * BEFORE))), "")
+    one = F.transform("found", lambda c, i: F.struct(F.right(before(i), F.lit(BEFORE)).alias("before"), c.alias("candidate"), F.left(F.array_join(F.slice("heads", 2 * i + 3, 2 * AFTER), ""), F.lit(AFTER)).alias("after")))
     return found.select("doc_id", F.posexplode(one).alias("ordinal", "c")).select("doc_id", "ordinal", "c.*")
 
 
 def secret_scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ordinal, candidate, probability, is_secret for each candidate.
 
-    Null and empty texts have none; rows that repeat and null ids are kept as they are; a key as long as the text is one candidate.
+    Null and empty texts have none; rows that repeat and null ids are kept as they are, equal candidates of a text each; a key as long as the text is one candidate, and
+    texts of any length are read whole. Columns other than key and text aren't read, whatever their names. An empty table gives no rows.
     ``findings``: labelled findings of one's own in place of those made by rule.
     """
     model = train(labelled_findings(docs.sparkSession) if findings is None else findings)

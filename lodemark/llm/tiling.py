@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodemark.batches import bound_bytes
 from lodemark.storage import save
 
 from .common import light, read_table, slices
@@ -229,6 +230,7 @@ def _tile(least: int, coverage: float):
 def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, least: int, coverage: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, key, coverage, tokens, tiles, longest) of documents and items, and (item_id, key) of the items."""
     spark = docs.sparkSession
+    bound_bytes(spark)
     raw = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     named = save(raw.mapInArrow(_items(least), "item_id long, key binary, ids binary, n int, windows array<long>").filter("n > 0"), "items")
     items = save(named.dropDuplicates(["key"]).select("key", "ids", "n", "windows"), "kinds")

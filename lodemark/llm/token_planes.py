@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodemark.batches import bound_bytes
 from lodemark.storage import save
 
 from .common import read_table, slices
@@ -159,6 +160,7 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     texts. Columns other than key and text aren't read, whatever their names. An empty table writes an empty one. A document isn't cut, so an
     extent is as long as its longest document at least.
     """
+    bound_bytes(docs.sparkSession)
     order = ["doc_id", "tie"]  # the tie also lets many rows of one id, or of none, go to several tasks
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order)
     extents = ordered.mapInArrow(encode_partition(tokenizer, end_id, kind, block_ids, extent_ids, level), EXTENT)
@@ -194,6 +196,7 @@ def read_index(extents: DataFrame, kind: str = "byte") -> DataFrame:
     ``extents``: what ``write_ids`` gives, or its table read again; null and repeated ids and empty texts are in it as further documents, an empty table gives no
     rows. A damaged block raises an error.
     """
+    bound_bytes(extents.sparkSession)
     docs = extents.mapInArrow(decode_extents(kind), "doc_id long, shard int, place long, n_tokens long, ids_crc32 long")
     shards = extents.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))

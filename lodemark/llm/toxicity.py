@@ -83,12 +83,10 @@ def without_copies(rows: DataFrame) -> DataFrame:
     """(id, label) of the texts of ``rows`` (id, label, text) that share no minimum with a text of their class and a smaller id."""
     schema = "id long, label int, " + ", ".join(f"s{i} long" for i in range(SKETCHES))
     drawn = save(rows.select("id", "label", "text").mapInArrow(_sketches, schema).filter("s0 IS NOT NULL"), "sketches")
-    lost = None
-    for i in range(SKETCHES):
-        least = drawn.groupBy("label", f"s{i}").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        part = drawn.join(least, ["label", f"s{i}"]).filter("id > least").select("id", "label")
-        lost = part if lost is None else lost.unionByName(part)
-    return save(drawn.select("id", "label").distinct().join(lost.distinct(), ["id", "label"], "left_anti"), "counted")
+    minima = drawn.select("id", "label", F.posexplode(F.array(*(f"s{i}" for i in range(SKETCHES)))).alias("which", "least"))
+    first = minima.groupBy("label", "which", "least").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    lost = minima.join(first, ["label", "which", "least"]).filter("id > first").select("id", "label").distinct()
+    return save(drawn.select("id", "label").distinct().join(lost, ["id", "label"], "left_anti"), "counted")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +253,8 @@ def toxicity_scores(
     usable = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fold(key) != 0) & ~quarter).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).distinct()
     usable = save(usable, "usable")
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(light(usable), "id")
-    counts = word_counts(docs, own.join(light(without_copies(own)), ["id", "label"]), text)
+    counted = without_copies(own).withColumnRenamed("label", "counted")
+    counts = word_counts(docs, own.join(light(counted), "id").filter("label = counted"), text)
     ratios, other = word_ratios(counts, discount, weight)
     found = with_evidence(sample.select(F.col("_label").alias("label"), F.col("_text").alias("text")), ratios, other, shared).toPandas()
     middle, slope, shift = curve(found["evidence"].to_numpy(float), found["label"].to_numpy(float))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemark.operators.rolling import change, full, over
+from lodemark.operators.temporal import asof_join
 
 
 def flat_frame(bars: DataFrame) -> DataFrame:
@@ -14,3 +15,9 @@ def flat_frame(bars: DataFrame) -> DataFrame:
     out = bars.select("symbol", "ts", "close", F.coalesce(change(w, 1, close), F.lit(0.0)).alias("return_1"), F.coalesce(change(w, 5, close), F.lit(0.0)).alias("return_5"), F.lead("close").over(w).alias("target"))
     out = out.withColumn("volatility_20", full(w, 20, F.stddev_samp, F.col("return_1")))
     return out.dropna(subset=["volatility_20", "target"]).select("symbol", "ts", "close", "return_1", "return_5", "volatility_20", "target")
+
+
+def with_sentiment(frame: DataFrame, scores: DataFrame, default: float = 0.5) -> DataFrame:
+    """``frame`` with the last ``sentiment_score`` of its symbol at or before each row; ``default`` where there is none. ``scores``: symbol, ts, sentiment_score."""
+    joined = asof_join(frame, scores.select("symbol", "ts", "sentiment_score"), ["symbol"])
+    return joined.select(*frame.columns, F.coalesce("r_sentiment_score", F.lit(default)).alias("sentiment_score"))

@@ -107,6 +107,12 @@ def next_page(url: Column) -> Column:
     return F.when(page == "", more).otherwise(F.concat(F.regexp_extract(base, r"^(.*[?&]page=)\d+", 1), (page.try_cast("long") + 1).cast("string"), F.regexp_extract(base, r"[?&]page=\d+(.*)$", 1)))
 
 
+def parsed_time(value: Column) -> Column:
+    """ISO 8601 with or without a zone (then the session's, UTC), or milliseconds since 1970; null for anything else."""
+    millis = F.when(value.rlike(r"^\d{12,14}$"), F.timestamp_millis(value.try_cast("long")))
+    return F.coalesce(millis, F.try_to_timestamp(value))
+
+
 def ab_bucket(key: Column, ratio: float) -> Column:
     """Whether the sum of the characters' codes, modulo 100, falls under ``ratio``."""
     codes = F.transform(F.split(key, ""), lambda c: F.ascii(c))

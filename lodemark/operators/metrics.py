@@ -104,6 +104,48 @@ def return_summary(curve: DataFrame, keys: list[str], ts: str = "ts", equity: st
     return curve.groupBy(*keys).agg(F.round(total, 6).alias("total_return"), F.round(F.when(total <= -1, -1.0).otherwise(F.pow(1 + total, 1 / years) - 1), 6).alias("annual_return"))
 
 
+def month_report(trades: DataFrame, keys: list[str], capital: float) -> DataFrame:
+    """Best and worst month by exit, their returns on ``capital`` in percent, and the deviation of monthly returns."""
+    monthly = trades.groupBy(*keys, F.date_format("exit_time", "yyyy-MM").alias("month")).agg(F.round(100 * F.sum("pnl") / capital, 6).alias("r"))
+    place = F.struct("r", "month")
+    return monthly.groupBy(*keys).agg(F.max_by("month", place).alias("best_month"), F.max("r").alias("best_return"), F.min_by("month", place).alias("worst_month"), F.min("r").alias("worst_return"), F.round(safe(F.stddev_samp("r")), 4).alias("consistency"))
+
+
+def trade_report(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and largest win and loss (a trade without gain is a loss), and trades a month in which any ended."""
+    pnl, months = F.col("pnl"), F.greatest(F.count_distinct(F.date_format("exit_time", "yyyy-MM")), F.lit(1))
+    win, loss = F.when(pnl > 0, pnl), F.when(pnl <= 0, pnl)
+    return trades.groupBy(*keys).agg(
+        F.round(safe(F.avg(win)), 4).alias("avg_win"), F.round(safe(F.avg(loss)), 4).alias("avg_loss"), safe(F.max(win)).alias("largest_win"), safe(F.min(loss)).alias("largest_loss"), F.round(F.count("*") / months, 6).alias("trades_per_month"),
+    )
+
+
+def recoveries(curve: DataFrame, keys: list[str], ts: str = "ts", equity: str = "equity") -> DataFrame:
+    """Mean drawdown below peaks, number of recoveries, and the mean and median of the whole days that they took."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    rows = drawdowns(curve, keys, ts, equity).withColumn("_p", F.lag("drawdown").over(w))
+    rows = rows.withColumn("_started", F.max(F.when((F.col("drawdown") > 0) & (safe(F.col("_p")) == 0), F.col(ts))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    days = F.when((F.col("drawdown") == 0) & (F.col("_p") > 0), F.floor(F.timestamp_diff("SECOND", F.col("_started"), F.col(ts)) / 86400))
+    rows = rows.withColumn("_days", days).groupBy(*keys)
+    return rows.agg(F.round(F.avg(F.when(F.col("drawdown") > 0, F.col("drawdown"))), 6).alias("mean_drawdown"), F.count("_days").alias("recoveries"), F.round(safe(F.avg("_days")), 6).alias("mean_days"), safe(F.median("_days")).alias("median_days"))
+
+
+def win_loss_report(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """One nested ``report`` for each run: summary with its period, and the distribution of wins and losses."""
+    period = F.struct(F.min("entry_time").alias("start"), F.max("exit_time").alias("end"))
+    summary = F.struct(period.alias("period"), F.count("*").alias("trades"), F.round(F.avg("pnl_pct"), 6).alias("mean_return"))
+    spread = F.struct(F.count_if(F.col("pnl") > 0).alias("wins"), F.count_if(F.col("pnl") <= 0).alias("losses"))
+    return trades.groupBy(*keys).agg(F.struct(summary.alias("summary"), spread.alias("win_loss_distribution")).alias("report"))
+
+
+def flat_metrics(curve: DataFrame, keys: list[str], periods: int = 365 * 24 * 4, ts: str = "ts", equity: str = "equity") -> DataFrame:
+    """The deepest drawdown as a negative share of its peak, and the Sharpe ratio of the curve's changes."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    rows = drawdowns(curve, keys, ts, equity).withColumn("_r", F.try_divide(F.col(equity), F.nullif(F.lag(equity).over(w), F.lit(0.0))) - 1)
+    sharpe = safe(F.try_divide(F.avg("_r"), F.nullif(F.stddev_samp("_r"), F.lit(0.0))) * sqrt(periods))
+    return rows.groupBy(*keys).agg(F.round(safe(-F.max("drawdown")), 6).alias("max_drawdown"), F.round(sharpe, 4).alias("sharpe"))
+
+
 def expectancy(trades: DataFrame, keys: list[str]) -> DataFrame:
     pnl = F.col("pnl")
     win, loss = F.avg(F.when(pnl > 0, 1.0).otherwise(0.0)), F.avg(F.when(pnl < 0, 1.0).otherwise(0.0))

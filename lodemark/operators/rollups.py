@@ -16,12 +16,15 @@ def bucket(ts: str, width: str) -> Column:
     return F.window(F.col(ts), width)["start"].cast("timestamp_ntz")
 
 
+def candle_values() -> list[Column]:
+    """What a candle holds, of ticks (ts, event_id, price, size), in batches and streams alike."""
+    at = F.struct("ts", "event_id")
+    return [F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").cast("long").alias("volume"), F.count("*").alias("trade_count")]
+
+
 def candles(ticks: DataFrame, width: str) -> DataFrame:
     """Open, high, low, close, volume and count by symbol and bucket; ties in time are broken by event_id."""
-    at = F.struct("ts", "event_id")
-    return ticks.groupBy("symbol", bucket("ts", width).alias("b")).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").cast("long").alias("volume"), F.count("*").alias("trade_count")
-    ).withColumnRenamed("b", "ts")
+    return ticks.groupBy("symbol", bucket("ts", width).alias("b")).agg(*candle_values()).withColumnRenamed("b", "ts")
 
 
 def reroll(bars: DataFrame, width: str) -> DataFrame:
@@ -47,17 +50,22 @@ def sentiment_hourly(scores: DataFrame) -> DataFrame:
     )
 
 
+def sentiment_values() -> list[Column]:
+    """Number, mean, deviation and shares of the labels of scores, in batches and streams alike."""
+    label, s = F.col("sentiment_label"), F.col("sentiment_score")
+    return [
+        F.count("*").alias("n"), F.round(F.avg(s), 6).alias("avg_score"), F.round(F.stddev_pop(s), 6).alias("std_score"), share(label == "BULLISH").alias("bullish"), share(label.isin("BEARISH", "FUD")).alias("bearish"),
+        share(label == "NEUTRAL").alias("neutral"), F.round(F.avg(s * F.coalesce("confidence", F.lit(0.5))), 6).alias("weighted"),
+    ]
+
+
 def sentiment_trailing(scores: DataFrame, as_of: Column, windows: dict[str, int] = TRAILING) -> DataFrame:
     """By symbol and trailing window before ``as_of``; windows without scores give no row."""
     longest = max(windows.values())
     dims = F.explode(F.array(*(F.struct(F.lit(k).alias("window"), F.lit(h).alias("hours")) for k, h in windows.items())))
     rows = scores.filter((F.col("ts") >= as_of - F.make_dt_interval(hours=F.lit(longest))) & (F.col("ts") <= as_of)).select("*", dims.alias("w"))
     rows = rows.filter(F.col("ts") >= as_of - F.make_dt_interval(hours=F.col("w.hours")))
-    label, s = F.col("sentiment_label"), F.col("sentiment_score")
-    return rows.groupBy("symbol", "w.window").agg(
-        F.count("*").alias("n"), F.round(F.avg(s), 6).alias("avg_score"), F.round(F.stddev_pop(s), 6).alias("std_score"), share(label == "BULLISH").alias("bullish"), share(label.isin("BEARISH", "FUD")).alias("bearish"),
-        share(label == "NEUTRAL").alias("neutral"), F.round(F.avg(s * F.coalesce("confidence", F.lit(0.5))), 6).alias("weighted"),
-    )
+    return rows.groupBy("symbol", "w.window").agg(*sentiment_values())
 
 
 def age_seconds(ts: Column, as_of: Column) -> Column:

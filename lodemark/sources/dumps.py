@@ -12,8 +12,8 @@ def read_tuples(spark: SparkSession, path: str, fields: int) -> DataFrame:
     line = F.regexp_replace(F.trim("value"), r"[,;]\s*$", "")
     rows = spark.read.text(path).select(line.alias("l")).filter(F.col("l").startswith("(") & F.col("l").endswith(")"))
     inner = F.expr("substring(l, 2, length(l) - 2)")
-    # Quotes inside a literal are doubled; a comma outside of quotes ends a field.
-    parts = F.split(inner, r",(?=(?:[^']*'[^']*')*[^']*$)")
+    # A field is a literal, in which quotes are doubled, or whatever has no comma; each character is looked at once.
+    parts = F.regexp_extract_all(inner, F.lit(r"(?:^|,)(\s*+'[^']*+(?:''[^']*+)*+'|[^,]*+)"), 1)
 
     def value(x: Column) -> Column:
         x = F.trim(x)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(",")]
-    types = [" ".join(x.split()[1:]) for x in schema.split(",")]
     raw = spark.read.csv(path, header=True)
-    return raw.select(*(F.trim(F.col(n)).try_cast(t).alias(n) for n, t in zip(names, types, strict=True)))
+    return raw.select(*(F.trim(F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:

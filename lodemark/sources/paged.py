@@ -1,6 +1,6 @@
-"""A Python data source for interfaces that give candles page by page.
+"""Python data sources for interfaces that give candles or articles page by page.
 
-One partition for each symbol, interval and time range, so that ranges are fetched side by side. ``fetch`` names a function
+Candles: one partition for each symbol, interval and time range, so that ranges are fetched side by side. ``fetch`` names a function
 ``module:function`` (symbol, interval, start_ms, end_ms, limit) that returns rows of [open_time, open, high, low, close, volume, ...]; a
 page that is empty, short or doesn't advance ends a partition.
 """
@@ -11,7 +11,8 @@ import importlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "symbol string, interval string, ts timestamp, open double, high double, low double, close double, volume double"
@@ -42,6 +43,48 @@ class KlineReader(DataSourceReader):
             cursor = page[-1][0] + 1
 
 
+class Query(InputPartition):
+    def __init__(self, query: str, requests: int):
+        self.query, self.requests = query, requests
+
+
+class ArticleReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.o = dict(options)
+
+    def partitions(self) -> list[Query]:
+        queries = [q for q in self.o["queries"].split(",") if q]
+        quota = int(self.o.get("quota", 2000))
+        return [Query(q, quota // len(queries) + (i < quota % len(queries))) for i, q in enumerate(queries)]
+
+    def read(self, partition: Query) -> Iterator[tuple]:
+        module, name = self.o["fetch"].split(":")
+        fetch, most, token, seen = getattr(importlib.import_module(module), name), int(self.o.get("limit", 100)), None, {None}
+        for _ in range(partition.requests):
+            rows, token = fetch(partition.query, token)
+            for url, title, published in rows[:most]:
+                if url and title:
+                    yield partition.query, url, title, published
+            if not rows or token in seen:  # no next page, or one that has been read
+                return
+            seen.add(token)
+
+
+class Articles(DataSource):
+    """Search results of many queries: one partition for each, which follows page tokens (or the addresses of next pages) while its share of the ``quota`` of
+    requests lasts. ``fetch`` names a function (query, token) that returns rows of (url, title, published) and the next token, None at the end."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "articles"
+
+    def schema(self) -> str:
+        return "query string, url string, title string, published string"
+
+    def reader(self, schema) -> ArticleReader:
+        return ArticleReader(self.options)
+
+
 class Klines(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -56,3 +99,10 @@ class Klines(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Klines)
+    spark.dataSource.register(Articles)
+
+
+def articles(spark: SparkSession, queries: list[str], fetch: str, quota: int = 2000, limit: int = 100) -> DataFrame:
+    """Each address once, with the first of the queries (by name) that found it."""
+    rows = spark.read.format("articles").option("queries", ",".join(queries)).option("fetch", fetch).option("quota", str(quota)).option("limit", str(limit)).load()
+    return rows.groupBy("url").agg(F.min_by(F.struct("query", "title", "published"), F.struct("query", "title")).alias("r")).select("url", "r.*")

@@ -26,6 +26,12 @@ def proxy_sentiment(bars: DataFrame, noise: float = 0.0, seed: int = 1) -> DataF
     return bars.select("symbol", "ts", score.alias("score")).withColumn("label", F.when(F.col("score") > 0.3, "BULLISH").when(F.col("score") < -0.3, "BEARISH").otherwise("NEUTRAL"))
 
 
+def article_pages(query: str, token: str | None) -> tuple[list[tuple], str | None]:
+    """Three pages of two articles, one of which all queries find and one of which has no title: a stand-in for ``fetch`` of the articles source."""
+    k = int(token or 0)
+    return [(f"http://{query}/{k}", f"{query} {k}", "2024-01-01"), ("http://all/x" if k else f"http://{query}/none", "shared" if k else None, "2024-01-02")], str(k + 1) if k < 2 else None
+
+
 def hourly_pages(symbol: str, interval: str, start: int, end: int, limit: int) -> list[list]:
     """A page of flat hourly candles, as an exchange would give it: a stand-in for ``fetch`` of the klines source."""
     hour = 3_600_000

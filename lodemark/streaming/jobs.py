@@ -14,13 +14,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from lodemark.operators.rollups import candle_values, sentiment_values
+
 
 def candle_stream(ticks: DataFrame, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     """Candles of a tick stream (symbol, ts, event_id, price, size)."""
-    at = F.struct("ts", "event_id")
-    return ticks.withWatermark("ts", late).groupBy(F.window("ts", width), "symbol").agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").cast("long").alias("volume"), F.count("*").alias("trade_count")
-    ).select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume", "trade_count")
+    bars = ticks.withWatermark("ts", late).groupBy(F.window("ts", width), "symbol").agg(*candle_values())
+    return bars.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume", "trade_count")
+
+
+def trailing_sentiment_stream(scores: DataFrame, hours: int, slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Sentiment of the last ``hours`` by symbol, at the end of each ``slide``: the trailing windows as sliding ones."""
+    rows = scores.withWatermark("ts", late).groupBy(F.window("ts", f"{hours} hours", slide), "symbol").agg(*sentiment_values())
+    return rows.select("symbol", F.col("window.end").alias("ts"), "n", "avg_score", "std_score", "bullish", "bearish", "neutral", "weighted")
+
+
+class Bucket(StatefulProcessor):
+    """Tokens left and the time they were counted, for each key: ``per_second`` flow in, ``most`` fit, and each request takes one or is refused."""
+
+    def __init__(self, per_second: float, most: float):
+        self.per_second, self.most = per_second, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.left = handle.getValueState("left", "tokens double, us long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        tokens, last = self.left.get() if self.left.exists() else (float(self.most), None)
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"])
+        allowed = []
+        for us in frame["ts"].astype("datetime64[us]").astype("int64").tolist():
+            since = 0 if last is None else max(0, us - last)
+            tokens, last = min(self.most, tokens + since / 1e6 * self.per_second), us if last is None else max(last, us)
+            allowed.append(tokens >= 1)
+            tokens -= tokens >= 1
+        self.left.update((float(tokens), last))
+        yield pd.DataFrame({"symbol": key[0], "id": frame["id"], "allowed": allowed})
+
+    def close(self) -> None:
+        pass
+
+
+def token_bucket_stream(requests: DataFrame, per_second: float, most: float) -> DataFrame:
+    """symbol, id and whether it is allowed, of a stream (id, symbol, ts) of requests. Needs the RocksDB state store."""
+    return requests.groupBy("symbol").transformWithStateInPandas(Bucket(per_second, most), "symbol string, id long, allowed boolean", "Append", "None")
 
 
 def dedup_stream(posts: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:

@@ -18,6 +18,7 @@ def test_files(spark, tmp_path):
     raw = spark.read.csv(str(tmp_path / "c.csv"), header=True)
     assert files.non_negative_ticks(raw).count() == 1
     assert files.read_csv(spark, str(tmp_path / "c.csv"), "symbol string, open double").filter("open IS NULL").count() == 1
+    assert str(files.read_csv(spark, str(tmp_path / "c.csv"), "symbol string, high decimal(18,2)").first().high) == "2.00"
 
 
 def test_paged(spark):
@@ -26,6 +27,36 @@ def test_paged(spark):
     assert df.count() == 96 and df.select("symbol", "ts").distinct().count() == 96
 
 
+def test_articles(spark):
+    paged.register(spark)
+    got = {r.url: r for r in paged.articles(spark, ["a", "b"], "lodemark.sources.synthetic:article_pages").collect()}
+    assert set(got) == {"http://a/0", "http://a/1", "http://a/2", "http://b/0", "http://b/1", "http://b/2", "http://all/x"}
+    assert got["http://all/x"].query == "a"
+    few = {r.url for r in paged.articles(spark, ["a", "b"], "lodemark.sources.synthetic:article_pages", quota=3).collect()}
+    assert few == {"http://a/0", "http://a/1", "http://b/0", "http://all/x"}
+
+
+def test_walk_and_posts(spark):
+    rows = [(h, ["t"] * (h % 4)) for h in range(500, 3200, 7)]
+    blocks = spark.createDataFrame(rows, "height int, tx array<string>")
+    want, n = set(), 0
+    for h, tx in sorted(rows, reverse=True):
+        if h <= 3000 and n < 300:
+            want.add(h)
+            n += len(tx)
+    assert {r.height for r in nested.walk_blocks(blocks, 3000, 300).collect()} == want
+    posts = [(f"p{i}", "ab"[i % 2], i, 10 * i) for i in range(10)] + [("p8", "b", 1, 99)]
+    got = nested.hot_posts(spark.createDataFrame(posts, "post_id string, subreddit string, rank int, score int"), 6, 2, 15).collect()
+    assert [(r.subreddit, r.post_id) for r in got] == [("a", "p2"), ("a", "p4"), ("b", "p8"), ("b", "p3")]
+
+
+def test_long_literal(spark, tmp_path):
+    p = tmp_path / "l.sql"
+    p.write_text("(1,'" + "it\'\'s, " * 200_000 + "',NULL,'a\'\'b','')")
+    f = dumps.read_tuples(spark, str(p), 5).first().f
+    assert f[0] == "1" and len(f[1]) == 6 * 200_000 and f[2] is None and f[3:] == ["a'b", ""]
+
+
 def test_nested(spark):
     raw = spark.createDataFrame([('{"data":{"k":{"s":"A","t":0,"o":"1","h":"2","l":"0.5","c":"1.5","v":"3","x":true}}}',), ("junk",), ('{"data":{"k":{"s":"A","t":0,"o":"-1","h":"2","l":"0.5","c":"1.5","v":"3","x":true}}}',)], "value string")
     assert nested.decode_klines(raw).count() == 1

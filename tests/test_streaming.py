@@ -50,6 +50,32 @@ def test_cooldown_stream(spark, tmp_path):
     assert got == {r.id for r in cooldown(rows, ["symbol"], 900).collect()}
 
 
+def test_trailing_sentiment_stream(spark, data, tmp_path):
+    from lodemark.operators.rollups import sentiment_trailing
+    from lodemark.plans.tables import sentiment_scores
+
+    rows = sentiment_scores(spark, data)
+    live = stream_of(spark, rows.withColumn("ts", F.col("ts").cast("timestamp")), str(tmp_path / "t"))
+    got = run(spark, jobs.trailing_sentiment_stream(live, 24), "trailing_stream", "complete")
+    as_of = dt.datetime(2024, 1, 9)
+    want = sentiment_trailing(rows.filter(F.col("ts") < F.lit(as_of).cast("timestamp_ntz")), F.lit(as_of).cast("timestamp_ntz"), {"24h": 24})
+    columns = ["symbol", "n", "avg_score", "std_score", "bullish", "bearish", "neutral", "weighted"]
+    assert sorted(map(tuple, got.filter("ts = TIMESTAMP '2024-01-09'").select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_token_bucket_stream(spark, tmp_path):
+    rng, t0 = random.Random(8), dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice("AB"), t0 + dt.timedelta(milliseconds=rng.randrange(60_000))) for i in range(200)]
+    live = stream_of(spark, spark.createDataFrame(rows, "id long, symbol string, ts timestamp"), str(tmp_path / "b"))
+    got = {r.id: r.allowed for r in run(spark, jobs.token_bucket_stream(live, 0.5, 5), "bucket_stream").collect()}
+    left, last, want = {"A": 5.0, "B": 5.0}, {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        left[k] = min(5.0, left[k] + (t - last.get(k, t)).total_seconds() * 0.5)
+        last[k], want[i] = t, left[k] >= 1
+        left[k] -= want[i]
+    assert got == want and 0 < sum(got.values()) < 200
+
+
 def test_changed_keys(spark):
     t = dt.datetime(2024, 1, 1)
     now = spark.createDataFrame([("A", t), ("B", t), ("C", t)], "symbol string, ts timestamp")

@@ -568,7 +568,7 @@ def test_pipeline_equals_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     net = quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
     rows = [r for r in docs.collect() if 1 / (1 + np.exp(-float(net.logits([r.text])[0]))) >= 0.3]
-    heads = brute_components({r.doc_id: brute_fingerprint(r.text) for r in rows})
+    heads = near_heads({r.doc_id: r.text for r in rows})
     rows = [r for r in rows if heads[r.doc_id] == r.doc_id]
     items = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(tiling.tokens, items)]
@@ -639,11 +639,46 @@ def test_jaccard_classes_equal_all_pairs(spark, data, tile):
     assert len(set(want.values())) < len(set(brute_components({i: brute_fingerprint(t) for i, t in texts.items()}).values()))
 
 
-def test_pipeline_equals_brute_force_on_shingles(spark, data, monkeypatch):
-    """The pipeline's brute force, with heads by five-word Jaccard in place of op3's fingerprints."""
-    monkeypatch.setitem(globals(), "brute_fingerprint", lambda text: text)
-    monkeypatch.setitem(globals(), "brute_components", near_heads)
-    test_pipeline_equals_brute_force(spark, data)
+def test_stages_with_odd_documents(spark, data, odd, empty):
+    """Nulls, empty and very long texts, repeated rows, an empty table and columns named as the operators' own pass through every stage."""
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES[:-1]:
+        for docs in (odd, empty):
+            out = stage(spark, docs, data)
+            rows = out.collect()
+            assert out.columns == docs.columns and len(rows) <= 2 * docs.count(), name
+            assert {r.doc_id for r in rows} <= {1, 2, 3, 4, 5, 6, None}, name
+    assert p.token_ids(spark, odd, data).count() == 9 and p.token_ids(spark, empty, data).count() == 0
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows that share an id, or have none, are rows like others."""
+    rows = [(7 if i % 2 else None, f"text {i % 150} a b c d e f g") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = Counter(t for _, t in rows)
+    got = exact_dedup.exact_dedup(docs, rows_per_run=20, fan_in=3).collect()
+    assert len(got) == 600 and all(r.group_size == 4 for r in got) and set(texts.values()) == {4}
+    assert {r.kept for r in got if r.doc_id is None} == {True} and {r.keep_id for r in got} == {7, None}
+    near = simhash.near_dedup(docs).collect()
+    assert len(near) == 600 and {r.component_id for r in near} <= {7, None}
+    path = token_planes.vocabulary("byte_bpe_50k.json")
+    first, again = (sorted(map(tuple, token_planes.read_index(token_planes.write_ids(d, path)).collect()), key=lambda r: r[1]) for d in (docs, docs.orderBy(F.desc("text")).repartition(5)))
+    assert first == again and [r[0] for r in first] == [None] * 300 + [7] * 300
+
+
+def test_chat_with_extra_columns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    turns = turns.withColumns({c: F.lit("clash") for c in ("said", "rendered", "all", "formatted", "turns")})
+    row = chat.digests(chat.format_conversations(turns)).first()
+    assert (row.n_turns, row.loss_chars, row.identical) == (2, 0, True)
+
+
+def test_long_words_are_not_kept(spark):
+    path = token_planes.vocabulary("byte_bpe_50k.json")
+    auto, words = wordpiece.byte_level(path), [hashlib.sha512(str(i).encode()).hexdigest() for i in range(50)]
+    row = wordpiece.token_counts(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), path).first()
+    assert row.n_tokens == sum(auto.count(b" " + w.encode()) for w in words)
 
 
 def test_secret_values_after_names(spark):

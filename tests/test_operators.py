@@ -108,6 +108,15 @@ def test_hot_symbol_is_many_tasks(spark):
     assert max(r["count"] for r in sizes) < 0.25 * n
 
 
+def test_join_unique_with_hot_keys(spark):
+    from lodemark.operators.skew import join_unique
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 2000).alias("k"), "id")
+    lookup = rows.select("k").distinct().withColumn("v", F.col("k") * 2).filter("k <> 17")
+    got = join_unique(rows, lookup, "k", rows.groupBy("k").agg(F.count("*").alias("n")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(lookup, "k").collect()))
+
+
 def test_with_next(spark):
     from lodemark.operators.rolling import with_next
 

@@ -53,17 +53,20 @@ def chunks(text: str | None) -> list[tuple[bytes, int, int]]:
     return out
 
 
-def frames(parts: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All chunks' frames (bytes and flags), and where the windows of each start and end."""
+def told(part: tuple[bytes, int, int]) -> np.ndarray:
+    """The flags of a chunk's frames, as far as it has bytes for them."""
+    whole, lead, n = np.frombuffer(part[0], np.uint8), part[1], part[2]
+    return repeats(whole, -(-len(whole) // STEP))[lead : lead + n + WIDTH - 1] if len(whole) > 8 else np.zeros(0, bool)
+
+
+def frames(parts: list[tuple[bytes, int, int]], known: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All chunks' frames (bytes and flags), and where the windows of each start and end; ``known``: the chunks' flags."""
     starts = np.concatenate(([0], np.cumsum([n + WIDTH - 1 for _, _, n in parts])))
     data, flags = np.zeros(int(starts[-1]) * STEP, np.uint8), np.zeros(int(starts[-1]), np.float32)
-    for (p, lead, n), s in zip(parts, starts.tolist(), strict=False):
-        whole = np.frombuffer(p, np.uint8)
-        own = whole[lead * STEP : (lead + n + WIDTH - 1) * STEP]
+    for (p, lead, n), s, mine in zip(parts, starts.tolist(), known or map(told, parts), strict=False):
+        own = np.frombuffer(p, np.uint8)[lead * STEP : (lead + n + WIDTH - 1) * STEP]
         data[s * STEP : s * STEP + len(own)] = own
-        if len(whole) > 8:
-            told = repeats(whole, -(-len(whole) // STEP))[lead : lead + n + WIDTH - 1]
-            flags[s : s + len(told)] = told
+        flags[s : s + len(mine)] = mine
     return data.reshape(-1, STEP), flags, starts[:-1], starts[:-1] + np.array([n for _, _, n in parts])
 
 
@@ -123,11 +126,11 @@ class Network:
         hidden = np.maximum(best + self.p["bias"], 0)
         return hidden @ self.p["out"] + self.p["shift"][0]
 
-    def gradients(self, texts: list[str], labels: np.ndarray, weights: np.ndarray) -> dict:
-        """Of the mean weighted log loss; a maximum passes its gradient to the window that has it."""
-        parts = [c for t in texts for c in chunks(t)]
-        of = np.repeat(np.arange(len(texts)), [len(chunks(t)) for t in texts])
-        data, flags, starts, ends = frames(parts)
+    def gradients(self, texts: list[list[tuple[bytes, int, int]]], labels: np.ndarray, weights: np.ndarray, known: list[list[np.ndarray]] | None = None) -> dict:
+        """Of the mean weighted log loss; a maximum passes its gradient to the window that has it. ``texts``: the chunks of each; ``known``: their flags."""
+        parts = [c for t in texts for c in t]
+        of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        data, flags, starts, ends = frames(parts, [k for t in known for k in t] if known else None)
         x = self.inputs(data, flags)
         conv = self.convolve(x)
         where = np.stack([s + conv[s : min(e, len(conv))].argmax(0) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
@@ -155,7 +158,8 @@ class Network:
 def fit(rows: list[tuple], classes: dict, epochs: int = 10, steps: int = 600, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
     """Adam on the log loss, with equal weight of the classes, for ``epochs`` or until ``steps``, whichever is more; the bias is then set to the classes' true shares."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    texts, labels = [r[1] for r in rows], np.array([r[2] for r in rows], np.float32)
+    texts, labels = [chunks(r[1]) for r in rows], np.array([r[2] for r in rows], np.float32)
+    flags = [[told(c) for c in t] for t in texts]
     n1 = float(labels.sum())
     if not 0 < n1 < len(rows):
         net.p["out"][:] = 0
@@ -169,7 +173,7 @@ def fit(rows: list[tuple], classes: dict, epochs: int = 10, steps: int = 600, ba
         for at in range(0, len(rows), batch):
             some = order[at : at + batch]
             done += 1
-            for k, g in net.gradients([texts[i] for i in some], labels[some], weights[some]).items():
+            for k, g in net.gradients([texts[i] for i in some], labels[some], weights[some], [flags[i] for i in some]).items():
                 m1[k] += 0.1 * (g - m1[k])
                 m2[k] += 0.001 * (g * g - m2[k])
                 net.p[k] -= now * (m1[k] / (1 - 0.9**done)) / (np.sqrt(m2[k] / (1 - 0.999**done)) + 1e-8)

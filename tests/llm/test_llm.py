@@ -67,7 +67,7 @@ def test_network_gradient():
     texts = ["".join(rng.choice(list("abc #!"), n)) for n in (0, 3, 40, 400)] + ["ab " * 30000]
     net, y, w = quality.Network(1), np.array([0, 1, 1, 0, 1], np.float32), np.ones(5)
     loss = lambda: float(np.mean(np.log1p(np.exp(-np.where(y == 1, 1, -1) * net.logits(texts).astype(float)))))
-    grads = net.gradients(texts, y, w)
+    grads = net.gradients([quality.chunks(t) for t in texts], y, w)
     for k in ("out", "bias", "filters", "vectors"):
         at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
         for_eps = []

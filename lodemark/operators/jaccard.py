@@ -21,7 +21,7 @@ from lodemark.batches import bound_bytes
 from lodemark.storage import save
 
 from .graph import components
-from .skew import join_unique
+from .skew import join_unique, light
 
 WORDS, LEAST, MINIMA, BAND, ALIKE = 5, 0.8, 150, 5, 96
 #: Members of a group that meet in one task, and bytes of their texts.
@@ -145,7 +145,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ti
     clusters = save(components(met).join(distinct.select("node", "text_hash", "size", "sig"), "node"), "clusters")
     tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / TILE_BYTES))
     sized = clusters.groupBy("root").agg(tiles.alias("tiles"))
-    texts = plain.select("text_hash", "text").join(clusters.select("text_hash").distinct(), "text_hash").groupBy("text_hash").agg(F.any_value("text").alias("text"))
+    wanted = light(save(clusters.select("text_hash").distinct(), "wanted"))
+    texts = plain.select("text_hash", "text").join(wanted, "text_hash").groupBy("text_hash").agg(F.any_value("text").alias("text"))
     links = _met(_tiled(clusters, sized, "root").join(texts, "text_hash"), "root", "text", verify=True)
     roots = components(links).withColumnRenamed("root", "head")
     headed = save(distinct.select("node", "least").join(roots, "node", "left"), "headed")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodemark.operators.skew import light  # noqa: F401
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,11 +32,6 @@ def by_slices(texts: pd.Series, run: Callable[[list], np.ndarray], rows: int = 4
     return pd.Series(np.concatenate([run(list(texts.iloc[k : k + rows])) for k in range(0, len(texts), rows)] or [np.zeros(0)]))
 
 
-def light(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """``df`` (a few numbers a row, written or cheap to count), marked to be broadcast if it has no more than ``rows``; else Spark chooses."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A name for a column of one's own that ``df`` doesn't have."""
     name = f"_{name}"

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lodemark.batches import bound_bytes
 from lodemark.operators.graph import components
 from lodemark.operators.jaccard import jaccard_classes
-from lodemark.operators.skew import join_unique
+from lodemark.operators.skew import join_unique, light
 from lodemark.storage import save
 
 from .common import fresh, read_table, slices
@@ -169,10 +169,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     heads = classes.filter("id = class_id").groupBy(F.col("id").alias(own)).agg(F.count("*").alias("n"))
     heads = save(heads, "heads")
     named = docs.withColumn(own, F.col(key).cast("long"))
-    once = named.join(heads.filter("n = 1").select(own), own, "left_semi")
-    again = named.join(heads.filter("n > 1").select(own), own, "left_semi").groupBy(own)
+    once = named.join(light(heads.filter("n = 1").select(own)), own, "left_semi")
+    again = named.join(light(heads.filter("n > 1").select(own)), own, "left_semi").groupBy(own)
     again = again.agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(text)).alias("row")).select("row.*")
-    unnamed = classes.filter("class_id IS NULL").select(F.col("text_hash").alias(hash_)).distinct()
+    unnamed = light(classes.filter("class_id IS NULL").select(F.col("text_hash").alias(hash_)).distinct())
     others = docs.filter(F.col(key).isNull()).withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(unnamed, hash_, "left_semi")
     return once.drop(own).unionByName(again).unionByName(others.drop(hash_))
 

@@ -100,8 +100,8 @@ def quality_gate(spark, sf_dir):
     "trading_signals",
 )
 def signal_performance_json(spark, sf_dir):
-    get = lambda k: F.get_json_object("metadata", f"$.{k}")
-    rows = trading_signals(spark, sf_dir).select(get("risk_level").alias("risk_level"), get("closed_at").cast("timestamp_ntz").alias("closed_at"), get("pnl_pct").cast("double").alias("pnl_pct"))
+    rows = trading_signals(spark, sf_dir).select(F.from_json("metadata", "risk_level string, closed_at string, pnl_pct string").alias("m"))
+    rows = rows.select("m.risk_level", F.col("m.closed_at").cast("timestamp_ntz").alias("closed_at"), F.col("m.pnl_pct").cast("double").alias("pnl_pct"))
     closed = F.col("closed_at").isNotNull()
     return rows.groupBy("risk_level").agg(F.count("*").alias("n"), F.count_if(closed).alias("closed"), F.round(F.avg(F.when(closed, F.col("pnl_pct"))), 6).alias("mean_pnl"), F.round(F.avg(F.when(closed, F.when(F.col("pnl_pct") > 0, 1.0).otherwise(0.0))), 6).alias("win_rate"))
 

@@ -8,24 +8,36 @@ next to it. The forest learns that from labelled findings: a table of (before, c
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodemark.storage import save
+
 from .common import read_table
 
-#: What can end the name of a secret, and what stands between it and its value. The short lookbehind spares most places the long one.
+#: What can end the name of a secret, and what stands between it and its value. The first lookbehinds are short and spare most places the long one.
 NAMED = r"(?:secret(?!ar)|token(?!i)|passw(?:or)?d|passphrase|pwd|api[_-]?key|auth(?!or)|bearer|credential|private[_-]?key|access[_-]?key|signature)"
-ASSIGNED = r"(?<=[:=][ \t]{0,3}[\"'`]?)(?<=(?i:" + NAMED + r")[A-Za-z0-9_-]{0,16}[\"'`\]]{0,2}[ \t]{0,3}[:=]{1,2}[ \t]{0,3}"
-#: A value in quotes goes to the closing one, else to white space, a quote, & or a final comma or semicolon.
-VALUE = ASSIGNED + r"[\"'`])[^\"'`\r\n]++(?=[\"'`])|" + ASSIGNED + r")(?![:=])(?:[^\s\"'`&<>,;]|[,;](?![\s\"'`]|$))++"
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
-MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*?[a-z][A-Z][A-Za-z+/_-]*?[a-z][A-Z])[A-Za-z+/_-]{20,}+(?![0-9])"
-BLOCK = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=,:\s-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
-ADDRESS = r"(?<=://[^\s:/@]{1,64}:)[^\s:/@]++(?=@)"
-CANDIDATE = f"(?:{BLOCK}|{ADDRESS}|{VALUE}|{RUN}|{MIXED})"
+ASSIGNED = r"(?<=[:= \t\"'`])(?<=[:=][ \t]{0,3}[\"'`]?)(?<=(?i:" + NAMED + r")[A-Za-z0-9_-]{0,16}[\"'`\]]{0,2}[ \t]{0,3}[:=]{1,2}[ \t]{0,3}[\"'`]?)"
+#: Where another name is assigned to: there a value without quotes ends.
+NEXT = r"[A-Za-z_][\w .-]{0,30}(?:=|:[ \t])"
+#: A value in quotes goes to the closing one, else to white space, a quote, &, a comma or semicolon at the end or before the next name.
+VALUE = ASSIGNED + r"(?:(?<=[\"'`])[^\"'`\r\n]++(?=[\"'`])|(?<![\"'`])(?![:=])(?:[^\s\"'`&<>,;]++|[,;](?![\s\"'`]|$|" + NEXT + r"))++)"
+#: A run of characters of keys with a digit, or one that changes case in two places. Most words are too short for either.
+RUN = r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+MIXED = r"(?=[A-Za-z+/_-]*?[a-z][A-Z][A-Za-z+/_-]*?[a-z][A-Z])[A-Za-z+/_-]{20,}+(?![0-9])"
+WORDS = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?:" + RUN + "|" + MIXED + ")"
+#: The body of a block holds no five hyphens, so it is never read twice.
+BODY = r"[A-Za-z0-9+/=,:\s]*+(?:-{1,4}+(?!-)[A-Za-z0-9+/=,:\s]*+)*+"
+BLOCK = r"-----BEGIN (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----" + BODY + r"-----END (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----"
+ADDRESS = r"(?<=[^\s:/@]:)(?<=://[^\s:/@]{1,64}:)[^\s:/@]++(?=@)"
+CANDIDATE = f"(?:{BLOCK}|{ADDRESS}|{VALUE}|{WORDS})"
+#: Stands around candidates while a text is cut; no character of any writing.
+MARK = "\ufdd0"
 BEFORE, AFTER = 48, 16
 SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "api[_-]?key", "apikey", "auth", "bearer", "credential", "private", "access[_-]?key", "signature")
 OTHER_WORDS = ("commit", "sha", "md5", "hash", "checksum", "digest", "uuid", "guid", "etag", "revision", "version", "build", "card", "phone", "isbn", "order", "http", "www", "file", "path", "image")
@@ -85,8 +97,11 @@ def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 5) -> Data
     Words in them are of the dictionary or, as often, made up of syllables, so that the forest can't take the dictionary for all there is.
     """
 
+    drawn: dict[int, Column] = {}  # hashes of the id, each in a column of its own
+
     def some(k: int) -> Column:
-        return F.sha2(F.concat(F.lit(f"{seed}:{k}:"), F.col("id").cast("string")), 256)
+        drawn[k] = F.sha2(F.concat(F.lit(f"{seed}:{k}:"), F.col("id").cast("string")), 256)
+        return F.col(f"h{k}")
 
     def base64(k: int, chars: int) -> Column:
         return F.substring(F.translate(F.base64(F.unhex(F.concat(some(k), some(k + 50)))), "=", "x"), 1, chars)
@@ -133,9 +148,12 @@ def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 5) -> Data
         (F.concat(key_name, pick(4, " = ", "=", ": ")), F.concat(pick(8, "self.", "os.environ[", "get_", "process.env.", "${", "config.", "request.", "read("), pick(9, "token", "password", "key", "auth_key", "secret"), pick(21, "", "()", "]", "}", ")")), F.lit("\n"), 0),
         (F.concat(key_name, pick(4, " = \"", ": \"")), F.concat_ws(" ", pick(9, "Enter", "The", "Your", "Please give", "Invalid"), words[0], words[1]), F.lit("\""), 0),
     ]
-    ids, out = spark.range(0, n, 1, 1), None
-    for k, (before, candidate, after, label) in enumerate(cases):
-        part = ids.filter(F.col("id") % len(cases) == k).select(F.lit(k).alias("template"), F.concat(prose, before).alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(label).alias("label"))
+    rows, out = save(spark.range(0, n, 1, 1).select("id", *(c.alias(f"h{k}") for k, c in sorted(drawn.items()))), "drawn"), None
+    which = (F.col("id") % len(cases)).cast("int")
+    for first in range(0, len(cases), 7):  # more at once is too much for one generated method
+        some_cases = range(first, min(first + 7, len(cases)))
+        before, candidate, after, label = (functools.reduce(lambda out, k, j=j: F.when(which == k, cases[k][j]).otherwise(out), some_cases, F.lit(None)) for j in range(4))
+        part = rows.filter(which.between(some_cases[0], some_cases[-1])).select(which.alias("template"), F.concat(prose, before).alias("before"), candidate.alias("candidate"), after.alias("after"), label.alias("label"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -144,16 +162,17 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 5) -
     """``findings``: before, candidate, after, label (1: a secret). Rows with a null candidate or label are left out."""
     rows = findings.select(F.coalesce("before", F.lit("")).alias("before"), "candidate", F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("double").alias("label")).dropna()
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    return forest.fit(with_features(rows))
+    return forest.fit(save(with_features(save(rows, "findings")).select("features", "label"), "features"))
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ordinal (from 0), before, candidate, after: ``BEFORE`` and ``AFTER`` characters of the text around each candidate."""
-    found = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(CANDIDATE))
-    found = found.select("doc_id", F.split("text", CANDIDATE, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("found"))
+    marked = F.regexp_replace(F.translate(F.col(text), MARK, "\ufffd"), CANDIDATE, f"{MARK}$0{MARK}")
+    found = docs.select(F.col(key).alias("doc_id"), marked.alias("marked")).filter(F.contains("marked", F.lit(MARK)))
     # Text and candidates in turn. Neighbouring candidates are a character or more apart, so 2 * BEFORE parts are long enough; long ones are cut first.
-    parts = F.flatten(F.transform("pieces", lambda p, i: F.array(p, F.coalesce(F.get("found", i), F.lit("")))))
-    found = found.withColumn("tails", F.transform(parts, lambda p: F.right(p, F.lit(BEFORE)))).withColumn("heads", F.transform(parts, lambda p: F.left(p, F.lit(AFTER))))
+    found = found.select("doc_id", F.split("marked", MARK, -1).alias("parts"))
+    found = found.withColumn("found", F.filter("parts", lambda p, i: i % 2 == 1))
+    found = found.withColumn("tails", F.transform("parts", lambda p: F.right(p, F.lit(BEFORE)))).withColumn("heads", F.transform("parts", lambda p: F.left(p, F.lit(AFTER))))
     before = lambda i: F.array_join(F.slice("tails", F.greatest(2 * i + 2 - 2 * BEFORE, F.lit(1)), F.least(2 * i + 1, F.lit(2 * BEFORE))), "")
     one = F.transform("found", lambda c, i: F.struct(F.right(before(i), F.lit(BEFORE)).alias("before"), c.alias("candidate"), F.left(F.array_join(F.slice("heads", 2 * i + 3, 2 * AFTER), ""), F.lit(AFTER)).alias("after")))
     return found.select("doc_id", F.posexplode(one).alias("ordinal", "c")).select("doc_id", "ordinal", "c.*")
@@ -162,6 +181,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def secret_scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ordinal, candidate, probability, is_secret for each candidate.
 
+    A value without quotes ends where another name is assigned to (``password=a;user=b``). The noncharacter U+FDD0, which no writing uses, is read as U+FFFD.
     Null and empty texts have none; rows that repeat and null ids are kept as they are, equal candidates of a text each; a key as long as the text is one candidate, and
     texts of any length are read whole. Columns other than key and text aren't read, whatever their names. An empty table gives no rows.
     ``findings``: labelled findings of one's own in place of those made by rule.

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import sys
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -283,16 +284,31 @@ def test_secret_features_equal_plain_ones(spark):
 def test_candidates_and_their_neighbours(spark):
     key, camel = "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c", "qWvKzRwTmBxLpNcYhGdJ"
     block = "-----BEGIN RSA PRIVATE KEY-----\nMIIB/x+9==\nabc\n-----END RSA PRIVATE KEY-----"
-    texts = {1: f"id,{key},{key},{key};", 2: f"see {camel} there", 3: f"a {block} b", 4: "at postgres://joe:s3c!ret@db.example/x", 5: "pwd=a;pwd=b;pwd=c;pwd=d", 6: "x" * 5000 + f" token={key * 40} end"}
+    texts = {1: f"id,{key},{key},{key};", 2: f"see {camel} there", 3: f"a {block} b", 4: "at postgres://joe:s3c!ret@db.example/x", 5: "pwd=a;pwd=b;pwd=c;pwd=e", 6: "x" * 5000 + f" token={key * 40} end"}
+    texts |= {7: "Server=x;Password=ab;c,d;User Id=y; pwd='y z'", 8: "token=a1\ufdd0b"}
     rows = secrets.candidates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert Counter((r.doc_id, r.candidate) for r in rows) == Counter({(1, key): 3, (2, camel): 1, (3, block): 1, (4, "s3c!ret"): 1, (5, "a;pwd=b;pwd=c;pwd=d"): 1, (6, key * 40): 1})
+    assert Counter((r.doc_id, r.candidate) for r in rows) == Counter({(1, key): 3, (2, camel): 1, (3, block): 1, (4, "s3c!ret"): 1, (5, "a"): 1, (5, "b"): 1, (5, "c"): 1, (5, "e"): 1, (7, "ab;c,d"): 1, (7, "y z"): 1, (8, "a1\ufffdb"): 1, (6, key * 40): 1})
     seen = defaultdict(int)
+    texts[8] = texts[8].replace("\ufdd0", "\ufffd")
     for r in sorted(rows, key=lambda r: (r.doc_id, r.ordinal)):
         at = texts[r.doc_id].index(r.candidate, seen[r.doc_id])
         seen[r.doc_id] = at + len(r.candidate)
         assert r.before == texts[r.doc_id][max(0, at - 48) : at] and r.after == texts[r.doc_id][seen[r.doc_id] : seen[r.doc_id] + 16]
 
 
+@pytest.mark.parametrize(("line", "found"), [("-----BEGIN PRIVATE KEY-----\n", 0), ("password=x1;", 1), ("://a:b", 0), ("pwd=", 0), ("a-b ", 0), ('token="', 0)])
+def test_candidates_of_texts_that_are_hard_on_patterns(spark, line, found):
+    """A megabyte of beginnings takes time in proportion, and each value is a candidate of its own."""
+    n = 2**20 // len(line)
+    docs = spark.createDataFrame([(1, line * n)], "doc_id long, text string")
+    secrets.candidates(docs).count()
+    began = time.time()
+    rows = secrets.candidates(docs).groupBy(F.length("candidate").alias("n")).count().collect()
+    assert time.time() - began < 10
+    if found:
+        assert [(r.n, r["count"]) for r in rows] == [(2, n)]
+
+
 # 6
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodemark.batches import bound_bytes
+from lodemark.operators.jaccard import LEAST, shingles
+from lodemark.operators.skew import join_unique
 from lodemark.storage import save
 
 from .common import fold, light, read_table, slices
@@ -32,9 +34,9 @@ PER_CLASS, MAX_CHARS = 2000, 12_000_000
 #: Taken from each continuation count; weight of the discounted counts against the shared backoff; words of a part, and between parts' starts.
 DISCOUNT, WEIGHT, PART, STRIDE = 1.0, 0.03, 8, 4
 #: Words whose ratios are sent to the workers as one table (12 bytes each); beyond that, the words of the texts are joined with them.
-SHARED = 16_000_000
-#: Near copies are found by three minima over five-word shingles.
-SKETCHES, SHINGLE = 3, 5
+SHARED = 4_000_000
+#: Near copies are found by three minima over five-word shingles and the hash of all of these, then verified.
+SKETCHES, SHINGLE = 4, 5
 #: Letters A-Z to lower case, other ASCII but digits to spaces.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +70,8 @@ def sketch(words: np.ndarray) -> list[int | None]:
     for i in range(k):
         mixed = (mixed ^ words[i : i + n]) * BASE
         mixed ^= mixed >> np.uint64(32)
-    return [int((mixed * np.uint64(2 * i + 3) ^ (mixed >> np.uint64(7 + i))).min().view(np.int64)) for i in range(SKETCHES)]
+    least = [int((mixed * np.uint64(2 * i + 3) ^ (mixed >> np.uint64(7 + i))).min().view(np.int64)) for i in range(SKETCHES - 1)]
+    return [*least, int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(np.sort(mixed).tobytes())).view(np.int64)))]
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,14 +82,37 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "label", *(f"s{i}" for i in range(SKETCHES))])
 
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label) of the rows whose two texts have a similarity of 0.8 or more; the shingles of an earlier text are made once while it repeats."""
+    last, its = None, None
+    for batch in slices(batches, 100):
+        ids, labels = [], []
+        for i, label, text, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if first != last:
+                last, its = first, shingles(first)
+            own = shingles(text)
+            both = len(np.intersect1d(own, its, assume_unique=True))
+            if both >= LEAST * (len(own) + len(its) - both):
+                ids.append(i)
+                labels.append(label)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32())], names=["id", "label"])
+
+
 def without_copies(rows: DataFrame) -> DataFrame:
-    """(id, label) of the texts of ``rows`` (id, label, text) that share no minimum with a text of their class and a smaller id."""
+    """(id, label) of the texts of ``rows`` (id, label, text) but near copies: texts that share a minimum with a text of their class and a smaller id,
+    the smallest that has it, and of whose shingles and that text's 0.8 or more are in both. Texts without words are left out."""
     schema = "id long, label int, " + ", ".join(f"s{i} long" for i in range(SKETCHES))
     drawn = save(rows.select("id", "label", "text").mapInArrow(_sketches, schema).filter("s0 IS NOT NULL"), "sketches")
     minima = drawn.select("id", "label", F.posexplode(F.array(*(f"s{i}" for i in range(SKETCHES)))).alias("which", "least"))
     first = minima.groupBy("label", "which", "least").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    lost = minima.join(first, ["label", "which", "least"]).filter("id > first").select("id", "label").distinct()
-    return save(drawn.select("id", "label").distinct().join(lost, ["id", "label"], "left_anti"), "counted")
+    # Fewer pairs than SKETCHES times the texts: each text is compared with the first of each of its minima.
+    pairs = save(minima.join(first, ["label", "which", "least"]).filter("id > first").select("id", "label", "first").distinct(), "pairs")
+    met = rows.join(light(save(pairs.select("id").union(pairs.select("first")).distinct(), "met")), "id")
+    met = save(met.groupBy("id").agg(F.max("text").alias("text")), "texts", compression="zstd")  # of rows that repeat an id, one text stands for all
+    later = pairs.join(met, "id")
+    both = join_unique(later, met.select(F.col("id").alias("first"), F.col("text").alias("earlier")), "first", pairs.groupBy("first").agg(F.count("*").alias("n")))
+    lost = save(both.select("id", "label", "text", "earlier").mapInArrow(_similar, "id long, label int").distinct(), "copies")
+    return save(drawn.select("id", "label").distinct().join(light(lost), ["id", "label"], "left_anti"), "counted")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +232,8 @@ def with_evidence(rows: DataFrame, ratios: DataFrame, other: float, shared: int
     """
     spark = rows.sparkSession
     if ratios.count() <= shared:
-        known = ratios.toPandas().sort_values("word")
-        table = spark.sparkContext.broadcast((known["word"].to_numpy(np.int64), known["ratio"].to_numpy(np.float32)))
+        known = ratios.orderBy("word").toArrow()
+        table = spark.sparkContext.broadcast((known["word"].to_numpy(), known["ratio"].to_numpy()))
         return rows.mapInArrow(_told_by_table(table, other), T.StructType([*rows.schema.fields[:-1], T.StructField("evidence", T.DoubleType())]))
     rows = save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     said = rows.select("_row", "text").mapInArrow(_part_words, "row long, part long, word long, n long")
@@ -241,17 +267,18 @@ def toxicity_scores(
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for each row of ``docs``.
 
-    Of the labelled ids outside of the held-out fold, one in four (by a hash) is kept for the curve, of which a sample of ``per_class`` rows and ``max_chars`` characters is
-    read; all others are counted. Null and empty texts have no evidence, 0, and a score too; rows that repeat are each in the result, with
+    Of the labelled ids outside of the held-out fold, at most one in four (by a hash) and ``per_class`` rows of each class and ``max_chars`` characters are kept for the curve; all
+    others are counted. Null and empty texts have no evidence, 0, and a score too; rows that repeat are each in the result, with
     the same score; a null id is in no fold and so not held out. Texts of any length are read whole, in parts. Columns other than
     key and text aren't read, whatever their names. Without labels of both classes all scores are alike. Empty tables give no rows.
     """
     bound_bytes(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     quarter = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(4)) == 0
-    sample, _ = sample_rows(docs, labels.filter(quarter), label, per_class, max_chars, key, text)
-    usable = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fold(key) != 0) & ~quarter).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).distinct()
-    usable = save(usable, "usable")
+    sample = save(sample_rows(docs, labels.filter(quarter), label, per_class, max_chars, key, text)[0], "sample")
+    usable = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fold(key) != 0)).select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    curved = F.broadcast(sample.select(F.col("_id").alias("id")).distinct())  # twice per_class at most
+    usable = save(usable.join(curved, "id", "left_anti"), "usable")
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(light(usable), "id")
     counted = without_copies(own).withColumnRenamed("label", "counted")
     counts = word_counts(docs, own.join(light(counted), "id").filter("label = counted"), text)

@@ -422,6 +422,32 @@ def test_near_copies_count_once(spark):
     assert (0, 1) in kept and (50, 0) in kept and (51, 1) not in kept and len(kept) <= 4
 
 
+def test_texts_that_share_a_passage_are_no_copies(spark):
+    """A line in all texts gives them equal minima; all are counted, but for exact copies and one that is near."""
+    rng = random.Random(6)
+    line = " ".join(f"license{k}" for k in range(30))
+    own = [" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, i % 2, f"{line} {t}") for i, t in enumerate(own)]
+    rows += [(100 + i, i % 2, f"{line} {own[i]}") for i in range(4)] + [(200, 0, f"{line} {own[8]} more"), (201, 1, f"{line} {own[8]} more"), (202, 0, None)]
+    kept = {(r.id, r.label) for r in toxicity.without_copies(spark.createDataFrame(rows, "id long, label int, text string")).collect()}
+    assert kept == {(i, i % 2) for i in range(40)} | {(201, 1)}
+
+
+def test_labels_beyond_the_curve_are_counted(spark):
+    """A curve of a few texts leaves all other labels to the counts."""
+    rows, marks = toxic_texts(300)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    seen = []
+    count = toxicity.word_counts
+    toxicity.word_counts = lambda docs, labelled, text: seen.append(labelled.count()) or count(docs, labelled, text)
+    try:
+        toxicity.toxicity_scores(docs, labels, per_class=5)
+    finally:
+        toxicity.word_counts = count
+    fit = sum(binascii.crc32(str(d).encode()) % 5 != 0 for d, _ in marks)
+    assert fit - 10 <= seen[0] < fit
+
+
 def test_toxicity_held_out(spark):
     """On rows that nothing was learnt from; the mean ratio alone gives the order of the scores."""
     sf = "/root/testdata/sf0.1"

@@ -34,7 +34,7 @@ EXTENT = (
 #: Cuts that no pre-token of the byte-level pattern crosses: before a space, unless it stands inside of a run of white space.
 CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 #: In texts without these, single newlines, and full stops and commas at the ends of words, stand alone as well.
-KNOTTY = re.compile(r"\s\s|[\W_][.,]")
+KNOTTY = re.compile(r"\s\s"), re.compile(r"[.,](?<=[\W_][.,])")
 #: Words in each of two generations of the cache of encoded words, and the longest word kept.
 CACHE, LONGEST = 400_000, 32
 
@@ -81,7 +81,7 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def words(self, text: str) -> list[str]:
-        if "\0" in text or KNOTTY.search(text):
+        if "\0" in text or any(rule.search(text) for rule in KNOTTY):
             return CUT.split(text)
         return (text + "\0").replace("\n", "\0\n\0").replace(" ", "\0 ").replace(".\0", "\0.\0").replace(",\0", "\0,\0").split("\0")
 

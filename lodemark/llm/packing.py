@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodemark.batches import bound_bytes
 
 from .common import read_table, slices
-from .token_planes import Encoder, vocabulary
+from .token_planes import encoder, vocabulary
 
 WINDOW = 1024
 #: Tokens that fit into the open windows of a task at most, in windows.
@@ -126,7 +126,7 @@ class Packer:
 
 def pack_partition(tokenizer: str, end_id: int, window: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = Encoder(tokenizer), Packer(window, TaskContext.get().partitionId() * STEP, room)
+        coder, packer = encoder(tokenizer), Packer(window, TaskContext.get().partitionId() * STEP, room)
         end, held, n = int(end_id).to_bytes(4, "little"), {}, 0
 
         def taken() -> Iterator[pa.RecordBatch]:

@@ -93,7 +93,7 @@ class Encoder:
         new, old = self.new, self.old
         missing = set().union(*(p for p in parts if p is not None)).difference(new)
         if missing:
-            again = missing.intersection(old)
+            again = {w for w in missing if w in old}  # intersection() would walk all of the dictionary
             new.update((w, old[w]) for w in again)
             asked = sorted(missing - again)
             lines = [self.mark.join(asked[k : k + 100]) for k in range(0, len(asked), 100)]

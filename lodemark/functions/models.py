@@ -51,3 +51,49 @@ def train_direction(frame: DataFrame, columns: list[str], label: str = "label",
 
     steps = [VectorAssembler(inputCols=columns, outputCol="features"), RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)]
     return Pipeline(stages=steps).fit(frame)
+
+
+def train_each(frame: DataFrame, key: str, columns: list[str], target: str, least_rows: int = 60, ridge: float = 1e-9) -> DataFrame:
+    """A linear model for each ``key``, as a table of artifacts: key, rows, status, weights (intercept first), columns, error (mean square of its fit).
+
+    Spark sums the products of each key's columns, which are as many as the columns' square whatever the rows, so a key with most rows is no task of its own; the
+    normal equations of each key are then solved in a grouped map of these sums. Rows with nulls don't count; a key with fewer than ``least_rows`` others has no weights.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = [*(f"_x{k}" for k in range(len(columns) + 1)), "_y"]
+    held = frame.select(F.col(key), F.lit(1.0).alias("_x0"), *(F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns, 1)), F.col(target).cast("double").alias("_y"))
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(n).isNotNull()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    products = F.array(*(F.coalesce(F.sum(F.when(whole, F.col(names[i]) * F.col(names[j]))), F.lit(0.0)) for i, j in pairs))
+    sums = held.groupBy(key).agg(F.count_if(whole).alias("rows"), products.alias("sums"))
+
+    def solve(groups: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in groups.itertuples(index=False):
+            n, gram = int(r.rows), np.zeros((len(names), len(names)))
+            for (i, j), v in zip(pairs, r.sums, strict=True):
+                gram[i, j] = gram[j, i] = v
+            if n < least_rows:
+                out.append((getattr(r, key), n, "too few rows", None, columns, None))
+                continue
+            a, b = gram[:-1, :-1] + ridge * np.eye(len(names) - 1), gram[:-1, -1]
+            w = np.linalg.solve(a, b)
+            error = max(0.0, float(gram[-1, -1] - 2 * w @ b + w @ gram[:-1, :-1] @ w)) / n
+            out.append((getattr(r, key), n, "trained", w.tolist(), columns, error))
+        return pd.DataFrame(out, columns=[key, "rows", "status", "weights", "columns", "error"])
+
+    kind = dict(frame.dtypes)[key]
+    return sums.groupBy(key).applyInPandas(solve, f"{key} {kind}, rows long, status string, weights array<double>, columns array<string>, error double")
+
+
+def predict_each(frame: DataFrame, fitted: DataFrame, key: str, columns: list[str], name: str = "predicted") -> DataFrame:
+    """``frame`` with what the model of its key says; null where there is none or a column is null. ``fitted`` has a row for each key."""
+    terms = [F.get("_weights", F.lit(0)), *(F.get("_weights", F.lit(k)) * F.col(c).cast("double") for k, c in enumerate(columns, 1))]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return frame.join(fitted.select(key, F.col("weights").alias("_weights")), key, "left").select(*(F.col(c) for c in frame.columns), total.alias(name))

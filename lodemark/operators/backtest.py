@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodemark.storage import save
+
+from .rolling import running
 from .temporal import interval_join, nearest_join
 
 #: Slippage and fee of each leg, hours until a position times out, share of cash for one position, and the cash at the start.
@@ -18,15 +21,17 @@ SLIPPAGE, FEE, TIMEOUT_HOURS, ALLOCATION, CAPITAL = 0.0005, 0.001, 24, 0.2, 10_0
 
 
 def positions(signals: DataFrame, bars: DataFrame, grid: list[tuple[int, float, float]]) -> DataFrame:
-    """run_id, id, symbol, side, entry_time, entry, share, exit_time, exit_price, reason, back for each BUY or SELL of ``signals`` and each run.
+    """run_id, id, symbol, side, entry_time, entry, units, share, exit_time, exit_price, reason, back for each BUY or SELL of ``signals`` and each run.
 
     ``signals``: id (unique), symbol, ts, signal, strength. ``bars``: symbol, ts, close. ``grid``: a stated list of runs (run_id, take, stop). A position is entered at the nearest
-    bar's close and left at the first later bar at which it is up by ``take`` or down by ``stop``, else at the last one within ``TIMEOUT_HOURS``; without
-    bars it stays open. ``share``: of the cash that goes in; ``back``: what comes back for each unit of it, after slippage and fees. Signals without a positive price are left out.
+    bar's close and left at the first later bar at which it is up by ``take`` or down by ``stop``, else at the last one within ``TIMEOUT_HOURS``. It stays open
+    if nothing hits before the bars of its symbol end, earlier than its timeout. ``share``: of the cash that goes in; ``units``: what a unit of cash buys; ``back``: what comes back for each unit of cash, after slippage and fees. Signals without a positive price are left out.
     """
     closes = bars.select("symbol", "ts", "close")
     traded = signals.filter(F.col("signal").isin("BUY", "SELL")).select("id", "symbol", "ts", "signal", "strength")
     priced = nearest_join(traded, closes, ["symbol"]).filter("r_close > 0").select(*traded.columns, F.col("r_close").alias("price"))
+    ends = closes.groupBy("symbol").agg(F.max("ts").alias("_end"))
+    priced = priced.join(ends, "symbol").select(*priced.columns, (F.col("_end") >= F.col("ts") + F.make_dt_interval(hours=F.lit(TIMEOUT_HOURS))).alias("_over"))
     seen = interval_join(priced, closes, ["symbol"], F.col("ts") + F.expr("INTERVAL 1 SECOND"), F.col("ts") + F.make_dt_interval(hours=F.lit(TIMEOUT_HOURS)), "ts", TIMEOUT_HOURS * 3600)
     later = seen.groupBy(*priced.columns).agg(F.array_sort(F.collect_list(F.when(F.col("r_ts").isNotNull(), F.struct(F.col("r_ts").alias("ts"), F.col("r_close").alias("close"))))).alias("later"))  # as many as bars until the timeout
     runs = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("run_id"), F.lit(t).alias("take"), F.lit(s).alias("stop")) for i, t, s in grid)))
@@ -34,12 +39,12 @@ def positions(signals: DataFrame, bars: DataFrame, grid: list[tuple[int, float,
     up = F.when(F.col("signal") == "BUY", F.lit(1)).otherwise(F.lit(-1))
     move = lambda b: up * (b["close"] / F.col("price") - 1)
     rows = rows.withColumn("_hit", F.get(F.filter("later", lambda b: (move(b) >= F.col("take")) | (move(b) <= -F.col("stop"))), F.lit(0)))
-    rows = rows.withColumn("_out", F.coalesce("_hit", F.try_element_at("later", F.lit(-1))))
+    rows = rows.withColumn("_out", F.coalesce("_hit", F.when(F.col("_over"), F.try_element_at("later", F.lit(-1)))))
     reason = F.when(F.col("_out").isNull(), "open").when(F.col("_hit").isNull(), "timeout").when(move(F.col("_hit")) >= F.col("take"), "take_profit").otherwise("stop_loss")
     entry, left = F.col("price") * (1 + up * SLIPPAGE), F.col("_out.close") * (1 - up * SLIPPAGE)
     back = (entry + up * (left - entry) - (entry + left) * FEE) / (F.col("price") * (1 + SLIPPAGE))
     share = ALLOCATION * F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("strength") / 10))
-    return rows.select("run_id", "id", "symbol", F.col("signal").alias("side"), F.col("ts").alias("entry_time"), entry.alias("entry"), share.alias("share"), F.col("_out.ts").alias("exit_time"), left.alias("exit_price"), reason.alias("reason"), back.alias("back"))
+    return rows.select("run_id", "id", "symbol", F.col("signal").alias("side"), F.col("ts").alias("entry_time"), entry.alias("entry"), (1 / (F.col("price") * (1 + SLIPPAGE))).alias("units"), share.alias("share"), F.col("_out.ts").alias("exit_time"), left.alias("exit_price"), reason.alias("reason"), back.alias("back"))
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +74,7 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def cash_flow(taken: DataFrame) -> DataFrame:
     """run_id, id, ts, opens, amount, pnl, cash, equity for each opening and closing of ``positions``, in order of time, closings first, then of id.
 
-    Equity counts open positions at cost; without cash, nothing is opened. A run is a sequence, as its cash is shared; its rows stream through one task.
+    Equity counts open positions at cost (``marked_equity`` has it at market); without cash, nothing is opened. A run is a sequence, as its cash is shared; its rows stream through one task.
     """
     opens = taken.select("run_id", "id", F.col("entry_time").alias("ts"), F.lit(True).alias("opens"), F.col("share").alias("part"))
     closes = taken.filter("exit_time IS NOT NULL").select("run_id", "id", F.col("exit_time").alias("ts"), F.lit(False).alias("opens"), F.col("back").alias("part"))
@@ -78,6 +83,30 @@ def cash_flow(taken: DataFrame) -> DataFrame:
     return opens.unionByName(closes).repartition("run_id").sortWithinPartitions(*order).mapInPandas(_fold, schema)
 
 
+def marked_equity(taken: DataFrame, flow: DataFrame, bars: DataFrame, unit: str = "day") -> DataFrame:
+    """run_id, ts, cash, marked, equity at each time at which a run's positions or the price of one of its symbols change.
+
+    ``marked`` values what is open, long or short, at the last close of its symbol at or before that time. Openings and closings are signed quantities by run and symbol; running sums over them
+    and running closes give the value of each symbol, whose changes are summed by run. All are scans in two levels by a time ``unit``, so no task has a whole run or symbol.
+    """
+    taken, flow = save(taken.select("run_id", "id", "symbol", "units"), "taken"), save(flow, "flow")  # each is read more than once
+    block, change = F.date_trunc(unit, "ts"), F.when(F.col("opens"), F.col("stake")).otherwise(-F.col("stake")) * F.col("units")
+    traded = flow.select("run_id", "id", "ts", "opens", F.col("amount").alias("stake"))
+    moves = traded.join(taken, ["run_id", "id"]).groupBy("run_id", "symbol", "ts").agg(F.sum(change).alias("quantity"))
+    held = moves.select("run_id", "symbol").distinct()  # a row for each run and symbol
+    closes = bars.groupBy("symbol", "ts").agg(F.max("close").alias("close")).join(F.broadcast(held), "symbol")
+    both = moves.join(closes, ["run_id", "symbol", "ts"], "full")
+    known = running(both, ["run_id", "symbol"], ["ts"], block, units=("sum", F.coalesce("quantity", F.lit(0.0))), price=("last", F.col("close")))
+    valued = known.withColumn("value", F.coalesce(F.col("units") * F.col("price"), F.lit(0.0)))
+    steps = running(valued, ["run_id", "symbol"], ["ts"], block, before=("lag", F.col("value")))
+    steps = steps.groupBy("run_id", "ts").agg(F.sum(F.col("value") - F.coalesce("before", F.lit(0.0))).alias("step"))
+    cash = flow.groupBy("run_id", "ts").agg(F.max_by("cash", F.struct("opens", "id")).alias("after"))
+    times = steps.join(cash, ["run_id", "ts"], "full")
+    out = running(times, ["run_id"], ["ts"], block, marked=("sum", F.coalesce("step", F.lit(0.0))), cash=("last", F.col("after")))
+    cash = F.coalesce("cash", F.lit(CAPITAL))
+    return out.select("run_id", "ts", cash.alias("cash"), "marked", (cash + F.col("marked")).alias("equity"))
+
+
 def run_results(flow: DataFrame) -> DataFrame:
     """One row for each run: trades, wins, equity and total return at its end."""
     last = F.max_by("equity", F.struct("ts", "opens", "id"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .rolling import longest_runs
+from .rolling import longest_runs, running
 
 #: Trading days and the yearly risk-free rate.
 DAYS, RISK_FREE = 252, 0.02
@@ -61,11 +61,10 @@ def var_cvar(trades: DataFrame, keys: list[str], value: str = "pnl_pct") -> Data
     return ranked.groupBy(*keys).agg(F.round(F.abs(at(0.05)), 6).alias("var_95"), F.round(F.abs(at(0.01)), 6).alias("var_99"), F.round(F.abs(F.sum(F.col("r") * used) / F.sum(used)), 6).alias("cvar_95"))
 
 
-def drawdowns(curve: DataFrame, keys: list[str], ts: str = "ts", equity: str = "equity") -> DataFrame:
-    """Rows with peak (so far), peak_ts and drawdown, the share below the peak."""
-    w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    out = curve.withColumn("peak", F.max(equity).over(w))
-    out = out.withColumn("peak_ts", F.max(F.when(F.col(equity) == F.col("peak"), F.col(ts))).over(w))
+def drawdowns(curve: DataFrame, keys: list[str], ts: str = "ts", equity: str = "equity", unit: str = "week") -> DataFrame:
+    """Rows with peak (so far), peak_ts (the last time that it was reached) and drawdown, the share below the peak; by blocks of a time unit, as times aren't null."""
+    out = running(curve, keys, [ts], F.date_trunc(unit, ts), _top=("max", F.struct(F.col(equity).alias("e"), F.col(ts).alias("t"))))
+    out = out.select(*curve.columns, F.col("_top.e").alias("peak"), F.col("_top.t").alias("peak_ts"))
     return out.withColumn("drawdown", F.coalesce(F.try_divide(F.col("peak") - F.col(equity), F.nullif("peak", F.lit(0.0))), F.lit(0.0)))
 
 
@@ -78,10 +77,9 @@ def max_drawdown(curve: DataFrame, keys: list[str], ts: str = "ts", equity: str
 
 def drawdown_episodes(curve: DataFrame, keys: list[str], ts: str = "ts", equity: str = "equity") -> DataFrame:
     """Runs below a peak: first and last time, depth and rows."""
-    out = drawdowns(curve, keys, ts, equity)
-    w = Window.partitionBy(*keys).orderBy(ts)
-    out = out.withColumn("_new", ((F.col("drawdown") > 0) & (F.coalesce(F.lag("drawdown").over(w), F.lit(0.0)) == 0)).cast("long"))
-    out = out.withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("drawdown > 0")
+    block = F.date_trunc("week", ts)
+    out = running(drawdowns(curve, keys, ts, equity), keys, [ts], block, _p=("lag", F.col("drawdown")))
+    out = running(out, keys, [ts], block, episode=("sum", ((F.col("drawdown") > 0) & (safe(F.col("_p")) == 0)).cast("long"))).filter("drawdown > 0")
     return out.groupBy(*keys, "episode").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.round(F.max("drawdown"), 6).alias("depth"), F.count("*").alias("points"))
 
 
@@ -122,9 +120,9 @@ def trade_report(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 def recoveries(curve: DataFrame, keys: list[str], ts: str = "ts", equity: str = "equity") -> DataFrame:
     """Mean drawdown below peaks, number of recoveries, and the mean and median of the whole days that they took."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    rows = drawdowns(curve, keys, ts, equity).withColumn("_p", F.lag("drawdown").over(w))
-    rows = rows.withColumn("_started", F.max(F.when((F.col("drawdown") > 0) & (safe(F.col("_p")) == 0), F.col(ts))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    block = F.date_trunc("week", ts)
+    rows = running(drawdowns(curve, keys, ts, equity), keys, [ts], block, _p=("lag", F.col("drawdown")))
+    rows = running(rows, keys, [ts], block, _started=("max_before", F.when((F.col("drawdown") > 0) & (safe(F.col("_p")) == 0), F.col(ts))))
     days = F.when((F.col("drawdown") == 0) & (F.col("_p") > 0), F.floor(F.timestamp_diff("SECOND", F.col("_started"), F.col(ts)) / 86400))
     rows = rows.withColumn("_days", days).groupBy(*keys)
     return rows.agg(F.round(F.avg(F.when(F.col("drawdown") > 0, F.col("drawdown"))), 6).alias("mean_drawdown"), F.count("_days").alias("recoveries"), F.round(safe(F.avg("_days")), 6).alias("mean_days"), safe(F.median("_days")).alias("median_days"))
@@ -140,8 +138,8 @@ def win_loss_report(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 def flat_metrics(curve: DataFrame, keys: list[str], periods: int = 365 * 24 * 4, ts: str = "ts", equity: str = "equity") -> DataFrame:
     """The deepest drawdown as a negative share of its peak, and the Sharpe ratio of the curve's changes."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    rows = drawdowns(curve, keys, ts, equity).withColumn("_r", F.try_divide(F.col(equity), F.nullif(F.lag(equity).over(w), F.lit(0.0))) - 1)
+    rows = running(drawdowns(curve, keys, ts, equity), keys, [ts], F.date_trunc("week", ts), _before=("lag", F.col(equity)))
+    rows = rows.withColumn("_r", F.try_divide(F.col(equity), F.nullif("_before", F.lit(0.0))) - 1)
     sharpe = safe(F.try_divide(F.avg("_r"), F.nullif(F.stddev_samp("_r"), F.lit(0.0))) * sqrt(periods))
     return rows.groupBy(*keys).agg(F.round(safe(-F.max("drawdown")), 6).alias("max_drawdown"), F.round(sharpe, 4).alias("sharpe"))
 

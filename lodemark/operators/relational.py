@@ -78,10 +78,11 @@ def insert_new(base: DataFrame, delta: DataFrame, keys: list[str], order: list[s
     return delta.join(base.select(*keys), keys, "left_anti").groupBy(*keys).agg(first.alias("_row")).select("_row.*")
 
 
-def activate_latest(df: DataFrame, keys: list[str], order: str, flag: str = "is_active") -> DataFrame:
-    """Marks the rows with the greatest ``order`` of their keys, which must be unique among them."""
-    newest = df.groupBy(*keys).agg(F.max(order).alias("_newest"))
-    return df.join(newest, keys).withColumn(flag, F.col(order) == F.col("_newest")).select(*df.columns, flag)
+def activate_latest(df: DataFrame, keys: list[str], order: str, flag: str = "is_active", tie: str | None = None) -> DataFrame:
+    """Marks the one row with the greatest ``order`` of its keys; of equal ones that with the greatest ``tie``, a column without repeats within keys and order."""
+    place = F.struct(order, *([tie] if tie else []))
+    newest = df.groupBy(*keys).agg(F.max(place).alias("_newest"))
+    return df.join(newest, keys).withColumn(flag, place == F.col("_newest")).select(*df.columns, flag)
 
 
 def retention(df: DataFrame, ts: str, as_of: Column, days: int) -> tuple[DataFrame, DataFrame]:

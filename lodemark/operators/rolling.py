@@ -103,3 +103,26 @@ def islands(df: DataFrame, flag: Column, keys: list[str], order: list[str]) -> D
     same = Window.partitionBy(*keys, "_flag").orderBy(*order)
     rows = df.withColumn("_flag", flag).withColumn("_n", F.row_number().over(all_rows)).withColumn("_run", F.col("_n") - F.row_number().over(same))
     return rows.groupBy(*keys, "_flag", "_run").agg(F.count("*").alias("length"), F.min("_n").alias("first"), F.max("_n").alias("last")).withColumnRenamed("_flag", "flag").drop("_run")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], block: Column, **wanted: tuple[str, Column]) -> DataFrame:
+    """``df`` with a column for each of ``wanted`` (kind, value): what holds for each row of its keys' series, in ``order``, found in two levels.
+
+    Kinds: ``sum`` and ``max`` up to and with the row, ``last`` (value that isn't null) up to and with it, ``max_before`` and ``lag`` before it. ``block``: a value that
+    never falls in the ``order``, such as the week. Each block is summed up in one row, a window over these carries the state from block to block, and windows
+    within blocks do the rest: no task has more of a series than a block, or the summaries of its blocks. Keys and blocks must not be null.
+    """
+    rows, at = df.withColumn("_block", block), F.struct(*order)
+    each = {"sum": F.sum, "max": F.max, "max_before": F.max, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), at)), "lag": lambda c: F.max_by(F.struct(c.alias("v")), at)}
+    blocks = rows.groupBy(*keys, "_block").agg(*(each[kind](c).alias(f"_{n}") for n, (kind, c) in wanted.items()))
+    over = Window.partitionBy(*keys).orderBy("_block")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    carry = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "max_before": lambda c: F.max(c).over(before), "last": lambda c: F.last(c, ignorenulls=True).over(before), "lag": lambda c: F.lag(c).over(over)}
+    carried = blocks.select(*keys, "_block", *(carry[kind](f"_{n}").alias(f"_{n}") for n, (kind, _) in wanted.items()))
+    own = Window.partitionBy(*keys, "_block").orderBy(*order)
+    through, until = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    within = {
+        "sum": lambda c, s: F.coalesce(F.sum(c).over(through) + s, F.sum(c).over(through), s), "max": lambda c, s: F.greatest(F.max(c).over(through), s), "max_before": lambda c, s: F.greatest(F.max(c).over(until), s),
+        "last": lambda c, s: F.coalesce(F.last(c, ignorenulls=True).over(through), s), "lag": lambda c, s: F.coalesce(F.lag(F.struct(c.alias("v"))).over(own), s)["v"],
+    }
+    return rows.join(carried, [*keys, "_block"]).select(*df.columns, *(within[kind](c, F.col(f"_{n}")).alias(n) for n, (kind, c) in wanted.items()))

@@ -145,13 +145,13 @@ def technical_features(spark, sf_dir):
 
 @query(
     f"""WITH x AS (SELECT symbol, ts, close, coalesce(close / nullif(lag(close, 1) OVER ({W}), 0) - 1, 0) AS return_1, lead(close) OVER ({W}) AS target FROM candles_1h), v AS (SELECT *, {f(20, 'stddev_samp', 'return_1')} AS vol FROM x),
-    s AS (SELECT symbol, ts, round(avg(sentiment_score), 6) AS score FROM sentiment_scores WHERE id % 4 = 0 GROUP BY 1, 2)
+    s AS (SELECT symbol, ts, round(avg(sentiment_score), 6) AS score FROM sentiment_scores GROUP BY 1, 2)
     SELECT v.symbol, v.ts, v.target, coalesce(s.score, 0.5) AS sentiment_score FROM (SELECT * FROM v WHERE vol IS NOT NULL AND target IS NOT NULL) v ASOF LEFT JOIN s ON v.symbol = s.symbol AND v.ts >= s.ts""",
     "candles_1h", "sentiment_scores",
 )
 def flat_frame_sentiment(spark, sf_dir):
     """The flat feature frame with the last sentiment before each bar; 0.5 where there is none."""
-    scores = sentiment_scores(spark, sf_dir).filter("id % 4 = 0").groupBy("symbol", "ts").agg(F.round(F.avg("sentiment_score"), 6).alias("sentiment_score"))
+    scores = sentiment_scores(spark, sf_dir).groupBy("symbol", "ts").agg(F.round(F.avg("sentiment_score"), 6).alias("sentiment_score"))
     return features.with_sentiment(features.flat_frame(candles(spark, sf_dir)), scores).select("symbol", "ts", "target", "sentiment_score")
 
 

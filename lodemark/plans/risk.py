@@ -213,9 +213,10 @@ GRID = [(i, t, s) for i, (t, s) in enumerate((t, s) for t in (0.01, 0.02, 0.05)
     b AS (SELECT s.id, s.symbol, s.ts, s.signal, s.strength, c.ts AS b_ts, c.close AS b FROM tick_signals s ASOF LEFT JOIN candles_1h c ON s.symbol = c.symbol AND s.ts >= c.ts WHERE s.signal IN ('BUY', 'SELL')),
     n AS (SELECT b.*, c.ts AS f_ts, c.close AS f FROM b ASOF LEFT JOIN candles_1h c ON b.symbol = c.symbol AND b.ts < c.ts),
     p AS (SELECT id, symbol, ts, CASE signal WHEN 'BUY' THEN 1 ELSE -1 END AS up, CASE WHEN b_ts IS NOT NULL AND (f_ts IS NULL OR ts - b_ts <= f_ts - ts) THEN b ELSE f END AS price FROM n),
-    m AS (SELECT p.*, c.ts AS then_ts, p.up * (c.close / p.price - 1) AS move FROM p LEFT JOIN candles_1h c ON c.symbol = p.symbol AND c.ts BETWEEN p.ts + INTERVAL 1 SECOND AND p.ts + INTERVAL 24 HOUR WHERE p.price > 0),
-    e AS (SELECT run_id, id, min(then_ts) FILTER (move >= take OR move <= -stop) AS hit, arg_min(move >= take, then_ts) FILTER (move >= take OR move <= -stop) AS won, max(then_ts) AS last FROM m, g GROUP BY 1, 2)
-    SELECT run_id, CASE WHEN last IS NULL THEN 'open' WHEN hit IS NULL THEN 'timeout' WHEN won THEN 'take_profit' ELSE 'stop_loss' END AS reason, count(*) AS n, CAST(sum(epoch(coalesce(hit, last))) AS BIGINT) AS seconds FROM e GROUP BY 1, 2""",
+    w AS (SELECT symbol, max(ts) AS fin FROM candles_1h GROUP BY 1),
+    m AS (SELECT p.*, w.fin >= p.ts + INTERVAL 24 HOUR AS over, c.ts AS then_ts, p.up * (c.close / p.price - 1) AS move FROM p JOIN w USING (symbol) LEFT JOIN candles_1h c ON c.symbol = p.symbol AND c.ts BETWEEN p.ts + INTERVAL 1 SECOND AND p.ts + INTERVAL 24 HOUR WHERE p.price > 0),
+    e AS (SELECT run_id, id, min(then_ts) FILTER (move >= take OR move <= -stop) AS hit, arg_min(move >= take, then_ts) FILTER (move >= take OR move <= -stop) AS won, max(then_ts) FILTER (over) AS last FROM m, g GROUP BY 1, 2)
+    SELECT run_id, CASE WHEN coalesce(hit, last) IS NULL THEN 'open' WHEN hit IS NULL THEN 'timeout' WHEN won THEN 'take_profit' ELSE 'stop_loss' END AS reason, count(*) AS n, CAST(sum(epoch(coalesce(hit, last))) AS BIGINT) AS seconds FROM e GROUP BY 1, 2""",
     "tick_signals", "candles_1h",
 )
 def backtest_exits(spark, sf_dir):
@@ -239,3 +240,12 @@ def backtest_equity(spark, sf_dir):
     """Equity of each run at the end of each day; checked with ``backtest_grid``."""
     rows = grid_flow(spark, sf_dir).groupBy("run_id", F.to_date("ts").alias("day"))
     return rows.agg(F.round(F.max_by("equity", F.struct("ts", "opens", "id")), 4).alias("equity"), F.count_if(~F.col("opens")).alias("trades"))
+
+
+@query()
+def backtest_marked(spark, sf_dir):
+    """Equity at market of each run at the end of each day; checked against a plain loop in the tests."""
+    bars = candles(spark, sf_dir).select("symbol", "ts", "close")
+    taken = backtest.positions(tick_signals(spark, sf_dir), bars, GRID)
+    marked = backtest.marked_equity(taken, backtest.cash_flow(taken), bars)
+    return marked.groupBy("run_id", F.to_date("ts").alias("day")).agg(F.round(F.max_by("equity", "ts"), 4).alias("equity"), F.round(F.max_by("marked", "ts"), 4).alias("marked"))

@@ -190,12 +190,14 @@ def peer_comparison(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT o_orderkey AS id, o_custkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), d AS (SELECT o_orderkey AS id, o_custkey AS k, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 3 = 0)
+    """WITH b AS (SELECT o_orderkey AS id, o_custkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P' AND (o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0)), d AS (SELECT o_orderkey AS id, o_custkey AS k, o_totalprice * 2 AS v FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 3 = 0)
     SELECT coalesce(d.id, b.id) AS id, coalesce(b.k, d.k) AS k, coalesce(d.v, b.v) AS v FROM b FULL JOIN d ON b.id = d.id"""
 )
 def upsert_merge(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"))
-    return rel.upsert(o.filter("id % 2 = 0"), o.filter("id % 3 = 0").withColumn("v", F.col("v") * 2), ["id"], update=["v"])
+    """Every order is in the base, in the delta, or in both: pending ones and odd multiples of three are new, other multiples of six are updated."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderstatus")
+    base, delta = o.filter("o_orderstatus <> 'P' AND (id % 3 <> 0 OR id % 2 = 0)"), o.filter("o_orderstatus = 'P' OR id % 3 = 0")
+    return rel.upsert(base.drop("o_orderstatus"), delta.drop("o_orderstatus").withColumn("v", F.col("v") * 2), ["id"], update=["v"])
 
 
 @query("SELECT CASE WHEN ts >= TIMESTAMP '2024-01-30' - INTERVAL 10 DAY THEN 'kept' ELSE 'archived' END AS part, count(*) AS n FROM ticks GROUP BY 1", "ticks")
@@ -204,9 +206,11 @@ def retention_split(spark, sf_dir):
     return kept.select(F.lit("kept").alias("part")).unionByName(old.select(F.lit("archived").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderpriority AS model, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) = 1 AS is_active FROM orders")
+@query("SELECT o_orderpriority AS model, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY date_trunc('month', o_orderdate) DESC, o_orderkey DESC) = 1 AS is_active FROM orders")
 def activate_latest(spark, sf_dir):
-    return rel.activate_latest(load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("id")), ["model"], "id")
+    """The last of each model, by month; many share the last month, and the greatest id of these is active."""
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("id"), F.date_trunc("month", "o_orderdate").alias("month"))
+    return rel.activate_latest(rows, ["model"], "month", tie="id").drop("month")
 
 
 @query("SELECT CASE WHEN side_ok THEN 'valid' ELSE 'quarantine' END AS part, count(*) AS n FROM (SELECT coalesce(signal IN ('BUY', 'SELL') AND price >= 0.5, false) AS side_ok FROM tick_signals) GROUP BY 1", "tick_signals")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodemark.operators.rolling import running
 from lodemark.operators.rollups import candles as roll_candles
 
 BUCKETS = {"15m": "15 minutes", "1h": "1 hour", "4h": "4 hours", "1d": "1 day"}
@@ -95,9 +96,8 @@ def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten thousand plus the running sum of each hour's (price - 100), in cents so that sums are exact."""
     hourly = ticks(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.sum(F.round(F.col("price") * 100).cast("long") - 10000).alias("cents"))
-    from pyspark.sql.window import Window
-
-    return hourly.select("ts", ((F.lit(100000000) + F.sum("cents").over(Window.orderBy("ts"))) / F.lit(100.0)).alias("equity"))
+    summed = running(hourly, [], ["ts"], F.date_trunc("week", "ts"), through=("sum", F.col("cents")))
+    return summed.select("ts", ((F.lit(100000000) + F.col("through")) / F.lit(100.0)).alias("equity"))
 
 
 def coin_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,8 @@ def coin_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks(spark, sf_dir).filter("symbol = 'error'").select("event_id", "ts", F.concat(F.lit("svc"), (F.col("user_id") % 4).cast("string")).alias("service_name"), F.col("price").alias("latency_ms"))
+    """Latencies of four services: every tick is a call, its price the milliseconds that it took."""
+    return ticks(spark, sf_dir).select("event_id", "ts", F.concat(F.lit("svc"), (F.col("user_id") % 4).cast("string")).alias("service_name"), F.col("price").alias("latency_ms"))
 
 
 _SYMBOLS_SQL = "['click', 'error', 'purchase', 'signup', 'view']"
@@ -144,7 +145,7 @@ SQL = {
     "equity_curve": """SELECT ts, (100000000 + sum(cents) OVER (ORDER BY ts)) / 100.0::DOUBLE AS equity
   FROM (SELECT date_trunc('hour', ts) AS ts, CAST(sum(CAST(round(price * 100) AS BIGINT) - 10000) AS BIGINT) AS cents FROM ticks GROUP BY 1)""",
     "coin_configs": "SELECT * FROM (VALUES ('click', true, 0.5::DOUBLE, 6.0::DOUBLE), ('error', true, 0.5, 6.1), ('purchase', true, 0.5, 6.2), ('signup', false, 0.5, 6.3), ('view', true, 0.5, 6.4), ('idle', true, 0.5, 6.5)) t(symbol, is_enabled, min_signal_confidence, min_signal_strength)",
-    "system_metrics": "SELECT event_id, ts, 'svc' || (user_id % 4) AS service_name, price AS latency_ms FROM ticks WHERE symbol = 'error'",
+    "system_metrics": "SELECT event_id, ts, 'svc' || (user_id % 4) AS service_name, price AS latency_ms FROM ticks",
 }
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodemark.functions import labels, models, text
 from lodemark.operators.jaccard import jaccard_classes
-from lodemark.operators.neardup import near_titled
+from lodemark.operators.neardup import keep_first, near_titled
 from lodemark.operators.rolling import with_next
 
 from .registry import query
@@ -70,6 +71,12 @@ def near_articles(spark, sf_dir):
     return near_titled(news_articles(spark, sf_dir).select("id", "title", "content"))
 
 
+@query()
+def first_articles(spark, sf_dir):
+    """Articles of which no earlier one that is kept is like them, by the same rule; checked against a plain loop in the tests."""
+    return keep_first(news_articles(spark, sf_dir).select("id", "title", "content"))
+
+
 @query()
 def minhash_lsh_dedup(spark, sf_dir):
     """Class of each document by five-word Jaccard of 0.8 or more; checked against all pairs in the tests."""
@@ -170,6 +177,19 @@ def direction_model(spark, sf_dir):
     return model.transform(frame.filter("part = 'valid'")).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy"))
 
 
+@query(
+    """WITH f AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS x, lead(close) OVER w / close - 1 AS y FROM candles_1h WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+    SELECT symbol, count(*) AS rows, 'trained' AS status, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM f WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""",
+    "candles_1h",
+)
+def models_by_symbol(spark, sf_dir):
+    """A model of the next return for each symbol, from the last one, as a table of artifacts."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    frame = candles(spark, sf_dir).select("symbol", (F.col("close") / F.lag("close").over(w) - 1).alias("x"), (F.lead("close").over(w) / F.col("close") - 1).alias("y"))
+    fitted = models.train_each(frame, "symbol", ["x"], "y", least_rows=2)
+    return fitted.select("symbol", "rows", "status", F.round(F.get("weights", F.lit(1)), 5).alias("slope"), F.round(F.get("weights", F.lit(0)), 5).alias("intercept"))
+
+
 @query("SELECT symbol, list(close ORDER BY ts) AS closes, count(*) AS n FROM candles_1d GROUP BY 1", "candles_1d")
 def sparkline_input(spark, sf_dir):
     return candles(spark, sf_dir, "1d").groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda x: x["close"]).alias("closes"), F.count("*").alias("n"))

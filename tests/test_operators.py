@@ -181,6 +181,54 @@ def test_near_classes_equal_all_pairs(spark):
     assert {r.id: r.class_id for r in neardup.near_classes(df).collect()} == {i: find(i) for i in range(len(docs))}
 
 
+def test_first_articles_stay(spark):
+    """An article stays if no earlier one that stays is like it: of a chain a-b-c, where a and c aren't alike, a and c."""
+    rng = random.Random(9)
+    texts, titles = [], []
+    for chain in range(6):
+        words, title = [f"c{chain}w{rng.randrange(5000)}" for _ in range(600)], f"title of chain number {chain} for the news"
+        for step in range(7):
+            texts.append(" ".join(words))
+            titles.append(title if (chain, step) != (5, 3) else "quite another one")
+            for _ in range(rng.choice([0, 2, 4])):
+                words[rng.randrange(600)] = f"new{rng.randrange(10**6)}"
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(titles, texts, strict=True))]
+    rng.shuffle(rows)
+    rows = [(k, t, x) for k, (_, t, x) in enumerate(rows)] + [(100, None, None), (101, "", ""), (102, rows[0][1], rows[0][2])]
+    sigs = {i: neardup.minima(x) for i, _, x in rows}
+    alike = lambda a, b: (sigs[a[0]] == sigs[b[0]]).sum() >= neardup.AGREE and neardup.titled_alike((a[1] or "").lower(), (b[1] or "").lower())
+    kept = []
+    for r in rows:
+        if not any(alike(r, k) for k in kept):
+            kept.append(r)
+    got = neardup.keep_first(spark.createDataFrame(rows, "id long, title string, content string"))
+    found = {r.id: r.kept for r in got.collect()}
+    assert {i for i, k in found.items() if k} == {r[0] for r in kept} and len(found) == len(rows)
+    classes = {r.class_id for r in neardup.near_titled(spark.createDataFrame(rows, "id long, title string, content string")).collect()}
+    assert len(classes) < len(kept)  # chains hold more than their first
+
+
+def test_models_of_symbols_are_plain_fits(spark):
+    """A symbol's model is the least squares fit of its own rows; one with too few rows has none."""
+    from lodemark.functions import models
+
+    rng = np.random.default_rng(8)
+    rows = [(s, float(a), float(b), float(2 * a - b * k + rng.normal() / 10)) for k, (s, n) in enumerate((("x", 200), ("y", 90), ("few", 5))) for a, b in rng.normal(size=(n, 2))]
+    rows.append(("x", None, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "symbol string, a double, b double, target double").repartition(4)
+    fitted = models.train_each(df, "symbol", ["a", "b"], "target", least_rows=20)
+    got = {r.symbol: r for r in fitted.collect()}
+    for s in ("x", "y"):
+        own = np.array([r[1:] for r in rows if r[0] == s and r[1] is not None])
+        design = np.column_stack((np.ones(len(own)), own[:, :2]))
+        want = np.linalg.lstsq(design, own[:, 2], rcond=None)[0]
+        assert got[s].status == "trained" and got[s].rows == len(own) and np.allclose(got[s].weights, want, atol=1e-6)
+    assert got["few"].status == "too few rows" and got["few"].weights is None
+    told = models.predict_each(df, fitted, "symbol", ["a", "b"]).collect()
+    assert len(told) == len(rows) and all((r.predicted is None) == (r.symbol == "few" or r.a is None) for r in told)
+    assert all(abs(r.predicted - np.dot(got[r.symbol].weights, (1, r.a, r.b))) < 1e-9 for r in told if r.predicted is not None)
+
+
 def test_backtest_equals_loop(spark, data):
     """All signals of all symbols in one loop over time, with shared cash."""
     from lodemark.plans.tables import candles, tick_signals
@@ -190,7 +238,7 @@ def test_backtest_equals_loop(spark, data):
     rows = tick_signals(spark, data).toPandas()
     rows = rows[rows["signal"].isin(["BUY", "SELL"])]
     for run_id, take, stop in (risk.GRID[0], risk.GRID[8]):
-        events, reasons = [], {}
+        events, reasons, bought, curve = [], {}, {}, {}
         for r in rows.itertuples(index=False):
             b = by[r.symbol]
             gap = (b["ts"] - r.ts).abs()
@@ -200,27 +248,79 @@ def test_backtest_equals_loop(spark, data):
             moves = up * (later["close"] / price - 1)
             hit = later[(moves >= take) | (moves <= -stop)]
             events.append((r.ts, True, r.id, 0.2 * min(1.0, max(0.1, r.strength / 10))))
-            out = hit.iloc[0] if len(hit) else later.iloc[-1] if len(later) else None
+            over = b["ts"].iloc[-1] >= r.ts + pd.Timedelta(hours=24)  # else it may still be hit
+            out = hit.iloc[0] if len(hit) else later.iloc[-1] if len(later) and over else None
+            bought[r.id] = r.symbol, 1 / (price * 1.0005)
             reasons[r.id] = "open" if out is None else "timeout" if not len(hit) else "take_profit" if up * (out["close"] / price - 1) >= take else "stop_loss"
             if out is not None:
                 entry, left = price * (1 + up * 0.0005), out["close"] * (1 - up * 0.0005)
                 events.append((out["ts"], False, r.id, (entry + up * (left - entry) - (entry + left) * 0.001) / (price * 1.0005)))
         cash, put, trades, wins = 10_000.0, {}, 0, 0
-        for _, opens, i, part in sorted(events):
+        for t, opens, i, part in sorted(events):
             if opens and cash > 0:
                 put[i] = cash * part
                 cash -= put[i]
             elif not opens and i in put:
                 cash, trades, wins = cash + put[i] * part, trades + 1, wins + (part > 1)
                 del put[i]
+            else:
+                continue
+            curve[t] = cash, dict(put)
         got = risk.backtest_grid(spark, data).filter(F.col("run_id") == run_id).first()
         assert (got.trades, got.wins) == (trades, wins) and abs(got.equity - cash - sum(put.values())) < 1e-3
         taken = backtest.positions(tick_signals(spark, data), candles(spark, data), [(run_id, take, stop)])
-        assert {r.id: r.reason for r in taken.collect()} == reasons
+        assert {r.id: r.reason for r in taken.collect()} == reasons and "open" in reasons.values()
+        marked = {r.ts: r for r in backtest.marked_equity(taken, backtest.cash_flow(taken), candles(spark, data)).collect()}
+        for t, (money, held) in list(curve.items())[::7] + [list(curve.items())[-1]]:
+            worth = 0.0
+            for i, amount in held.items():
+                symbol, units = bought[i]
+                seen = by[symbol][by[symbol]["ts"] <= t]["close"]
+                worth += amount * units * seen.iloc[-1] if len(seen) else 0.0
+            assert abs(marked[t].marked - worth) < 1e-5 and abs(marked[t].equity - money - worth) < 1e-5
+        assert len(marked) > len(curve)  # prices move between events as well
     days = risk.backtest_equity(spark, data).toPandas()
     assert days.groupby("run_id")["trades"].sum().to_dict() == {r.run_id: r.trades for r in risk.backtest_grid(spark, data).collect()}
 
 
+def test_positions_near_the_end_stay_open(spark, data):
+    from lodemark.plans.tables import candles, tick_signals
+
+    bars = candles(spark, data)
+    ends = {r.symbol: r.end for r in bars.groupBy("symbol").agg(F.max("ts").alias("end")).collect()}
+    rows = backtest.positions(tick_signals(spark, data), bars, [(0, 1e9, 1e9)]).collect()  # nothing hits
+    over = [r.entry_time + dt.timedelta(hours=24) <= ends[r.symbol] for r in rows]
+    assert 0 < sum(over) < len(rows)
+    assert all((r.reason, r.exit_time is None) == (("timeout", False) if o else ("open", True)) for r, o in zip(rows, over, strict=True))
+
+
+@pytest.mark.parametrize("unit", ["hour", "day", "year"])
+def test_running_equals_windows(spark, unit):
+    """A series of 200 days with gaps, nulls and equal values, in blocks of any size, against windows over all of it."""
+    import random
+
+    from pyspark.sql.window import Window
+
+    from lodemark.operators.rolling import running
+
+    rng = random.Random(4)
+    start = pd.Timestamp("2024-01-01")
+    rows = [(k, (start + pd.Timedelta(hours=h)).to_pydatetime(), rng.choice([None, *range(-9, 9)])) for k in ("a", "b") for h in sorted(rng.sample(range(4800), 150))]
+    df = spark.createDataFrame([*rows, ("c", start.to_pydatetime(), None)], "k string, ts timestamp_ntz, x int")
+    v = F.col("x")
+    w = Window.partitionBy("k").orderBy("ts")
+    through, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("k", "ts", "x", F.sum(v).over(through).alias("a"), F.max(v).over(through).alias("b"), F.max(v).over(before).alias("c"), F.last(v, ignorenulls=True).over(through).alias("d"), F.lag(v).over(w).alias("e"))
+    got = running(df, ["k"], ["ts"], F.date_trunc(unit, "ts"), a=("sum", v), b=("max", v), c=("max_before", v), d=("last", v), e=("lag", v))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns
+
+
+def test_the_latest_of_equal_ones_is_one(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 2, 5), ("b", 1, 1), ("b", 1, 0)], "k string, n int, id int")
+    got = relational.activate_latest(df, ["k"], "n", tie="id").filter("is_active").collect()
+    assert {(r.k, r.n, r.id) for r in got} == {("a", 2, 5), ("b", 1, 1)}
+
+
 def test_urls_equal_urllib(spark, data):
     from urllib.parse import urlsplit
 

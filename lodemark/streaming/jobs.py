@@ -103,6 +103,93 @@ def cooldown_stream(signals: DataFrame, seconds: int) -> DataFrame:
     return signals.groupBy("symbol").transformWithStateInPandas(Cooldown(seconds), "symbol string, id long", "Append", "None")
 
 
+class PriceCache(StatefulProcessor):
+    """The last price of a key, which is gone ``seconds`` after its last tick came in: a timer takes it away and says so."""
+
+    def __init__(self, seconds: float):
+        self.millis = int(seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.price = handle, handle.getValueState("price", "us long, price double")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        best = self.price.get() if self.price.exists() else None
+        for frame in rows:
+            times = frame["ts"].astype("datetime64[us]").astype("int64")
+            for us, price in zip(times.tolist(), frame["price"].tolist(), strict=True):
+                if best is None or us >= best[0]:
+                    best = (us, price)
+        self.price.update((best[0], best[1]))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.millis)
+        yield pd.DataFrame({"symbol": [key[0]], "price": [best[1]], "live": [True]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        price = self.price.get()[1] if self.price.exists() else None
+        self.price.clear()
+        yield pd.DataFrame({"symbol": [key[0]], "price": [price], "live": [False]})
+
+    def close(self) -> None:
+        pass
+
+
+def price_cache_stream(ticks: DataFrame, seconds: float = 30) -> DataFrame:
+    """symbol, price, live of a stream (symbol, ts, price): a row for each key with new ticks, and one that isn't live when its time is over. Needs the RocksDB state store."""
+    return ticks.groupBy("symbol").transformWithStateInPandas(PriceCache(seconds), "symbol string, price double, live boolean", "Append", "ProcessingTime")
+
+
+class Flush(StatefulProcessor):
+    """Gathers ids of a key in a list and lets them go as a batch at ``most`` of them, or ``seconds`` after the first of them came in."""
+
+    def __init__(self, most: int, seconds: float):
+        self.most, self.millis = most, int(seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held, self.number = handle.getListState("held", "id long"), handle.getValueState("number", "n long")
+
+    def _out(self, key, batches: list[list[int]]) -> pd.DataFrame:
+        first = self.number.get()[0] if self.number.exists() else 0
+        self.number.update((first + len(batches),))
+        rows = [(key[0], first + k, i) for k, ids in enumerate(batches) for i in ids]
+        return pd.DataFrame(rows, columns=["symbol", "batch", "id"])
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        held, had = [r[0] for r in self.held.get()] if self.held.exists() else [], False
+        had = bool(held)
+        for frame in rows:
+            held += frame["id"].tolist()
+            full = len(held) // self.most
+            if full:
+                yield self._out(key, [held[k * self.most : (k + 1) * self.most] for k in range(full)])
+                held, had = held[full * self.most :], False
+        timers = list(self.handle.listTimers())
+        if not had:  # the first of those held is new
+            for old in timers:
+                self.handle.deleteTimer(old)
+            if held:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.millis)
+        if held:
+            self.held.put([(int(i),) for i in held])
+        else:
+            self.held.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        held = [r[0] for r in self.held.get()] if self.held.exists() else []
+        self.held.clear()
+        if held:
+            yield self._out(key, [held])
+
+    def close(self) -> None:
+        pass
+
+
+def flush_stream(rows: DataFrame, most: int = 10, seconds: float = 5) -> DataFrame:
+    """symbol, batch (numbered from 0 by key), id of a stream (symbol, id). What is held is state, so a restart from the checkpoint loses and repeats nothing. Needs the RocksDB state store."""
+    return rows.groupBy("symbol").transformWithStateInPandas(Flush(most, seconds), "symbol string, batch long, id long", "Append", "ProcessingTime")
+
+
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
     """Runs ``write`` (an idempotent upsert, an aggregate, a callback) on each micro-batch."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -81,3 +81,63 @@ def test_changed_keys(spark):
     now = spark.createDataFrame([("A", t), ("B", t), ("C", t)], "symbol string, ts timestamp")
     seen = spark.createDataFrame([("A", t), ("B", t - dt.timedelta(1))], "symbol string, ts timestamp")
     assert {r.symbol for r in jobs.changed_keys(now, seen).collect()} == {"B", "C"}
+
+
+def until(query, done, seconds=60):
+    """Waits until ``done`` holds, then stops the query in whatever it is doing."""
+    import time
+
+    try:
+        end = time.time() + seconds
+        while not done() and time.time() < end:
+            assert query.exception() is None, query.exception()
+            time.sleep(0.3)
+    finally:
+        query.stop()
+    assert done()
+
+
+def start(df, folder, name):
+    return df.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-checkpoint").outputMode("append").trigger(processingTime="200 milliseconds").start()
+
+
+def written(spark, folder, name, schema):
+    import glob
+
+    return [tuple(r) for r in spark.read.schema(schema).parquet(f"{folder}/{name}").collect()] if glob.glob(f"{folder}/{name}/_spark_metadata/*") else []
+
+
+def test_a_price_is_gone_after_its_time(spark, tmp_path):
+    """The query is stopped while a price is live; the timer outlives it and takes the price away after the restart."""
+    schema, out = "symbol string, ts timestamp, price double", "symbol string, price double, live boolean"
+    ticks = lambda *rows: spark.createDataFrame(rows, "symbol string, t long, price double").select("symbol", F.timestamp_seconds("t").alias("ts"), "price").coalesce(1)
+    ticks(("x", 5, 1.0), ("x", 9, 2.0), ("x", 7, 3.0), ("y", 1, 7.0)).write.parquet(f"{tmp_path}/in")
+    live = lambda: jobs.price_cache_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 6)
+    rows = lambda: sorted(written(spark, tmp_path, "cache", out))
+    until(start(live(), tmp_path, "cache"), lambda: len(rows()) >= 2)
+    assert rows() == [("x", 2.0, True), ("y", 7.0, True)]
+    state = spark.read.format("statestore").option("stateVarName", "price").load(f"{tmp_path}/cache-checkpoint").selectExpr("key.symbol", "value.price").collect()
+    assert sorted(map(tuple, state)) == [("x", 2.0), ("y", 7.0)]
+    until(start(live(), tmp_path, "cache"), lambda: len(rows()) >= 4)
+    assert rows() == [("x", 2.0, False), ("x", 2.0, True), ("y", 7.0, False), ("y", 7.0, True)]
+
+
+def test_batches_leave_by_count_or_time_across_a_restart(spark, tmp_path):
+    """23 rows, of which 7 come before a stop: whole batches leave by count, the rest by time, each row once and in batches that a run without a stop has too."""
+    schema, out = "symbol string, id long", "symbol string, batch long, id long"
+    put = lambda ids, mode: spark.createDataFrame([("x", i) for i in ids], schema).coalesce(1).write.mode(mode).parquet(f"{tmp_path}/in")
+    live = lambda: jobs.flush_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), 10, 12)
+    rows = lambda name: sorted(written(spark, tmp_path, name, out))
+    put(range(7), "overwrite")
+    query = start(live(), tmp_path, "flush")
+    until(query, lambda: any(p["numInputRows"] for p in query.recentProgress))
+    assert rows("flush") == []  # all seven are held
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/flush-checkpoint").selectExpr("list_element.id").collect()
+    assert sorted(r.id for r in held) == list(range(7))
+    put(range(7, 23), "append")
+    until(start(live(), tmp_path, "flush"), lambda: len(rows("flush")) >= 23)
+    until(start(live(), tmp_path, "whole"), lambda: len(rows("whole")) >= 23)
+    for name in ("flush", "whole"):
+        got = rows(name)
+        assert sorted(i for _, _, i in got) == list(range(23))
+        assert [sum(b == k for _, b, _ in got) for k in range(3)] == [10, 10, 3]

@@ -205,6 +205,12 @@ def flat_backtest(spark, sf_dir):
     return backtest.flat_backtest(candles(spark, sf_dir).select("symbol", "ts", "close"), signals, ["symbol"])
 
 
+@query()
+def bootstrap_interval(spark, sf_dir):
+    """Interval of each side's mean return from 100 replicates; checked against a plain bootstrap and another partitioning in the tests."""
+    return metrics.bootstrap(trades(spark, sf_dir), ["side"], "id", replicates=100)
+
+
 GRID = [(i, t, s) for i, (t, s) in enumerate((t, s) for t in (0.01, 0.02, 0.05) for s in (0.01, 0.015, 0.03))]
 
 

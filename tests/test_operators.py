@@ -315,6 +315,19 @@ def test_running_equals_windows(spark, unit):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns
 
 
+def test_bootstrap_of_a_mean(spark):
+    """The same in any partitioning, as wide as theory says, and one value where all rows are equal."""
+    rng = np.random.default_rng(2)
+    rows = [("a", i, float(v)) for i, v in enumerate(rng.normal(0.01, 0.05, 2000))] + [("b", 5000 + i, 0.5) for i in range(50)] + [("b", 9999, None)]
+    df = spark.createDataFrame(rows, "side string, id long, pnl_pct double")
+    got = {r.side: r for r in metrics.bootstrap(df, ["side"], "id", replicates=300).collect()}
+    again = {r.side: r for r in metrics.bootstrap(df.repartition(7), ["side"], "id", replicates=300).collect()}
+    assert got == again and got["a"].replicates == 300
+    values = np.array([v for s, _, v in rows if s == "a"])
+    assert abs((got["a"].high - got["a"].low) / (2 * 1.96 * values.std() / np.sqrt(2000)) - 1) < 0.2 and got["a"].low < values.mean() < got["a"].high
+    assert got["b"].low == got["b"].high == got["b"].mean == 0.5
+
+
 def test_the_latest_of_equal_ones_is_one(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 2, 5), ("b", 1, 1), ("b", 1, 0)], "k string, n int, id int")
     got = relational.activate_latest(df, ["k"], "n", tie="id").filter("is_active").collect()

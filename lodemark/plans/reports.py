@@ -190,14 +190,17 @@ def risk_warnings(spark, sf_dir):
 
 @query(
     """WITH b AS (SELECT t.event_id, t.symbol, t.ts, t.size * 2000 AS amount, c.ts AS b_ts, c.close AS b FROM ticks t ASOF LEFT JOIN candles_1d c ON t.symbol = c.symbol AND t.ts >= c.ts), n AS (SELECT b.*, c.ts AS f_ts, c.close AS f FROM b ASOF LEFT JOIN candles_1d c ON b.symbol = c.symbol AND b.ts < c.ts),
-    p AS (SELECT event_id, round(amount * CASE WHEN b_ts IS NOT NULL AND (f_ts IS NULL OR ts - b_ts <= f_ts - ts) THEN b ELSE f END, 2) AS amount_usd FROM n) SELECT event_id, amount_usd, amount_usd >= 1000000 AS is_whale FROM p""",
+    p AS (SELECT event_id, round(amount * coalesce(d.close, CASE WHEN b_ts IS NOT NULL AND (f_ts IS NULL OR n.ts - b_ts <= f_ts - n.ts) THEN b ELSE f END, 0), 2) AS amount_usd
+      FROM n LEFT JOIN candles_1d d ON d.symbol = n.symbol AND d.ts = date_trunc('day', n.ts)) SELECT event_id, amount_usd, amount_usd >= 1000000 AS is_whale FROM p""",
     "ticks", "candles_1d",
 )
 def whale_transfers(spark, sf_dir):
-    """Transfers in dollars at the nearest day's close; whales move a million or more."""
+    """Transfers in dollars at the close of their day, else at the nearest day's, 0 without any; whales move a million or more."""
+    days = candles(spark, sf_dir, "1d").select("symbol", "ts", "close")
     rows = ticks(spark, sf_dir).select("event_id", "symbol", "ts", (F.col("size") * 2000).alias("amount"))
-    rows = nearest_join(rows, candles(spark, sf_dir, "1d").select("symbol", "ts", "close"), ["symbol"], bin_seconds=30 * 86400)
-    usd = F.round(F.col("amount") * F.col("r_close"), 2)
+    rows = nearest_join(rows, days, ["symbol"], bin_seconds=30 * 86400).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    rows = rows.join(days.select("symbol", F.col("ts").alias("day"), F.col("close").alias("own")), ["symbol", "day"], "left")
+    usd = F.round(F.col("amount") * F.coalesce("own", "r_close", F.lit(0.0)), 2)
     return rows.select("event_id", usd.alias("amount_usd"), (usd >= 1_000_000).alias("is_whale"))
 
 

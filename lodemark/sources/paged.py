@@ -8,7 +8,9 @@ page that is empty, short or doesn't advance ends a partition.
 from __future__ import annotations
 
 import importlib
-from collections.abc import Iterator
+import json
+import time
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,25 @@ class KlineReader(DataSourceReader):
             cursor = page[-1][0] + 1
 
 
+class Refused(Exception):
+    """What a fetch raises when it is told to come back later; ``after``: seconds, if it was told."""
+
+    def __init__(self, after: float | None = None):
+        super().__init__(after)
+        self.after = after
+
+
+def with_backoff(call: Callable, tries: int = 4, wait: float = 1.0, most: float = 60.0, sleep: Callable = time.sleep):
+    """What ``call`` returns; after a refusal it is tried again, with waits that double from ``wait`` to ``most`` seconds or are as long as told. None after ``tries`` refusals."""
+    for k in range(tries):
+        try:
+            return call()
+        except Refused as told:
+            if k + 1 < tries:
+                sleep(min(most, wait * 2**k if told.after is None else told.after))
+    return None
+
+
 class Query(InputPartition):
     def __init__(self, query: str, requests: int):
         self.query, self.requests = query, requests
@@ -53,7 +74,7 @@ class ArticleReader(DataSourceReader):
         self.o = dict(options)
 
     def partitions(self) -> list[Query]:
-        queries = [q for q in self.o["queries"].split(",") if q]
+        queries = [q for q in json.loads(self.o["queries"]) if q]
         quota = int(self.o.get("quota", 2000))
         return [Query(q, quota // len(queries) + (i < quota % len(queries))) for i, q in enumerate(queries)]
 
@@ -61,7 +82,10 @@ class ArticleReader(DataSourceReader):
         module, name = self.o["fetch"].split(":")
         fetch, most, token, seen = getattr(importlib.import_module(module), name), int(self.o.get("limit", 100)), None, {None}
         for _ in range(partition.requests):
-            rows, token = fetch(partition.query, token)
+            page = with_backoff(lambda: fetch(partition.query, token), int(self.o.get("tries", 4)), float(self.o.get("wait", 1.0)))  # noqa: B023
+            if page is None:  # refused for good: what has been read stays
+                return
+            rows, token = page
             for url, title, published in rows[:most]:
                 if url and title:
                     yield partition.query, url, title, published
@@ -72,7 +96,8 @@ class ArticleReader(DataSourceReader):
 
 class Articles(DataSource):
     """Search results of many queries: one partition for each, which follows page tokens (or the addresses of next pages) while its share of the ``quota`` of
-    requests lasts. ``fetch`` names a function (query, token) that returns rows of (url, title, published) and the next token, None at the end."""
+    requests lasts. ``fetch`` names a function (query, token) that returns rows of (url, title, published) and the next token, None at the end, or raises
+    ``Refused``: it is then tried again up to ``tries`` times with waits that double from ``wait`` seconds; a query that is refused for good ends with what it has."""
 
     @classmethod
     def name(cls) -> str:
@@ -102,7 +127,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Articles)
 
 
-def articles(spark: SparkSession, queries: list[str], fetch: str, quota: int = 2000, limit: int = 100) -> DataFrame:
+def articles(spark: SparkSession, queries: list[str], fetch: str, quota: int = 2000, limit: int = 100, tries: int = 4, wait: float = 1.0) -> DataFrame:
     """Each address once, with the first of the queries (by name) that found it."""
-    rows = spark.read.format("articles").option("queries", ",".join(queries)).option("fetch", fetch).option("quota", str(quota)).option("limit", str(limit)).load()
+    rows = spark.read.format("articles").option("queries", json.dumps(queries)).option("fetch", fetch).option("quota", str(quota)).option("limit", str(limit)).option("tries", str(tries)).option("wait", str(wait)).load()
     return rows.groupBy("url").agg(F.min_by(F.struct("query", "title", "published"), F.struct("query", "title")).alias("r")).select("url", "r.*")

@@ -36,3 +36,16 @@ def hourly_pages(symbol: str, interval: str, start: int, end: int, limit: int) -
     """A page of flat hourly candles, as an exchange would give it: a stand-in for ``fetch`` of the klines source."""
     hour = 3_600_000
     return [[t, "1", "2", "0.5", "1.5", "10"] for t in range(-(-start // hour) * hour, end + 1, hour)][:limit]
+
+
+_refusals: dict[tuple, int] = {}
+
+
+def refusing_pages(query: str, token: str | None) -> tuple[list, str | None]:
+    """``article_pages`` behind an interface that refuses each page twice, and a query that starts with "never" always."""
+    from .paged import Refused
+
+    _refusals[query, token] = _refusals.get((query, token), 0) + 1
+    if query.startswith("never") or _refusals[query, token] % 3:
+        raise Refused(0.01)
+    return article_pages(query, token)

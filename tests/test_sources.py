@@ -36,6 +36,21 @@ def test_articles(spark):
     assert few == {"http://a/0", "http://a/1", "http://b/0", "http://all/x"}
 
 
+def test_articles_behind_refusals(spark):
+    """Each page is refused twice and read all the same; a query that is always refused ends, and a comma is part of a query."""
+    paged.register(spark)
+    pages = "lodemark.sources.synthetic:refusing_pages"
+    got = {r.url: r.query for r in paged.articles(spark, ["a, b", "never"], pages, wait=0.01).collect()}
+    assert set(got) == {"http://a, b/0", "http://a, b/1", "http://a, b/2", "http://all/x"} and set(got.values()) == {"a, b"}
+    assert paged.articles(spark, ["never 2"], pages, tries=3, wait=0.01).count() == 0
+    waits = []
+
+    def refuse():
+        raise paged.Refused
+
+    assert paged.with_backoff(refuse, 6, 1.0, 5.0, waits.append) is None and waits == [1.0, 2.0, 4.0, 5.0, 5.0]
+
+
 def test_walk_and_posts(spark):
     rows = [(h, ["t"] * (h % 4)) for h in range(500, 3200, 7)]
     blocks = spark.createDataFrame(rows, "height int, tx array<string>")

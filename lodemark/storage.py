@@ -20,17 +20,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: What this driver has written and not removed.
+_written: list[str] = []
+
+
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_as = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that ``save`` wrote and that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_as)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(df.sparkSession, df.saved_as)
+    if df.saved_as in _written:
+        _written.remove(df.saved_as)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Removes all tables that this driver has saved, for the end of a job whose results have been read or written elsewhere; returns their number."""
+    n = len(_written)
+    while _written:
+        _remove(spark, _written.pop())
+    return n

@@ -398,3 +398,15 @@ def test_text_functions(spark):
     assert one(text.next_page(v), "http://a/b?page=9&x=1#t") == "http://a/b?page=10&x=1"
     assert one(text.sparkline(F.array(*map(F.lit, (1.0, 4.0, 7.0))))) == "▁▄▇"
     assert one(text.coin(text.pair(v)), " btc ") == "BTC"
+
+
+def test_cleanup_removes_what_was_saved(spark):
+    import os
+
+    from lodemark import storage
+
+    a, b = storage.save(spark.range(5), "a"), storage.save(spark.range(6), "b")
+    paths = [x.saved_as.removeprefix("file://") for x in (a, b)]
+    storage.discard(a)
+    assert [os.path.exists(p) for p in paths] == [False, True] and b.count() == 6
+    assert storage.cleanup(spark) >= 1 and not os.path.exists(paths[1]) and storage.cleanup(spark) == 0

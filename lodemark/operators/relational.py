@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 
@@ -95,3 +96,8 @@ def valid(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that keep a rule, and the others, for which it is false or null."""
     ok = F.coalesce(rule, F.lit(False))
     return df.filter(ok), df.filter(~ok)
+
+
+def numeric_columns(df: DataFrame, excluded: set[str] = frozenset()) -> list[str]:
+    """Names of the numeric columns in their order, without the target and others that a model mustn't see."""
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in excluded]

@@ -9,8 +9,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodemark.functions import models
+from lodemark.operators import commits
 from lodemark.operators import relational as rel
-from lodemark.storage import shared_dir
+from lodemark.operators.crawl import crawl
+from lodemark.storage import folder, shared_dir
 from lodemark.streaming import jobs
 
 from .registry import query
@@ -256,3 +258,59 @@ def indicator_rows(spark, sf_dir):
     w = over("symbol")
     rows = candles(spark, sf_dir).select("symbol", "ts", F.round(full(w, 25, F.avg, F.col("close")), 6).alias("sma_20"), F.create_map(F.lit("volume"), F.col("volume").cast("string")).alias("metadata"))
     return rows.select("symbol", "ts", "sma_20", (F.size(F.map_filter("metadata", lambda k, v: v.isNotNull())) == 0).alias("no_extra"))
+
+
+@query(
+    """WITH RECURSIVE h AS (SELECT regexp_extract_all(html, '<a href="([^"]*)"', 1) AS u FROM pages), l AS (SELECT DISTINCT u[1] AS src, unnest(u[2:]) AS dst FROM h),
+    f AS (SELECT DISTINCT src AS url, 0 AS depth FROM l WHERE src NOT IN (SELECT dst FROM l) UNION SELECT l.dst, f.depth + 1 FROM f JOIN l ON l.src = f.url WHERE f.depth < 4) SELECT url, min(depth) AS depth FROM f GROUP BY 1""",
+)
+def menu_crawl(spark, sf_dir):
+    """How many clicks each menu entry is away from those that no menu has: a menu's first entry is where the menu stands, and leads to the others."""
+    menus = load(spark, sf_dir, "pages").select(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("u"))
+    links = menus.select(F.get("u", F.lit(0)).alias("src"), F.explode(F.slice("u", 2, 2**31 - 1)).alias("dst")).distinct()
+    roots = links.select(F.col("src").alias("url")).join(links.select(F.col("dst").alias("url")), "url", "left_anti")
+    return crawl(links, roots, 4)
+
+
+@query(
+    """SELECT CASE WHEN ts < TIMESTAMP '1998-01-01' THEN 'archived' ELSE 'kept' END AS part, id, symbol, signal, CASE WHEN ts < TIMESTAMP '1998-01-01' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS archived_ts,
+    CASE WHEN ts < TIMESTAMP '1998-01-01' THEN risk_level END AS risk_level, round(confidence, 6) AS confidence FROM trading_signals""",
+    "trading_signals",
+)
+def archived_signals(spark, sf_dir):
+    """Old signals leave their table and go to an archive as records, in one commit; both tables as readers see them afterwards."""
+    root = folder(spark, "signals")
+    commits.commit(spark, root, replace={"signals": trading_signals(spark, sf_dir)})
+    record = F.struct(
+        F.col("id").alias("signal_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "symbol", "signal", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce(F.from_json("metadata", "map<string, string>"), F.create_map().cast("map<string, string>")).alias("metadata"),
+    )
+    commits.archive(spark, root, "signals", "archive", F.col("ts") < F.lit("1998-01-01").cast("timestamp_ntz"), record)
+    kept = commits.read(spark, root, "signals").select(F.lit("kept").alias("part"), "id", "symbol", "signal", F.lit(None).cast("string").alias("archived_ts"), F.lit(None).cast("string").alias("risk_level"), "confidence")
+    old = commits.read(spark, root, "archive").select("record.*").select(F.lit("archived").alias("part"), F.col("signal_id").alias("id"), "symbol", "signal", F.col("ts").alias("archived_ts"), F.col("metadata")["risk_level"].alias("risk_level"), "confidence")
+    return old.unionByName(kept).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    """SELECT id, closed_at IS NOT NULL AS has_outcome, CASE WHEN closed_at IS NOT NULL THEN symbol END AS outcome_symbol, strftime(closed_at, '%Y-%m-%d %H:%M:%S') AS closed_at,
+    CASE WHEN closed_at IS NOT NULL THEN pnl_pct END AS pnl_pct, CAST(NULL AS DOUBLE) AS close_price FROM trading_signals""",
+    "trading_signals",
+)
+def signal_outcomes(spark, sf_dir):
+    """Signals with the nested outcome of those that were executed or closed."""
+    from lodemark.functions.features import signal_outcome
+
+    rows = trading_signals(spark, sf_dir).select("id", signal_outcome(F.col("id"), F.col("symbol"), F.col("signal"), F.col("metadata")).alias("outcome"))
+    return rows.select("id", F.col("outcome").isNotNull().alias("has_outcome"), F.col("outcome.symbol").alias("outcome_symbol"), "outcome.closed_at", "outcome.pnl_pct", "outcome.close_price")
+
+
+@query(
+    """WITH m AS (SELECT round(avg(open), 6) AS open, round(avg(high), 6) AS high, round(avg(low), 6) AS low, round(avg(volume), 6) AS volume, round(avg(trade_count), 6) AS trade_count FROM candles_1h) UNPIVOT m ON * INTO NAME name VALUE mean""",
+    "candles_1h",
+)
+def numeric_features(spark, sf_dir):
+    """Means of the numeric columns, found from the schema, without the target, the close."""
+    bars = candles(spark, sf_dir)
+    names = rel.numeric_columns(bars, {"close"})
+    means = bars.agg(*(F.round(F.avg(c), 6).alias(c) for c in names))
+    return means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("mean")) for c in names))).alias("m")).select("m.*")

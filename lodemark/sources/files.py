@@ -20,3 +20,10 @@ def non_negative_ticks(rows: DataFrame, columns: tuple[str, ...] = ("open", "hig
     """Rows whose values all parse and are not negative."""
     values = [F.col(c).try_cast("double") for c in columns]
     return rows.withColumns(dict(zip(columns, values, strict=True))).dropna(subset=list(columns)).filter(F.least(*(F.col(c) for c in columns)) >= 0)
+
+
+def require(spark: SparkSession, *tables: str) -> None:
+    """Raises an error that names the tables and views that a job needs and the catalog doesn't have."""
+    lacking = [t for t in tables if not spark.catalog.tableExists(t)]
+    if lacking:
+        raise LookupError(f"no table {', '.join(lacking)}")

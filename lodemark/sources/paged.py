@@ -110,6 +110,49 @@ class Articles(DataSource):
         return ArticleReader(self.options)
 
 
+class Chain(InputPartition):
+    def __init__(self, chain: str, height: int):
+        self.chain, self.height = chain, height
+
+
+class BlockReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.o = dict(options)
+
+    def partitions(self) -> list[Chain]:
+        return [Chain(c, int(h)) for c, h in json.loads(self.o["heights"]).items()]
+
+    def read(self, partition: Chain) -> Iterator[tuple]:
+        module, name = self.o["fetch"].split(":")
+        fetch, since = getattr(importlib.import_module(module), name), datetime.fromisoformat(self.o["since"])
+        blocks, left, height = int(self.o.get("blocks", 1000)), int(self.o.get("transactions", 100_000)), partition.height
+        while height > 0 and blocks > 0 and left > 0:
+            block = with_backoff(lambda: fetch(partition.chain, height, left), int(self.o.get("tries", 4)), float(self.o.get("wait", 1.0)))  # noqa: B023
+            if block is None or (block["time"] is not None and block["time"] < since):  # refused for good, or older than asked for
+                return
+            tx = [(t["hash"], t["total"], [(i,) for i in t["inputs"]], [(o,) for o in t["outputs"]]) for t in block["tx"][:left]]
+            yield partition.chain, height, block["time"], tx
+            blocks, left, height = blocks - 1, left - len(tx), height - 1
+
+
+class Blocks(DataSource):
+    """Blocks of chains, one partition each, from a height downwards until a block is older than ``since``, or ``blocks`` blocks or ``transactions``
+    transactions have been read; the last block is cut to what is left of these. ``fetch`` names a function (chain, height, most) that returns a dict of
+    time and tx (dicts of hash, total, and lists of addresses for each of inputs and outputs), or raises ``Refused``, as for articles. A walk follows one
+    chain's heights, so chains are its parallelism."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "blocks"
+
+    def schema(self) -> str:
+        side = "array<struct<addresses array<string>>>"
+        return f"chain string, height long, time timestamp, tx array<struct<hash string, total double, inputs {side}, outputs {side}>>"
+
+    def reader(self, schema) -> BlockReader:
+        return BlockReader(self.options)
+
+
 class Klines(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -125,6 +168,18 @@ class Klines(DataSource):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Klines)
     spark.dataSource.register(Articles)
+    spark.dataSource.register(Blocks)
+
+
+def blocks(spark: SparkSession, heights: dict[str, int], fetch: str, since: datetime, **options: int | float) -> DataFrame:
+    """Rows of the blocks source, for ``nested.chain_transactions``; ``heights``: of each chain, the first to read."""
+    reader = spark.read.format("blocks").option("heights", json.dumps(heights)).option("fetch", fetch).option("since", since.isoformat())
+    return reader.options(**{k: str(v) for k, v in options.items()}).load()
+
+
+def next_heights(read: DataFrame) -> dict[str, int]:
+    """Where a walk goes on after the blocks read: below the lowest of each chain (a row for each chain reaches the driver)."""
+    return {r.chain: r.height - 1 for r in read.groupBy("chain").agg(F.min("height").alias("height")).collect()}
 
 
 def articles(spark: SparkSession, queries: list[str], fetch: str, quota: int = 2000, limit: int = 100, tries: int = 4, wait: float = 1.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,3 +51,15 @@ def refusing_pages(query: str, token: str | None) -> tuple[list, str | None]:
     if query.startswith("never") or _refusals[query, token] % 3:
         raise Refused(0.01)
     return article_pages(query, token)
+
+
+def chain_blocks(chain: str, height: int, most: int) -> dict:
+    """Blocks ten minutes apart with ``height`` modulo 4 transactions; block 93 is refused twice: a stand-in for ``fetch`` of the blocks source."""
+    from .paged import Refused
+
+    if height == 93:
+        _refusals[chain, height] = _refusals.get((chain, height), 0) + 1
+        if _refusals[chain, height] % 3:
+            raise Refused(0.01)
+    tx = [{"hash": f"{chain}{height}-{k}", "total": 2e8 * (k + 1), "inputs": [["a", "b"]], "outputs": [[]]} for k in range(height % 4)]
+    return {"time": datetime(2024, 1, 1, tzinfo=UTC) + timedelta(minutes=10 * height), "tx": tx[:most]}

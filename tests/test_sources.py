@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodemark.operators import sinks
@@ -65,6 +66,34 @@ def test_walk_and_posts(spark):
     assert [(r.subreddit, r.post_id) for r in got] == [("a", "p2"), ("a", "p4"), ("b", "p8"), ("b", "p3")]
 
 
+def test_blocks(spark):
+    """A walk stops at its time bound, its transactions or its blocks, goes on below the lowest block, and reads past refusals."""
+    paged.register(spark)
+    fetch, t0 = "lodemark.sources.synthetic:chain_blocks", dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    since = t0 + dt.timedelta(minutes=900)
+    whole = paged.blocks(spark, {"btc": 100, "ltc": 2}, fetch, since - dt.timedelta(days=9), wait=0.01).collect()
+    assert {r.height for r in whole if r.chain == "btc"} == set(range(1, 101)) and [r.height for r in whole if r.chain == "ltc"] == [2, 1]
+    assert {r.height for r in paged.blocks(spark, {"btc": 100}, fetch, since, wait=0.01).collect()} == set(range(90, 101))
+    cut = paged.blocks(spark, {"btc": 100}, fetch, since, wait=0.01, transactions=8).collect()
+    assert [(r.height, len(r.tx)) for r in cut] == [(100, 0), (99, 3), (98, 2), (97, 1), (96, 0), (95, 2)]
+    first = paged.blocks(spark, {"btc": 100, "ltc": 95}, fetch, since, wait=0.01, blocks=4)
+    assert first.count() == 8
+    on = paged.next_heights(first)
+    assert on == {"btc": 96, "ltc": 91}
+    rest = paged.blocks(spark, on, fetch, since, wait=0.01)
+    both = first.unionByName(rest)
+    assert both.filter("chain = 'btc'").count() == 11 and both.select("chain", "height").distinct().count() == both.count()
+    sums = nested.chain_transactions(both.filter("chain = 'btc'"), 1e8, 40_000.0).collect()
+    assert len(sums) == sum(h % 4 for h in range(90, 101)) and {r.to_address for r in sums} == {"unknown"} and {r.from_address for r in sums} == {"a"}
+
+
+def test_require(spark):
+    spark.range(1).createOrReplaceTempView("here")
+    files.require(spark, "here")
+    with pytest.raises(LookupError, match="nowhere, gone"):
+        files.require(spark, "here", "nowhere", "gone")
+
+
 def test_long_literal(spark, tmp_path):
     p = tmp_path / "l.sql"
     p.write_text("(1,'" + "it\'\'s, " * 200_000 + "',NULL,'a\'\'b','')")

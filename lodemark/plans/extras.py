@@ -274,7 +274,7 @@ def menu_crawl(spark, sf_dir):
 
 @query(
     """SELECT CASE WHEN ts < TIMESTAMP '1998-01-01' THEN 'archived' ELSE 'kept' END AS part, id, symbol, signal, CASE WHEN ts < TIMESTAMP '1998-01-01' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS archived_ts,
-    CASE WHEN ts < TIMESTAMP '1998-01-01' THEN risk_level END AS risk_level, round(confidence, 6) AS confidence FROM trading_signals""",
+    CASE WHEN ts < TIMESTAMP '1998-01-01' THEN risk_level END AS risk_level, round(confidence, 9) AS confidence FROM trading_signals""",
     "trading_signals",
 )
 def archived_signals(spark, sf_dir):
@@ -288,7 +288,7 @@ def archived_signals(spark, sf_dir):
     commits.archive(spark, root, "signals", "archive", F.col("ts") < F.lit("1998-01-01").cast("timestamp_ntz"), record)
     kept = commits.read(spark, root, "signals").select(F.lit("kept").alias("part"), "id", "symbol", "signal", F.lit(None).cast("string").alias("archived_ts"), F.lit(None).cast("string").alias("risk_level"), "confidence")
     old = commits.read(spark, root, "archive").select("record.*").select(F.lit("archived").alias("part"), F.col("signal_id").alias("id"), "symbol", "signal", F.col("ts").alias("archived_ts"), F.col("metadata")["risk_level"].alias("risk_level"), "confidence")
-    return old.unionByName(kept).withColumn("confidence", F.round("confidence", 6))
+    return old.unionByName(kept).withColumn("confidence", F.round("confidence", 9))
 
 
 @query(

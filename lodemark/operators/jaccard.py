@@ -4,12 +4,15 @@
 probability 1 - 7e-6, and fewer than 96 equal ones with 2e-6. Equal sets are one node. Nodes that meet in a band and agree in 96 minima
 are linked, and what these links connect is a cluster. Texts go once to the tasks of their cluster, where each link is verified on whole
 sets of shingles. Within bands and clusters no list of pairs is made: a task walks a group breadth-first and emits links that span it.
-Large groups are cut into tiles, each two of which meet in a task of their own.
+Large groups are cut into tiles, each two of which meet in a task of their own. In a large cluster all texts meet a few heads first: those
+that are like one head are linked by it and needn't meet each other, so a cluster of near copies of one text ships each text a few times
+whatever its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from .skew import join_unique, light
 WORDS, LEAST, MINIMA, BAND, ALIKE = 5, 0.8, 150, 5, 96
 #: Members of a group that meet in one task, and bytes of their texts.
 TILE, TILE_BYTES = 1024, 32 << 20
+#: Heads that the members of a large cluster meet, one after another, before those that are like none of them meet in tiles.
+HEADS = 3
 _RNG = np.random.default_rng(150)
 _A, _B = _RNG.integers(1, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1), _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32)
 
@@ -62,6 +67,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), batch.column(3)], names=["id", "text_hash", "node", "sig", "size"])
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes have a Jaccard similarity of 0.8 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) >= LEAST
+
+
 def spanning(nodes: np.ndarray, sigs: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that span each part of a group: of members with 96 equal minima, where ``alike`` (a place, places) agrees as well."""
     left, out = np.arange(len(nodes)), []
@@ -89,8 +100,7 @@ def _walk(verify: bool):
         sets = [h[2] for h in members.values()]
 
         def alike(at: int, others: np.ndarray) -> np.ndarray:
-            both = [len(np.intersect1d(sets[at], sets[x], assume_unique=True)) for x in others]
-            return np.array([n / (len(sets[at]) + len(sets[x]) - n) >= LEAST for n, x in zip(both, others, strict=True)])
+            return np.array([similar(sets[at], sets[x]) for x in others])
 
         return spanning(nodes, sigs, alike if verify else None) if len(members) > 1 else []
 
@@ -126,6 +136,68 @@ def _met(tiled: DataFrame, key: str, *more: str, verify: bool) -> DataFrame:
     return tiled.select(*order, "node", "sig", *more).repartition(*order).sortWithinPartitions(*order).mapInArrow(_walk(verify), "a long, b long").distinct()
 
 
+MEMBER = "node long, root long, text_hash long, size long, sig binary, weight long, text string, head long"
+
+
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows of part and ``MEMBER``, where a part's first row is its head: the other rows, with the head's node and no text where they are like it."""
+    lead, lead_sig, lead_set = None, None, None
+    for batch in batches:
+        columns = {f.name: c for f, c in zip(batch.schema, batch.columns, strict=True)}
+        is_head, node, sigs, text = (columns[c].to_pylist() for c in ("is_head", "node", "sig", "text"))
+        keep, nodes, texts = [], [], []
+        for k, first in enumerate(is_head):
+            sig = np.frombuffer(sigs[k], np.uint8)
+            if first:
+                lead, lead_sig, lead_set = node[k], sig, shingles(text[k])
+                continue
+            near = int((sig == lead_sig).sum()) >= ALIKE and similar(lead_set, shingles(text[k]))
+            keep.append(k)
+            nodes.append(lead if near else None)
+            texts.append(None if near else text[k])
+        same = [columns[c].take(pa.array(keep, pa.int64())) for c in ("node", "root", "text_hash", "size", "sig", "weight")]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(texts, pa.string()), pa.array(nodes, pa.int64())], names=[f.split()[0] for f in MEMBER.split(", ")])
+
+
+def _tiles(tile: int):
+    return F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / TILE_BYTES))
+
+
+def _headed(members: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root, text_hash, size, sig, cls) of ``members`` (of large clusters, as ``MEMBER`` without head), and links (a, b) to heads.
+
+    In each of a few rounds the member that meets most others in bands heads those that are left of its cluster. cls is the round in which a
+    member was found to be like its head, and 0 if it is like none. A head goes to each part of its cluster; a member is in one part.
+    """
+    left, found = save(members, "members"), []
+    for k in range(1, HEADS + 1):
+        heads = left.groupBy("root").agg(F.max_by("node", F.struct("weight", "node")).alias("chief"), _tiles(tile).alias("parts"))
+        heads = light(save(heads, "heads"))
+        asked = left.join(heads, "root")
+        rows = asked.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")), "is_head": F.lit(False)})
+        chiefs = asked.filter("node = chief").withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "is_head": F.lit(True)})
+        dealt = rows.unionByName(chiefs).select("root", "part", "is_head", "node", "text_hash", "size", "sig", "weight", "text")
+        met = save(dealt.repartition("root", "part").sortWithinPartitions("root", "part", F.desc("is_head")).mapInArrow(_star, MEMBER), "met")
+        found.append(met.filter("head IS NOT NULL").withColumn("cls", F.lit(k)))
+        left = met.filter("head IS NULL").drop("head")
+        if left.isEmpty():
+            break
+    links = reduce(DataFrame.unionByName, found).filter("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    same = ["node", "root", "text_hash", "size", "sig", "cls"]
+    return reduce(DataFrame.unionByName, (f.select(same) for f in (*found, left.withColumn("cls", F.lit(0))))), links
+
+
+def _crossed(members: DataFrame, tile: int) -> DataFrame:
+    """Each member in each two tiles of its cluster that hold it and can bring a new link: those of one class are linked by their head already."""
+    sized = members.groupBy("root", "cls").agg(_tiles(tile).alias("tiles")).groupBy("root").agg(F.collect_list(F.struct("cls", "tiles")).alias("classes"))
+    met = members.join(sized, "root").withColumn("tiles", F.filter("classes", lambda c: c["cls"] == F.col("cls"))[0]["tiles"])
+    met = met.withColumn("c", F.explode(F.filter("classes", lambda c: (F.col("cls") == 0) | (c["cls"] != F.col("cls")))))
+    met = met.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.tiles") - 1)))
+    own = F.shiftleft(F.col("cls").cast("long"), 32) + F.pmod(F.xxhash64("node"), F.col("tiles"))
+    other = F.shiftleft(F.col("c.cls").cast("long"), 32) + F.col("at")
+    return met.select("root", "node", "sig", "text_hash", F.least(own, other).alias("u"), F.greatest(own, other).alias("v"))
+
+
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """id, text_hash and class_id (the least id of the class) for each row of ``docs``.
 
@@ -140,14 +212,26 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ti
     distinct = save(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("size").alias("size"), F.min("sig").alias("sig")), "distinct")
     bands = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("sig", k * BAND + 1, BAND)) for k in range(MINIMA // BAND))))
     keys = distinct.select("node", bands.alias("band"))
-    shared = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / tile).alias("tiles"))
+    shared = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile))
     met = _met(_tiled(keys, shared, "band").join(distinct.select("node", "sig"), "node"), "band", verify=False)
     clusters = save(components(met).join(distinct.select("node", "text_hash", "size", "sig"), "node"), "clusters")
-    tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / TILE_BYTES))
-    sized = clusters.groupBy("root").agg(tiles.alias("tiles"))
-    wanted = light(save(clusters.select("text_hash").distinct(), "wanted"))
-    texts = plain.select("text_hash", "text").join(wanted, "text_hash").groupBy("text_hash").agg(F.any_value("text").alias("text"))
-    links = _met(_tiled(clusters, sized, "root").join(texts, "text_hash"), "root", "text", verify=True)
+    sized = clusters.groupBy("root").agg(_tiles(tile).alias("tiles"))
+    large = light(save(sized.filter("tiles > 1").select("root"), "large"))
+
+    def with_texts(some: DataFrame) -> DataFrame:
+        wanted = light(save(some.select("text_hash").distinct(), "wanted"))
+        texts = plain.select("text_hash", "text").join(wanted, "text_hash").groupBy("text_hash").agg(F.any_value("text").alias("text"))
+        return some.join(texts, "text_hash")
+
+    members, links = clusters.withColumn("cls", F.lit(0)), None
+    if not large.isEmpty():
+        many = clusters.join(large, "root")
+        weights = keys.join(shared, "band").groupBy("node").agg(F.sum("n").alias("weight"))
+        of_large, links = _headed(with_texts(many.join(weights, "node")), tile)
+        members = members.join(large, "root", "left_anti").unionByName(of_large)
+    crossed = save(_crossed(members, tile), "crossed")
+    verified = _met(with_texts(crossed), "root", "text", verify=True)
+    links = verified.unionByName(links) if links is not None else verified
     roots = components(links).withColumnRenamed("root", "head")
     headed = save(distinct.select("node", "least").join(roots, "node", "left"), "headed")
     linked = headed.filter("head IS NOT NULL")

@@ -681,6 +681,28 @@ def test_jaccard_classes_equal_all_pairs(spark, data, tile):
     assert len(set(want.values())) < len(set(brute_components({i: brute_fingerprint(t) for i, t in texts.items()}).values()))
 
 
+def test_near_copies_meet_few_tiles(spark, monkeypatch):
+    """Of a cluster of 2,400 near copies of one text in 151 tiles nearly all are linked by a head; a chain that no head spans still holds together."""
+    from lodemark.operators import jaccard
+
+    rng = random.Random(4)
+    base, texts = [f"w{k}" for k in range(120)], {}
+    for i in range(2400):
+        own = list(base)
+        for at in rng.sample(range(120), 1 if i % 50 else 2):
+            own[at] = f"x{i}-{at}"
+        texts[i] = " ".join(own)
+    for i in range(60):  # each is like the next, the first isn't like the last
+        texts[5000 + i] = " ".join(f"c{k}" for k in range(3 * i, 3 * i + 100))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    shipped = []
+    plain = jaccard._met
+    monkeypatch.setattr(jaccard, "_met", lambda tiled, key, *more, verify: (shipped.append(tiled.count()) if verify else None, plain(tiled, key, *more, verify=verify))[1])
+    got = {r.id: r.class_id for r in jaccard.jaccard_classes(docs, tile=16).collect()}
+    assert got == {i: 0 if i < 5000 else 5000 for i in texts}
+    assert shipped[0] < 12 * len(texts)  # all in tiles: 151 times
+
+
 def test_stages_with_odd_documents(spark, data, odd, empty):
     """Nulls, empty and very long texts, repeated rows, an empty table and columns named as the operators' own pass through every stage."""
     import corpus_pipeline as p

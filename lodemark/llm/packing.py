@@ -139,13 +139,14 @@ def pack_partition(tokenizer: str, end_id: int, window: int, room: int):
             for d in [d for d in held if d not in still]:
                 del held[d]
 
-        for batch in slices(batches):
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for doc, coded in zip(ids, coder.encode(texts), strict=True):
-                held[n] = (doc, coded + end)
-                packer.add(n, len(coded) // 4 + 1)
-                n += 1
-            yield from taken()
+        with coder:
+            for batch in slices(batches):
+                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                for doc, coded in zip(ids, coder.encode(texts), strict=True):
+                    held[n] = (doc, coded + end)
+                    packer.add(n, len(coded) // 4 + 1)
+                    n += 1
+                yield from taken()
         packer.close()
         yield from taken()
 

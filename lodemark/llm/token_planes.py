@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 KNOTTY = re.compile(r"\s\s"), re.compile(r"[.,](?<=[\W_][.,])")
 #: Words in each of two generations of the cache of encoded words, and the longest word kept.
 CACHE, LONGEST = 400_000, 32
+#: Seconds after a worker's last task of an encoder until its words are forgotten, so that idle workers don't hold them through other stages.
+IDLE = 3.0
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -65,7 +68,8 @@ class Encoder:
     their neighbours. Texts that hold the mark are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache, self.idle = cache, None
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,20 +109,33 @@ class Encoder:
         for w in missing:
             if len(w) > LONGEST:
                 del new[w]
-        if len(new) > CACHE:
+        if len(new) > self.cache:
             self.old, self.new = new, {"": b""}
         return out
 
+    def forget(self) -> None:
+        self.new, self.old = {"": b""}, {}  # a batch that is being encoded goes on with the dictionaries it has
+
+    def __enter__(self) -> Encoder:
+        if self.idle:
+            self.idle.cancel()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.idle = threading.Timer(IDLE, self.forget)
+        self.idle.daemon = True
+        self.idle.start()
+
 
 @functools.cache
-def encoder(path: str) -> Encoder:
-    """One for each worker process and path, so that its cache outlives a task."""
-    return Encoder(path)
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """One for each worker process and path, so that its cache outlives a task; a task uses it in a ``with`` block."""
+    return Encoder(path, cache)
 
 
-def encode_partition(path: str, end_id: int, kind: str, block_ids: int, extent_ids: int, level: int):
+def encode_partition(path: str, end_id: int, kind: str, block_ids: int, extent_ids: int, level: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pack = encoder(path), zstandard.ZstdCompressor(level=level)
+        coder, pack = encoder(path, cache), zstandard.ZstdCompressor(level=level)
         shard, end = TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes()
         state = {"extent": 0, "first": 0}
         docs: list = []
@@ -137,33 +154,34 @@ def encode_partition(path: str, end_id: int, kind: str, block_ids: int, extent_i
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
         n = 0
-        for batch in slices(batches):
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for doc, coded in zip(ids, coder.encode(texts), strict=True):
-                docs.append(doc)
-                lengths.append(len(coded) // 4 + 1)
-                held += [coded, end]
-                n += lengths[-1]
-                if n >= extent_ids:
-                    yield extent()
-                    n = 0
+        with coder:
+            for batch in slices(batches):
+                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                for doc, coded in zip(ids, coder.encode(texts), strict=True):
+                    docs.append(doc)
+                    lengths.append(len(coded) // 4 + 1)
+                    held += [coded, end]
+                    n += lengths[-1]
+                    if n >= extent_ids:
+                        yield extent()
+                        n = 0
         if docs:
             yield extent()
 
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, kind: str = "byte", block_ids: int = 65536, extent_ids: int = 262144, level: int = 3) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, kind: str = "byte", block_ids: int = 65536, extent_ids: int = 262144, level: int = 3, cache: int = CACHE) -> DataFrame:
     """Writes the ids of all documents to the shared folder, in ascending id order, and returns the table of extents.
 
     Null texts are empty and have the end id alone; null doc_ids come first; rows that repeat an id are further documents, in order of a hash of their
     texts. Columns other than key and text aren't read, whatever their names. An empty table writes an empty one. A document isn't cut, so an
-    extent is as long as its longest document at least.
+    extent is as long as its longest document at least. ``cache``: words in each of two generations of a worker's cache; fewer take less memory and more time.
     """
     bound_bytes(docs.sparkSession)
     order = ["doc_id", "tie"]  # the tie also lets many rows of one id, or of none, go to several tasks
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order)
-    extents = ordered.mapInArrow(encode_partition(tokenizer, end_id, kind, block_ids, extent_ids, level), EXTENT)
+    extents = ordered.mapInArrow(encode_partition(tokenizer, end_id, kind, block_ids, extent_ids, level, cache), EXTENT)
     return save(extents, "ids", compression="none")
 
 

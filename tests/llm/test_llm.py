@@ -208,6 +208,19 @@ def test_token_planes(spark, data, odd, empty):
     assert token_planes.read_index(token_planes.write_ids(empty, token_planes.vocabulary("byte_bpe_50k.json"))).count() == 0
 
 
+def test_idle_encoder_forgets_its_words_and_encodes_the_same(monkeypatch):
+    monkeypatch.setattr(token_planes, "IDLE", 0.05)
+    coder = token_planes.Encoder(token_planes.vocabulary("byte_bpe_50k.json"), 3)  # generations change within these texts
+    texts = ["one two three, four five.", "six seven eight nine", "one two", ""]
+    with coder:
+        assert coder.encode(texts) == coder.plain(texts)
+        assert len(coder.new) + len(coder.old) > 2
+    coder.idle.join(10)
+    assert (coder.new, coder.old) == ({"": b""}, {})
+    with coder:
+        assert [coder.encode([t]) for t in texts] == [coder.plain([t]) for t in texts]
+
+
 def test_encoder_equals_library():
     coder = token_planes.Encoder(token_planes.vocabulary("byte_bpe_50k.json"))
     rng = random.Random(3)

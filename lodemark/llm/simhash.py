@@ -5,13 +5,19 @@ choice of m - d blocks is a key, and all close pairs share a key. m grows with t
 selective. Only distinct fingerprints meet: copies are counted once. Within a key no list of pairs is made: a task walks the
 group breadth-first and emits links that span it (one less than its members at most). Keys with many members are cut into tiles,
 and each two tiles of a key meet in a task of their own.
+
+``keep_one`` looks for near copies (five-word Jaccard of 0.8 or more) that 64 bits can't tell from others: its fingerprints have 512 bits,
+of which a pair at 0.8 differs in 0.15 to 0.16 by expectation (0.19 where four shingles are a text's and four of another's five). Blocks that all
+such pairs share don't exist, so its keys are drawn bits, as many as make a pair agree in one key with probability 1 - 1e-5; sets of five or less
+have more keys. Members of a key are compared on 192 bits, pairs found on all 512, and what that connects is verified on shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
-from math import comb
+from math import comb, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +27,18 @@ from pyspark.sql import functions as F
 
 from lodemark.batches import bound_bytes
 from lodemark.operators.graph import components
-from lodemark.operators.jaccard import jaccard_classes
+from lodemark.operators.jaccard import Sketch, jaccard_classes, spanning as spanning_near
 from lodemark.operators.skew import join_unique, light
 from lodemark.storage import save
 
 from .common import fresh, read_table, slices
 
 SHINGLE, SEED, DISTANCE, TILE = 4, 42, 4, 4096
+#: Wide fingerprints: their bits, those that go along with each key, and how many may differ among all and among these.
+WIDE, SHOWN, NEAR, NEAR_SHOWN = 512, 192, 136, 62
+#: Share of the bits in which sets of similarity 0.8 differ (the most for any sizes; and for those of ``FEW`` or less), and how many such pairs may share no key.
+APART, APART_FEW, FEW, MISSED = 0.1612, 0.1875, 5, 1e-5
+_ODD = np.random.default_rng(512).integers(1, 2**63, WIDE // 64, dtype=np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -157,14 +168,164 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", distanc
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """512 bits (64 bytes) of a set of hashes: each is 1 if set in over half of them, as in ``fingerprint``. A byte more is 1 if they are few."""
+    counts = np.zeros(WIDE, np.int64)
+    for k in range(0, len(hashes), 255):
+        mixed = hashes[k : k + 255, None] * _ODD
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.append(np.packbits(counts * 2 > len(hashes)), np.uint8(len(hashes) <= FEW))
+
+
+def within(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Which wide fingerprints (rows of bytes) differ from one in 136 bits or fewer."""
+    return np.bitwise_count(sigs[..., : WIDE // 8] ^ sig[..., : WIDE // 8]).sum(-1, dtype=np.int64) <= NEAR
+
+
+def _within_shown(words: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words ^ one).sum(1, dtype=np.int64) <= NEAR_SHOWN
+
+
+@cache
+def keys_needed(bits: int, apart: float = APART) -> int:
+    """Keys of ``bits`` drawn bits until a pair whose bits differ with the odds ``apart`` agrees in one, but for ``MISSED``."""
+    d = np.arange(WIDE + 1)
+    odds = np.array([exp(lgamma(WIDE + 1) - lgamma(x + 1) - lgamma(WIDE - x + 1) + x * log(apart) + (WIDE - x) * log(1 - apart)) for x in d])
+    agree = np.prod([np.maximum(WIDE - d - j, 0) / (WIDE - j) for j in range(bits)], axis=0)
+    low, high = 0, 1
+    while (odds * (1 - agree) ** high).sum() > MISSED:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if (odds * (1 - agree) ** middle).sum() > MISSED else (low, middle)
+    return high
+
+
+def drawn_keys(n: int) -> tuple[np.ndarray, int]:
+    """The bits of each key for n fingerprints, and how many of these keys sets have that aren't small.
+
+    The number of bits is that of the least work: a key is a row to shuffle, which costs as much as some hundred comparisons.
+    """
+    bits = min(range(4, 25), key=lambda k: keys_needed(k) * (1 + n / 2**k / 750))
+    rng = np.random.default_rng(bits)
+    return np.stack([rng.permutation(WIDE)[:bits] for _ in range(keys_needed(bits, APART_FEW))]), keys_needed(bits)
+
+
+def _keyed(places: np.ndarray, most: int, shown: bool):
+    """Over node and sig: a row for each key with its group (number and bits in one long) and, if ``shown``, node and 192 bits."""
+
+    def keys(nodes: np.ndarray, sigs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        m, bits = places.shape
+        single = np.unpackbits(sigs, axis=1)
+        groups = (np.arange(m, dtype=np.int64) << bits) + sum(single[:, places[:, j]].astype(np.int64) << j for j in range(bits))
+        columns = {"group": groups.ravel()}
+        if shown:
+            words = np.ascontiguousarray(sigs[:, : SHOWN // 8]).view(np.int64)
+            columns |= {"node": np.repeat(nodes, m), **{f"w{j}": np.repeat(words[:, j], m) for j in range(SHOWN // 64)}}
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            nodes, sigs = batch.column(0).to_numpy(), _rows(batch.column(1))
+            few = sigs[:, -1] == 1
+            yield keys(nodes[~few], sigs[~few], places[:most])
+            yield keys(nodes[few], sigs[few], places)
+
+    return run
+
+
+def _rows(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, WIDE // 8 + 1)
+
+
+def _near_pairs(nodes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, bool]:
+    """All pairs of a group that are near on the bits shown; where these are many, links that span them, and True."""
+    order = np.argsort(nodes)  # so that groups of the same members have the same links
+    nodes, words = nodes[order], words[order]
+    m, found, n = len(nodes), [np.zeros((0, 2), np.int64)], 0
+    step = max(1, (1 << 18) // m)
+    for k in range(0, m, step):
+        apart = sum(np.bitwise_count(words[k : k + step, None, j] ^ words[None, :, j]) for j in range(words.shape[1]))
+        a, b = np.nonzero(apart <= NEAR_SHOWN)
+        a, b = a[b > a + k] + k, b[b > a + k]
+        found.append(np.stack([nodes[a], nodes[b]], axis=1))
+        n += len(a)
+        if n > 2 * m:
+            return np.array(spanning_near(nodes, words, near=_within_shown), np.int64).reshape(-1, 2), True
+    return np.concatenate(found), False
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows of group, u, v, node and the bits shown, sorted by the first three: a, b, and whether the link is needed as it is."""
+
+    def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.flatnonzero(np.any(rows[1:, :3] != rows[:-1, :3], axis=1)) + 1
+        starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(rows)]))
+        several = ends - starts > 1
+        for s, e in zip(starts[several], ends[several], strict=True):
+            found, spans = _near_pairs(rows[s:e, 3], np.ascontiguousarray(rows[s:e, 4:]).view(np.uint64))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.full(len(found), spans))], names=["a", "b", "spans"])
+
+    held: list[np.ndarray] = []  # the last group so far, which may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+        if np.array_equal(held[0][0, :3], held[-1][-1, :3]):
+            continue
+        rows = np.concatenate(held)
+        last = int(np.argmax(np.all(rows[:, :3] == rows[-1, :3], axis=1)))
+        yield from links(rows[:last])
+        held = [rows[last:]]
+    if held:
+        yield from links(np.concatenate(held))
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.select([0, 1]).filter(pa.array(within(_rows(batch.column(2)), _rows(batch.column(3)))))
+
+
+def wide_links(distinct: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that connect all nodes of ``distinct`` (node, sig: wide fingerprints) within 136 bits that share a key, and node, weight: its links.
+
+    Groups with more than ``tile`` members are cut, and each two of their tiles meet. All pairs of a group are found, but where they are many: there
+    links on the bits shown stay unchecked, as the group holds together by them.
+    """
+    places, most = drawn_keys(distinct.count())
+    order = ["group", "u", "v"]
+    groups = distinct.mapInArrow(_keyed(places, most, False), "group long").groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
+    large = light(save(groups.select("group", F.ceil(F.col("n") / tile).alias("tiles")), "large"))
+    words = [f"w{j}" for j in range(SHOWN // 64)]
+    keys = distinct.mapInArrow(_keyed(places, most, True), ", ".join(f"{c} long" for c in ("group", "node", *words)))
+    tiles = F.coalesce("tiles", F.lit(1).cast("long"))
+    met = keys.join(large, "group", "left").withColumn("own", F.pmod(F.xxhash64("node"), tiles))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    met = met.select("group", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "node", *words)
+    met = save(met.repartition(*order).sortWithinPartitions(*order).mapInArrow(_met, "a long, b long, spans boolean").distinct(), "met")
+    one, other = (distinct.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+    checked = met.filter("NOT spans").select("a", "b").join(one, "a").join(other, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_check, "a long, b long")
+    links = save(checked.unionByName(met.filter("spans").select("a", "b")), "near")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"))
+    return links, ends.groupBy("node").agg(F.count("*").alias("weight"))
+
+
+#: Fingerprints in place of minima, for ``jaccard_classes``.
+FINGERPRINTS = Sketch(wide_fingerprint, within, wide_links)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each class of near-duplicates (five-word Jaccard of 0.8 or more), once, with all its columns.
+    """The document with the smallest id of each class of near-duplicates, once, with all its columns.
 
-    op3's contract of four-word fingerprints binds that query only. Rows without an id stay where nothing with an id is linked to them. Of rows that
+    Documents whose wide fingerprints are near are candidates; those with a five-word Jaccard of 0.8 or more, and what such links connect, are
+    near-duplicates. op3's contract of four-word fingerprints binds that query only. Rows without an id stay where nothing with an id is linked to them. Of rows that
     repeat an id that stays, the one with the least hash of its text does. Null texts count as empty, all texts without words are alike, and texts of any length count
     whole. No column's name can clash. Empty tables give no rows.
     """
-    classes = save(jaccard_classes(docs, key, text), "classes")
+    classes = save(jaccard_classes(docs, key, text, sketch=FINGERPRINTS), "classes")
     own, hash_ = fresh(docs, "own"), fresh(docs, "hash")
     heads = classes.filter("id = class_id").groupBy(F.col("id").alias(own)).agg(F.count("*").alias("n"))
     heads = save(heads, "heads")

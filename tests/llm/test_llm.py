@@ -694,6 +694,39 @@ def test_jaccard_classes_equal_all_pairs(spark, data, tile):
     assert len(set(want.values())) < len(set(brute_components({i: brute_fingerprint(t) for i, t in texts.items()}).values()))
 
 
+@pytest.mark.parametrize("tile", [40, 4096])
+def test_keep_one_by_fingerprints(spark, monkeypatch, tile):
+    """Candidates of ``keep_one`` come from SimHash fingerprints alone, near ones all of them, and pairs at just 0.8 and of few shingles are among them."""
+    from lodemark.operators import jaccard
+
+    rng = random.Random(21)
+    texts = {i: " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(6, 90))) for i in range(1500)}
+    for i in range(0, 400, 2):  # n + 4 words have n shingles; n + 1 of them more: from four of five to 24 of 30
+        n = 4 * (1 + i // 2 % 6)
+        words = [f"v{rng.randrange(10**6)}" for _ in range(n + 4 + n // 4)]
+        texts[2000 + i], texts[2001 + i] = " ".join(words[: n + 4]), " ".join(words)
+    for i in range(300):  # near copies of one text
+        texts[4000 + i] = " ".join(f"u{k}" if k != i % 100 else f"t{i}" for k in range(100))
+    asked = []
+
+    def spy(distinct, size):
+        links, weights = simhash.wide_links(distinct, tile)
+        asked.append((distinct.collect(), links.collect()))
+        return links, weights
+
+    monkeypatch.setattr(simhash, "FINGERPRINTS", simhash.FINGERPRINTS._replace(links=spy))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = near_heads(texts)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want.values()) and len(asked) == 1
+    assert all(want[2001 + i] == 2000 + i for i in range(0, 400, 2)) and len({want[i] for i in range(4000, 4300)}) == 1
+    rows, links = asked[0]
+    sigs = {r.node: np.frombuffer(r.sig, np.uint8) for r in rows}
+    assert {bytes(s) for s in sigs.values()} == {simhash.wide_fingerprint(jaccard.shingles(t)).tobytes() for t in texts.values()}
+    near = {frozenset((a, b)) for a in sigs for b in np.array(list(sigs))[simhash.within(np.array(list(sigs.values())), sigs[a])].tolist() if a != b}
+    linked = {frozenset((r.a, r.b)) for r in links}
+    assert 200 <= len(linked) < 300 * 299 / 4 and all(p in near or simhash._within_shown(*(np.array([sigs[x][:24]]).view(np.uint64) for x in p))[0] for p in linked)
+
+
 def test_near_copies_meet_few_tiles(spark, monkeypatch):
     """Of a cluster of 2,400 near copies of one text in 151 tiles nearly all are linked by a head; a chain that no head spans still holds together."""
     from lodemark.operators import jaccard

@@ -2,6 +2,7 @@
 
 An as-of join is a union and a window over key and time bin that carries the last right row forward; the last right row before each bin comes from a table
 with one row for each key and bin. So a hot key is as many tasks as it has bins, there is no range join, and nothing blows up whatever the numbers of rows.
+What comes next is found in descending order: a frame that reaches to the end of its window is gone through anew for each row, a frame from its start isn't.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ def _around(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, ri
     rows = ls.unionByName(rs).withColumns({"_bin": F.floor(F.unix_seconds(F.col("_ts").cast("timestamp")) / bin_seconds), "_edge": F.lit(0)})
     place = F.when(F.col("_right").isNotNull(), F.struct("_ts", "_tie"))
     bins = rows.groupBy(*keys, "_bin").agg(F.min_by("_right", place).alias("_first"), F.max_by("_right", place).alias("_last"))
-    w = Window.partitionBy(*keys).orderBy("_bin")
-    bins = bins.withColumns({"_before": F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    up, down = (Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1) for place in (F.col("_bin").asc(), F.col("_bin").desc()))
+    bins = bins.withColumns({"_before": F.last("_last", True).over(up), "_after": F.last("_first", True).over(down)})
     edges = F.explode(F.array(F.struct(F.lit(-1).alias("e"), F.col("_before").alias("r")), F.struct(F.lit(1).alias("e"), F.col("_after").alias("r"))))
     edges = bins.filter("_bin IS NOT NULL").select(*keys, "_bin", edges.alias("x")).filter("x.r IS NOT NULL")
     edges = edges.select(*keys, F.lit(None).cast(rows.schema["_ts"].dataType).alias("_ts"), F.lit(0).alias("_side"), no_tie.alias("_tie"), l_none.alias("_left"), F.col("x.r").alias("_right"), "_bin", F.col("x.e").alias("_edge"))
-    at = Window.partitionBy(*keys, "_bin").orderBy("_edge", "_ts", "_side", "_tie")
-    back, ahead = F.last("_right", True).over(at.rowsBetween(Window.unboundedPreceding, 0)), F.first("_right", True).over(at.rowsBetween(0, Window.unboundedFollowing))
+    places = [F.col(c) for c in ("_edge", "_ts", "_side", "_tie")]
+    back, ahead = (F.last("_right", True).over(Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) for order in ([c.asc() for c in places], [c.desc() for c in places]))
     found = rows.unionByName(edges).withColumns({"_back": back, "_ahead": ahead}).filter(F.col("_left").isNotNull())
     known = F.col("_bin").isNotNull()
     return found.select(*keys, "_left", F.when(known, F.col("_back")).alias("_back"), F.when(known, F.col("_ahead")).alias("_ahead"))

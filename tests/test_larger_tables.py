@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from lodemark.operators import temporal
 from lodemark.queries import QUERIES
 
@@ -35,3 +37,9 @@ def test_nearest_of_many_in_one_bin(spark):
     for seconds in (600, 30 * 86400):
         assert {x.id: x.r_v for x in temporal.nearest_join(rows, r, ["k"], bin_seconds=seconds).collect()} == near
         assert {x.id: x.r_v for x in temporal.asof_join(rows, r, ["k"], direction="forward", bin_seconds=seconds).collect()} == ahead
+
+
+def test_nearest_price_has_no_frame_to_the_end(spark, data):
+    out = QUERIES["nearest_price"](spark, data)
+    assert "unboundedfollowing" not in planned(out).lower()
+    assert out.filter(F.col("price").isNull()).count() == 0

@@ -126,3 +126,23 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, **w
         "last": lambda c, s: F.coalesce(F.last(c, ignorenulls=True).over(through), s), "lag": lambda c, s: F.coalesce(F.lag(F.struct(c.alias("v"))).over(own), s)["v"],
     }
     return rows.join(carried, [*keys, "_block"]).select(*df.columns, *(within[kind](c, F.col(f"_{n}")).alias(n) for n, (kind, c) in wanted.items()))
+
+
+def trailing_count(df: DataFrame, keys: list[str], seconds: int, ts: str = "ts", name: str = "recent", block_seconds: int = 3600) -> DataFrame:
+    """``df`` with the number of its keys' rows of the last ``seconds`` up to and with each row, both ends and rows of equal time included. Rows without a time count one another.
+
+    A sliding frame would be gone through anew for each row. Here each row is a step up at its time and one down as it leaves, and the number is a running sum of steps. A block of
+    time of a key is a task of its own; a row for each block has the sum of the blocks before.
+    """
+    us, width = F.unix_micros(F.col(ts).cast("timestamp")), block_seconds * 10**6
+    row = F.struct(*df.columns)
+    none = F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType)
+    up = F.struct(us.alias("us"), F.lit(1).alias("step"), row.alias("row"))
+    down = F.struct((us + seconds * 10**6 + 1).alias("us"), F.lit(-1).alias("step"), none.alias("row"))
+    steps = df.select(*keys, F.explode(F.when(us.isNull(), F.array(up)).otherwise(F.array(up, down))).alias("_s"))
+    steps = steps.select(*keys, F.floor(F.col("_s.us") / width).alias("_block"), F.col("_s.us").alias("_us"), F.col("_s.step").cast("long").alias("_step"), F.col("_s.row").alias("_row"))
+    blocks = steps.filter("_block IS NOT NULL").groupBy(*keys, "_block").agg(F.sum("_step").alias("_step"))
+    before = F.sum("_step").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = blocks.select(*keys, "_block", (F.col("_block") * width - 1).alias("_us"), F.coalesce(before, F.lit(0)).alias("_step"), none.alias("_row"))
+    through = Window.partitionBy(*keys, "_block").orderBy("_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.unionByName(carried).withColumn("_n", F.sum("_step").over(through)).filter("_row IS NOT NULL").select("_row.*", F.col("_n").alias(name))

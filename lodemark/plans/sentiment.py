@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodemark.operators import rolling
 from lodemark.operators import rollups as roll
 from lodemark.operators import temporal
 
@@ -182,9 +183,5 @@ def telemetry_hourly(spark, sf_dir):
     "SELECT event_id, service_name, ts, count(*) OVER (PARTITION BY service_name ORDER BY ts RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW) AS recent FROM system_metrics QUALIFY recent >= 4", "system_metrics"
 )
 def error_rate_alert(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("service_name").orderBy("_us").rangeBetween(-2 * 3600 * 1_000_000, 0)
-    rows = system_metrics(spark, sf_dir).withColumn("_us", seconds)
-    return rows.withColumn("recent", F.count("*").over(w)).filter("recent >= 4").select("event_id", "service_name", "ts", "recent")
+    rows = system_metrics(spark, sf_dir).select("event_id", "service_name", "ts")
+    return rolling.trailing_count(rows, ["service_name"], 2 * 3600).filter("recent >= 4")

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodemark.operators import temporal
+from lodemark.operators.rolling import trailing_count
 from lodemark.queries import QUERIES
 
 T0 = dt.datetime(2024, 1, 1)
@@ -43,3 +44,19 @@ def test_nearest_price_has_no_frame_to_the_end(spark, data):
     out = QUERIES["nearest_price"](spark, data)
     assert "unboundedfollowing" not in planned(out).lower()
     assert out.filter(F.col("price").isNull()).count() == 0
+
+
+def test_error_rate_alert_has_no_sliding_frame(spark, data):
+    """A sliding frame is gone through anew for each row, and four services were four tasks."""
+    assert "rangeframe, -" not in planned(QUERIES["error_rate_alert"](spark, data)).lower()
+
+
+def test_trailing_count_equals_a_loop(spark):
+    """With equal times, rows just in and just out of reach, null times and null keys, in blocks shorter and longer than the reach."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), T0 + dt.timedelta(seconds=rng.randrange(0, 20_000, 50), microseconds=rng.choice([0, 0, 1])) if i % 40 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz")
+    reach = dt.timedelta(seconds=1000)
+    want = {i: sum(x == k and (u is None if t is None else u is not None and t - reach <= u <= t) for _, x, u in rows) for i, k, t in rows}
+    for seconds in (100, 3600, 10**6):
+        assert {r.id: r.recent for r in trailing_count(df, ["k"], 1000, block_seconds=seconds).collect()} == want

@@ -68,19 +68,21 @@ def close_reason(side: Column, price: Column, target: Column, stop: Column, expi
 def lifecycle(signals: DataFrame, bars: DataFrame, hours: int = 24, take: float = 0.02, stop: float = 0.015) -> DataFrame:
     """Each signal with the first bar after it, within ``hours``, at which it closes: reason, time and percent won.
 
-    A signal that neither target nor stop closes ends at the last bar in its time; one without bars stays open. Bars are met by key
-    and time bin, so a signal meets its own hours only.
+    A signal that neither target nor stop closes ends at the last bar in its time; one without bars stays open. Repeated rows are one. Bars within
+    reach of a key and time bin are one row, so signals aren't multiplied by their bars.
     """
-    from .temporal import interval_join
+    from .temporal import gathered
 
-    rows = interval_join(signals, bars.select("symbol", "ts", "close"), ["symbol"], F.col("ts") + F.expr("INTERVAL 1 SECOND"), F.col("ts") + F.make_dt_interval(hours=F.lit(hours)), "ts", hours * 3600)
+    rows = gathered(signals.distinct(), bars.select("symbol", "ts", "close"), ["symbol"], F.col("ts") + F.expr("INTERVAL 1 SECOND"), F.col("ts") + F.make_dt_interval(hours=F.lit(hours)), hours * 3600, "_later")
     up, down = F.col("price") * (1 + take), F.col("price") * (1 - stop)
     target, floor = F.when(F.col("signal") == "BUY", up).otherwise(F.col("price") * (1 - take)), F.when(F.col("signal") == "BUY", down).otherwise(F.col("price") * (1 + stop))
-    why = close_reason(F.col("signal"), F.col("r_close"), target, floor, F.lit(False))
-    rows = rows.withColumn("_why", why)
-    end = rows.groupBy(*signals.columns).agg(F.min_by(F.struct("r_ts", "r_close", "_why"), F.when(F.col("_why").isNotNull(), F.col("r_ts"))).alias("_hit"), F.max_by(F.struct("r_ts", "r_close"), "r_ts").alias("_last"))
+    high = F.when(F.col("signal") == "BUY", target).when(F.col("signal") == "SELL", floor)
+    low = F.when(F.col("signal") == "BUY", floor).when(F.col("signal") == "SELL", target)
+    rows = rows.withColumns({"_high": high, "_low": low})
+    rows = rows.withColumns({"_hit": F.get(F.filter("_later", lambda b: (b["close"] >= F.col("_high")) | (b["close"] <= F.col("_low"))), F.lit(0)), "_last": F.try_element_at("_later", F.lit(-1))})
+    why = close_reason(F.col("signal"), F.col("_hit.close"), target, floor, F.lit(False))
     at = lambda c: F.coalesce(F.col(f"_hit.{c}"), F.col(f"_last.{c}"))
-    return end.select(*signals.columns, F.when(at("r_ts").isNull(), "open").otherwise(F.coalesce("_hit._why", F.lit("timeout"))).alias("reason"), at("r_ts").alias("closed_at"), F.round(pnl_pct(F.col("signal"), F.col("price"), at("r_close")), 6).alias("pnl_pct"))
+    return rows.select(*signals.columns, F.when(at("ts").isNull(), "open").otherwise(F.coalesce(why, F.lit("timeout"))).alias("reason"), at("ts").alias("closed_at"), F.round(pnl_pct(F.col("signal"), F.col("price"), at("close")), 6).alias("pnl_pct"))
 
 
 def _followed(times: np.ndarray, wait: int) -> np.ndarray:

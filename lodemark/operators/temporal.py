@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodemark.storage import save
+
 #: Width of the time bins.
 BIN_SECONDS = 6 * 3600
 
@@ -96,6 +98,32 @@ def _without(left: DataFrame, right: DataFrame, keys: list[str], start: Column,
     return nearest.filter(F.col(f"_n_{right_ts}").isNull() | (F.col(f"_n_{right_ts}") > F.col("_end"))).select(*left.columns)
 
 
+#: Right rows of all bins of ``gathered``, each counted in every bin that it is in, up to which these are broadcast.
+GATHERED = 2_000_000
+
+
+def gathered(left: DataFrame, right: DataFrame, keys: list[str], start: Column, end: Column, seconds: int, name: str, ts: str = "ts") -> DataFrame:
+    """Each left row with ``name``: its keys' right rows from ``start`` to ``end``, both included, as structs (time first) in order. Empty where there are none, or no time.
+
+    ``end`` must be no more than ``seconds`` after ``start``. Left rows are neither multiplied nor grouped: the right rows within reach of a key's time bin are one row, from which each left
+    row takes its own. So all right rows of a key within 1.25 times ``seconds`` must fit in memory, as bars do.
+    """
+    width = max(1, seconds // 4)
+    reach = -(-seconds // width)
+
+    def place(c: Column) -> Column:
+        return F.floor(F.unix_seconds(c.cast("timestamp")) / width)
+
+    row = F.struct(ts, *(c for c in right.columns if c not in (*keys, ts)))
+    near = right.filter(F.col(ts).isNotNull()).select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.explode(F.sequence(place(F.col(ts)) - reach, place(F.col(ts)))).alias("_r_bin"), row.alias("_r"))
+    near = save(near.groupBy(*(f"_r_{k}" for k in keys), "_r_bin").agg(F.array_sort(F.collect_list("_r")).alias("_near")), "near")
+    size = near.agg(F.sum(F.size("_near"))).first()[0] or 0
+    rows = left.withColumns({"_start": start, "_end": end}).withColumn("_bin", place(F.col("_start")))
+    met = rows.join(F.broadcast(near) if size <= GATHERED else near, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col("_bin") == F.col("_r_bin")], "left")
+    held = F.filter("_near", lambda r: (r[ts] >= F.col("_start")) & (r[ts] <= F.col("_end")))
+    return met.select(*left.columns, F.coalesce(held, F.array().cast(near.schema["_near"].dataType)).alias(name))
+
+
 def bucket_join(left: DataFrame, right: DataFrame, keys: list[str], unit: str = "hour", ts: str = "ts", how: str = "left") -> DataFrame:
     """Equi-join on the keys and the truncated time of both sides; the right side's time is dropped."""
     at = F.date_trunc(unit, ts).cast("timestamp_ntz")

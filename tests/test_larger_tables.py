@@ -5,8 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodemark.operators import temporal
+from lodemark.operators import backtest, signals, temporal
 from lodemark.operators.rolling import trailing_count
+from lodemark.plans import risk
+from lodemark.plans.tables import candles, tick_signals
 from lodemark.queries import QUERIES
 
 T0 = dt.datetime(2024, 1, 1)
@@ -60,3 +62,52 @@ def test_trailing_count_equals_a_loop(spark):
     want = {i: sum(x == k and (u is None if t is None else u is not None and t - reach <= u <= t) for _, x, u in rows) for i, k, t in rows}
     for seconds in (100, 3600, 10**6):
         assert {r.id: r.recent for r in trailing_count(df, ["k"], 1000, block_seconds=seconds).collect()} == want
+
+
+def test_gathered_equals_all_pairs(spark, monkeypatch):
+    """With null keys and times, equal times, keys without a partner, and left rows twice; broadcast and shuffled."""
+    rng = random.Random(6)
+    at = lambda i: T0 + dt.timedelta(seconds=rng.randrange(0, 40_000, 100)) if i % 30 else None
+    right = [(rng.choice(["a", "b", None]), at(i), float(i)) for i in range(1, 200)]
+    left = [(i // 2, rng.choice(["a", "b", "c", None]), at(i)) for i in range(300)]
+    rows, r = spark.createDataFrame(left, "id int, k string, ts timestamp_ntz"), spark.createDataFrame(right, "k string, ts timestamp_ntz, v double")
+    hour = dt.timedelta(hours=1)
+    want = [(i, k, t, sorted((u, v) for x, u, v in right if x == k and u and t <= u <= t + hour)) for i, k, t in left if t]
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(temporal, "GATHERED", most)
+        got = temporal.gathered(rows, r, ["k"], F.col("ts"), F.col("ts") + F.expr("INTERVAL 1 HOUR"), 3600, "near").collect()
+        assert sorted(((x.id, x.k, x.ts, [tuple(y) for y in x.near]) for x in got if x.ts), key=repr) == sorted(want, key=repr)
+        assert len(got) == len(left) and all(x.near == [] for x in got if not x.ts)
+
+
+def test_signals_are_not_multiplied_by_their_bars(spark, data):
+    """Both had a row for each signal and bar within a day, grouped by all columns again."""
+    bars = candles(spark, data)
+    for out in (signals.lifecycle(tick_signals(spark, data), bars), backtest.positions(tick_signals(spark, data), bars, risk.GRID)):
+        assert "_r_ts" not in planned(out) and "collect_list" not in planned(out)
+
+
+def test_lifecycle_equals_a_loop(spark):
+    """Prices below zero, of zero and null, HOLD, null closes, repeated rows, null times and symbols."""
+    rng = random.Random(7)
+    bars = [(k, T0 + dt.timedelta(hours=h), rng.choice([90.0, 99.0, 100.0, 101.9, 103.0, -100.0, None])) for k in ("a", None) for h in range(60)]
+    rows = [(i, rng.choice(["a", "b", None]), T0 + dt.timedelta(minutes=rng.randrange(-60, 4000)) if i % 20 else None, rng.choice(["BUY", "SELL", "HOLD"]), rng.choice([100.0, 100.0, -100.0, 0.0, None])) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:30], "id int, symbol string, ts timestamp_ntz, signal string, price double")
+    got = {r.id: (r.reason, r.closed_at) for r in signals.lifecycle(df, spark.createDataFrame(bars, "symbol string, ts timestamp_ntz, close double")).collect()}
+    for i, k, t, side, price in rows:
+        end = "open", None
+        for _, u, c in sorted((b for b in bars if b[0] == k and t and t + dt.timedelta(seconds=1) <= b[1] <= t + dt.timedelta(hours=24)), key=lambda b: b[1]):
+            end = "timeout", u
+            if price is None or c is None or side == "HOLD":
+                continue
+            won, lost = (c >= price * 1.02, c <= price * 0.985) if side == "BUY" else (c <= price * 0.98, c >= price * 1.015)
+            if won or lost:
+                end = "take_profit" if won else "stop_loss", u
+                break
+        assert got[i] == end, (i, k, t, side, price)
+
+
+def test_both_legs_come_from_one_plan_of_positions(spark, data):
+    """Openings and closings each had the whole search of exits."""
+    taken = backtest.positions(tick_signals(spark, data), candles(spark, data), risk.GRID)
+    assert planned(backtest.cash_flow(taken)).count("Window [") == planned(taken).count("Window [") > 0

@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,11 +15,14 @@ from pyspark.sql.window import Window
 from lodemark.storage import save
 
 from .rolling import running
-from .temporal import interval_join, nearest_join
+from .temporal import gathered, nearest_join
 
 #: Slippage and fee of each leg, hours until a position times out, share of cash for one position, and the cash at the start.
 SLIPPAGE, FEE, TIMEOUT_HOURS, ALLOCATION, CAPITAL = 0.0005, 0.001, 24, 0.2, 10_000.0
 
+#: Tasks over which runs are dealt by hash; many, so that few runs share one.
+TASKS = 128
+
 
 def positions(signals: DataFrame, bars: DataFrame, grid: list[tuple[int, float, float]]) -> DataFrame:
     """run_id, id, symbol, side, entry_time, entry, units, share, exit_time, exit_price, reason, back for each BUY or SELL of ``signals`` and each run.
@@ -27,48 +31,55 @@ def positions(signals: DataFrame, bars: DataFrame, grid: list[tuple[int, float,
     bar's close and left at the first later bar at which it is up by ``take`` or down by ``stop``, else at the last one within ``TIMEOUT_HOURS``. It stays open
     if nothing hits before the bars of its symbol end, earlier than its timeout. ``share``: of the cash that goes in; ``units``: what a unit of cash buys; ``back``: what comes back for each unit of cash, after slippage and fees. Signals without a positive price are left out.
     """
-    closes = bars.select("symbol", "ts", "close")
-    traded = signals.filter(F.col("signal").isin("BUY", "SELL")).select("id", "symbol", "ts", "signal", "strength")
+    closes = save(bars.select("symbol", "ts", "close"), "closes")  # read four times
+    traded = signals.filter(F.col("signal").isin("BUY", "SELL")).select("id", "symbol", "ts", "signal", "strength").distinct()
     priced = nearest_join(traded, closes, ["symbol"]).filter("r_close > 0").select(*traded.columns, F.col("r_close").alias("price"))
     ends = closes.groupBy("symbol").agg(F.max("ts").alias("_end"))
     priced = priced.join(ends, "symbol").select(*priced.columns, (F.col("_end") >= F.col("ts") + F.make_dt_interval(hours=F.lit(TIMEOUT_HOURS))).alias("_over"))
-    seen = interval_join(priced, closes, ["symbol"], F.col("ts") + F.expr("INTERVAL 1 SECOND"), F.col("ts") + F.make_dt_interval(hours=F.lit(TIMEOUT_HOURS)), "ts", TIMEOUT_HOURS * 3600)
-    later = seen.groupBy(*priced.columns).agg(F.array_sort(F.collect_list(F.when(F.col("r_ts").isNotNull(), F.struct(F.col("r_ts").alias("ts"), F.col("r_close").alias("close"))))).alias("later"))  # as many as bars until the timeout
-    runs = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("run_id"), F.lit(t).alias("take"), F.lit(s).alias("stop")) for i, t, s in grid)))
-    rows = later.withColumn("_run", runs).select("*", "_run.*")
+    rows = gathered(priced, closes, ["symbol"], F.col("ts") + F.expr("INTERVAL 1 SECOND"), F.col("ts") + F.make_dt_interval(hours=F.lit(TIMEOUT_HOURS)), TIMEOUT_HOURS * 3600, "_later")  # as many as bars until the timeout
     up = F.when(F.col("signal") == "BUY", F.lit(1)).otherwise(F.lit(-1))
-    move = lambda b: up * (b["close"] / F.col("price") - 1)
-    rows = rows.withColumn("_hit", F.get(F.filter("later", lambda b: (move(b) >= F.col("take")) | (move(b) <= -F.col("stop"))), F.lit(0)))
-    rows = rows.withColumn("_out", F.coalesce("_hit", F.when(F.col("_over"), F.try_element_at("later", F.lit(-1)))))
-    reason = F.when(F.col("_out").isNull(), "open").when(F.col("_hit").isNull(), "timeout").when(move(F.col("_hit")) >= F.col("take"), "take_profit").otherwise("stop_loss")
+    rows = rows.withColumn("_moves", F.transform("_later", lambda b: F.struct(b["ts"].alias("ts"), b["close"].alias("close"), (up * (b["close"] / F.col("price") - 1)).alias("move"))))
+    above = lambda x: F.get(F.filter("_moves", lambda m: m["move"] >= x), F.lit(0))
+    below = lambda x: F.get(F.filter("_moves", lambda m: m["move"] <= -x), F.lit(0))
+    takes, stops = (sorted({g[k] for g in grid}) for k in (1, 2))  # a run's first hit is the earlier of its target's and its stop's, which runs share
+    rows = rows.withColumns({"_takes": F.array(*map(above, takes)), "_stops": F.array(*map(below, stops)), "_last": F.when(F.col("_over"), F.try_element_at("_moves", F.lit(-1)))})
+    runs = [F.struct(F.lit(i).cast("long").alias("run_id"), F.lit(t).alias("take"), F.least(F.col("_takes")[takes.index(t)], F.col("_stops")[stops.index(s)]).alias("_hit")) for i, t, s in grid]
+    rows = rows.select("id", "symbol", "ts", "signal", "strength", "price", "_last", F.explode(F.array(*runs)).alias("_run")).select("*", "_run.*").withColumn("_out", F.coalesce("_hit", "_last"))
+    reason = F.when(F.col("_out").isNull(), "open").when(F.col("_hit").isNull(), "timeout").when(F.col("_hit.move") >= F.col("take"), "take_profit").otherwise("stop_loss")
     entry, left = F.col("price") * (1 + up * SLIPPAGE), F.col("_out.close") * (1 - up * SLIPPAGE)
     back = (entry + up * (left - entry) - (entry + left) * FEE) / (F.col("price") * (1 + SLIPPAGE))
     share = ALLOCATION * F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("strength") / 10))
     return rows.select("run_id", "id", "symbol", F.col("signal").alias("side"), F.col("ts").alias("entry_time"), entry.alias("entry"), (1 / (F.col("price") * (1 + SLIPPAGE))).alias("units"), share.alias("share"), F.col("_out.ts").alias("exit_time"), left.alias("exit_price"), reason.alias("reason"), back.alias("back"))
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    run, cash, held, put = None, CAPITAL, 0.0, {}
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    runs_met, run, cash, held, put = {}, None, CAPITAL, 0.0, {}  # runs of one task may take turns
     for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            if r.run_id != run:
-                run, cash, held, put = r.run_id, CAPITAL, 0.0, {}
-            if r.opens:
+        runs, opens, ids, parts = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("run_id", "opens", "id", "part"))
+        kept, out = [], []
+        for at, (r, opening, i, part) in enumerate(zip(runs, opens, ids, parts, strict=True)):
+            if r != run:
+                runs_met[run] = cash, held, put
+                run, (cash, held, put) = r, runs_met.get(r) or (CAPITAL, 0.0, {})
+            if opening:
                 if cash <= 0:
                     continue
-                amount = cash * r.part
-                put[r.id] = amount
+                amount, gain = cash * part, 0.0
+                put[i] = amount
                 cash, held = cash - amount, held + amount
-                gain = 0.0
-            elif r.id not in put:
+            elif i not in put:
                 continue
             else:
-                amount = put.pop(r.id)
-                gain = amount * (r.part - 1)
-                cash, held = cash + amount * r.part, held - amount
-            out.append((r.run_id, r.id, r.ts, r.opens, amount, gain, cash, cash + held))
-        yield pd.DataFrame(out, columns=["run_id", "id", "ts", "opens", "amount", "pnl", "cash", "equity"])
+                amount = put.pop(i)
+                gain = amount * (part - 1)
+                cash, held = cash + amount * part, held - amount
+            kept.append(at)
+            out += amount, gain, cash, cash + held
+        same = batch.select(["run_id", "id", "ts", "opens"])
+        if len(kept) < batch.num_rows:
+            same = same.take(pa.array(kept, pa.int64()))
+        values = np.array(out, np.float64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(values[:, k]) for k in range(4))], ["run_id", "id", "ts", "opens", "amount", "pnl", "cash", "equity"])
 
 
 def cash_flow(taken: DataFrame) -> DataFrame:
@@ -76,11 +87,12 @@ def cash_flow(taken: DataFrame) -> DataFrame:
 
     Equity counts open positions at cost (``marked_equity`` has it at market); without cash, nothing is opened. A run is a sequence, as its cash is shared; its rows stream through one task.
     """
-    opens = taken.select("run_id", "id", F.col("entry_time").alias("ts"), F.lit(True).alias("opens"), F.col("share").alias("part"))
-    closes = taken.filter("exit_time IS NOT NULL").select("run_id", "id", F.col("exit_time").alias("ts"), F.lit(False).alias("opens"), F.col("back").alias("part"))
-    order = ["run_id", "ts", "opens", "id"]
+    enters = F.struct(F.col("entry_time").alias("ts"), F.lit(True).alias("opens"), F.col("share").alias("part"))
+    leaves = F.struct(F.col("exit_time").alias("ts"), F.lit(False).alias("opens"), F.col("back").alias("part"))
+    steps = taken.select("run_id", "id", F.explode(F.when(F.col("exit_time").isNotNull(), F.array(enters, leaves)).otherwise(F.array(enters))).alias("_s")).select("run_id", "id", "_s.*")
+    order = ["ts", "opens", "id"]  # time first, as rows that differ in it are sorted fastest
     schema = f"run_id long, id {dict(taken.dtypes)['id']}, ts {dict(taken.dtypes)['entry_time']}, opens boolean, amount double, pnl double, cash double, equity double"
-    return opens.unionByName(closes).repartition("run_id").sortWithinPartitions(*order).mapInPandas(_fold, schema)
+    return steps.repartition(TASKS, "run_id").sortWithinPartitions(*order).mapInArrow(_fold, schema)
 
 
 def marked_equity(taken: DataFrame, flow: DataFrame, bars: DataFrame, unit: str = "day") -> DataFrame:

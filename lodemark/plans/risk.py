@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodemark.operators import backtest, metrics
+from lodemark.storage import save
 
 from .registry import query
 from .tables import backtest_trades, candles, equity_curve, price_predictions, tick_signals
@@ -252,6 +253,6 @@ def backtest_equity(spark, sf_dir):
 def backtest_marked(spark, sf_dir):
     """Equity at market of each run at the end of each day; checked against a plain loop in the tests."""
     bars = candles(spark, sf_dir).select("symbol", "ts", "close")
-    taken = backtest.positions(tick_signals(spark, sf_dir), bars, GRID)
+    taken = save(backtest.positions(tick_signals(spark, sf_dir), bars, GRID), "positions")  # read by the cash and by what it is worth
     marked = backtest.marked_equity(taken, backtest.cash_flow(taken), bars)
     return marked.groupBy("run_id", F.to_date("ts").alias("day")).agg(F.round(F.max_by("equity", "ts"), 4).alias("equity"), F.round(F.max_by("marked", "ts"), 4).alias("marked"))

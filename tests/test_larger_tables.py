@@ -111,3 +111,11 @@ def test_both_legs_come_from_one_plan_of_positions(spark, data):
     """Openings and closings each had the whole search of exits."""
     taken = backtest.positions(tick_signals(spark, data), candles(spark, data), risk.GRID)
     assert planned(backtest.cash_flow(taken)).count("Window [") == planned(taken).count("Window [") > 0
+
+
+def test_marked_finds_its_positions_once(spark, data, monkeypatch):
+    """The cash and what it is worth each had the whole search of exits; now both read the table that this has written."""
+    read, real = [], backtest.cash_flow
+    monkeypatch.setattr(backtest, "cash_flow", lambda taken: read.append(taken) or real(taken))
+    QUERIES["backtest_marked"](spark, data)
+    assert "Window" not in planned(read[0])

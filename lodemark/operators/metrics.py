@@ -176,12 +176,13 @@ def bootstrap(trades: DataFrame, keys: list[str], row: str, value: str = "pnl_pc
         limits.append(whole)
         p /= k + 1
 
-    def times(replicate: Column) -> Column:
-        drawn = F.pmod(F.xxhash64(F.col(row).cast("string"), replicate, F.lit(seed)), F.lit(2**31)).cast("double") / float(2**31)
-        return sum((F.when(drawn >= x, 1).otherwise(0) for x in limits[1:]), F.when(drawn >= limits[0], 1).otherwise(0))
-
+    drawn = F.pmod(F.xxhash64(F.col("_row"), F.col("replicate"), F.lit(seed)), F.lit(2**31)).cast("double") / float(2**31)
+    times = F.lit(len(limits))
+    for k in reversed(range(len(limits))):
+        times = F.when(F.col("_drawn") < limits[k], F.lit(k)).otherwise(times)
     held = trades.filter(F.col(value).isNotNull()).select(*keys, row, F.col(value).cast("double").alias("_v"))
-    each = held.select(*keys, "_v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), times)).alias("replicate", "_n")).filter("_n > 0")
+    each = held.select(*keys, "_v", F.col(row).cast("string").alias("_row"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    each = each.withColumn("_drawn", drawn).filter(F.col("_drawn") >= limits[0]).select(*keys, "_v", "replicate", times.alias("_n"))  # drawn once, in compiled code, not within a lambda
     means = each.groupBy(*keys, "replicate").agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("m"))
     cut = means.groupBy(*keys).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit((1 + level) / 2)).alias("high"), F.count("*").alias("replicates"))
     return held.groupBy(*keys).agg(F.round(F.avg("_v"), 6).alias("mean")).join(cut, keys).select(*keys, "mean", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "replicates")

@@ -119,3 +119,9 @@ def test_marked_finds_its_positions_once(spark, data, monkeypatch):
     monkeypatch.setattr(backtest, "cash_flow", lambda taken: read.append(taken) or real(taken))
     QUERIES["backtest_marked"](spark, data)
     assert "Window" not in planned(read[0])
+
+
+def test_bootstrap_draws_once_in_compiled_code(spark, data):
+    """A lambda, which isn't compiled, had the hash of each row and replicate ten times."""
+    plan = planned(QUERIES["bootstrap_interval"](spark, data))
+    assert "lambdafunction" not in plan and plan.count("xxhash64(") <= 2  # for the filter and for the number
